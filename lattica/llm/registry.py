@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import exact
+from lattica.llm import exact, mixing
 
-QUERIES = {"op10_exact_dedup": exact.op10_exact_dedup}
-SQL = {"op10_exact_dedup": exact.OP10_SQL}
+QUERIES = {"op6_mix_sources": mixing.op6_mix_sources, "op10_exact_dedup": exact.op10_exact_dedup}
+SQL = {"op6_mix_sources": mixing.OP6_SQL, "op10_exact_dedup": exact.OP10_SQL}
