@@ -81,3 +81,37 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 6
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return nodes.select(F.col("a").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def map_rows(df: DataFrame, make, schema: str, rows: int = 2000, size: int = 16 << 20) -> DataFrame:
+    """Arrow-batched map of each row of df to a tuple of schema, or to None to leave it out.
+
+    make() runs once in a task and returns the function of a row's values. Batches go out after so many rows or so
+    many characters of strings, so memory follows the longest row and not the batch.
+    """
+    from pyspark.sql.types import _parse_datatype_string
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        import pyarrow as pa
+
+        one, held, weight = make(), [], 0
+        for batch in batches:
+            columns = batch.columns
+            for i in range(batch.num_rows):
+                got = one(*[c[i].as_py() for c in columns])
+                if got is None:
+                    continue
+                held.append(got)
+                weight += sum(len(x) for x in got if isinstance(x, (str, bytes, list)))
+                if len(held) >= rows or weight >= size:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
+                    held, weight = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
+
+    return df.mapInArrow(run, kind)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import exact, mixing
+from lattica.llm import exact, mixing, pieces
 
-QUERIES = {"op6_mix_sources": mixing.op6_mix_sources, "op10_exact_dedup": exact.op10_exact_dedup}
+QUERIES = {
+    "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op10_exact_dedup": exact.op10_exact_dedup,
+}
 SQL = {"op6_mix_sources": mixing.OP6_SQL, "op10_exact_dedup": exact.OP10_SQL}
