@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import exact, mixing, pieces
+from lattica.llm import exact, mixing, pieces, simhash
 
 QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_simhash": simhash.op7_simhash,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
