@@ -7,6 +7,7 @@ The library segments the normalised text and decodes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -184,6 +185,12 @@ class PieceCoder:
         return self.library.decode(ids)
 
 
+@functools.lru_cache(maxsize=2)
+def coder_of(path: str) -> PieceCoder:
+    """One for a Python worker, so that what it remembers serves all its tasks."""
+    return PieceCoder(path)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids, begins, ends, decoded for each row: piece ids with begin and end ids, source byte spans of the pieces
     between them, and the decoded text. A null text counts as empty and has the two ids alone; repeated rows are kept,
@@ -191,7 +198,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     path = path or default_model()
 
     def make():
-        coder = PieceCoder(path)
+        coder = coder_of(path)
 
         def one(doc, text):
             e = coder.encode(text or "")
@@ -208,7 +215,7 @@ def encoding_digests(docs: DataFrame, path: str | None = None, id_col: str = "do
     path = path or default_model()
 
     def make():
-        coder = PieceCoder(path)
+        coder = coder_of(path)
         head, tail = (np.array([i], "<u4").tobytes() for i in (coder.begin, coder.end))
 
         def one(doc, text):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.llm import exact, mixing, pieces, simhash
+from lattica.llm import exact, mixing, pieces, simhash, tokens
 
 QUERIES = {
+    "op1_token_counts": tokens.op1_token_counts,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_simhash": simhash.op7_simhash,
     "op8_sentencepiece": pieces.op8_sentencepiece,
