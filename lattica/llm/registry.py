@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import exact, mixing, pieces, simhash, tokens
+from lattica.llm import exact, mixing, pieces, quality, simhash, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_simhash": simhash.op7_simhash,
     "op8_sentencepiece": pieces.op8_sentencepiece,
