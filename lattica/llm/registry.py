@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lattica.llm import exact, mixing, pieces, quality, simhash, tokens
+from lattica.llm import chat, exact, mixing, pieces, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op5_url_filter": urls.op5_url_filter,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_simhash": simhash.op7_simhash,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_chat_format": chat.op9_chat_format,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
-SQL = {"op6_mix_sources": mixing.OP6_SQL, "op10_exact_dedup": exact.OP10_SQL}
+SQL = {"op6_mix_sources": mixing.OP6_SQL, "op9_chat_format": chat.OP9_SQL, "op10_exact_dedup": exact.OP10_SQL}
