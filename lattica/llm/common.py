@@ -105,7 +105,7 @@ def map_rows(df: DataFrame, make, schema: str, rows: int = 2000, size: int = 16
                 if got is None:
                     continue
                 held.append(got)
-                weight += sum(len(x) for x in got if isinstance(x, (str, bytes, list)))
+                weight += sum(len(x) for x in got if hasattr(x, "__len__"))
                 if len(held) >= rows or weight >= size:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
                     held, weight = [], 0

@@ -210,8 +210,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     return map_rows(docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text"), make, "id long, ids array<int>, begins array<long>, ends array<long>, decoded string")
 
 
-def encoding_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As encode_documents, with digests in the place of the lists and the text, made in the same task."""
+def encoding_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """As encode_documents, with digests in the place of the lists and the text, made in the same task; with_ids keeps
+    the list of ids beside them, for training."""
     path = path or default_model()
 
     def make():
@@ -222,12 +223,14 @@ def encoding_digests(docs: DataFrame, path: str | None = None, id_col: str = "do
             e = coder.encode(text or "")
             ids = head + e.ids.tobytes() + tail
             spans = np.stack([e.begins, e.ends], 1).astype("<u4").tobytes()
-            decoded = coder.decode(np.frombuffer(ids, "<u4").tolist())
-            return doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), hashlib.sha256(spans).hexdigest()
+            numbers = np.frombuffer(ids, "<i4")
+            decoded = coder.decode(numbers.tolist())
+            return doc, len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), hashlib.sha256(spans).hexdigest(), *([numbers] if with_ids else [])
 
         return one
 
-    return map_rows(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * with_ids
+    return map_rows(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), make, schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
