@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lattica.llm import chat, exact, mixing, pieces, quality, simhash, tokens, urls, weak
+from lattica.llm import chat, exact, mixing, pieces, quality, simhash, substrings, tokens, urls, weak
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_suffix_dedup": substrings.op3_suffix_dedup,
     "op4_quality_classifier": weak.op4_quality_classifier,
     "op5_url_filter": urls.op5_url_filter,
     "op6_mix_sources": mixing.op6_mix_sources,
