@@ -1,0 +1,56 @@
+"""Pivot voting: an order of pattern positions from domain size, degree and weight bound."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+#: Scores closer than this are ties, which go to the smaller position.
+TIE = 1e-12
+
+
+def _spread(values: Sequence[float], small_is_good: bool) -> list[float]:
+    """Values scaled to [0, 1]; all alike gives zeros. Infinite values count as the largest finite one."""
+    finite = [v for v in values if math.isfinite(v)]
+    if not finite or max(finite) == min(finite):
+        return [0.0] * len(values)
+    low, high = min(finite), max(finite)
+    held = [v if math.isfinite(v) else high for v in values]
+    return [((high - v) if small_is_good else (v - low)) / (high - low) for v in held]
+
+
+@dataclass(frozen=True)
+class Voter:
+    domain: float = 1.0
+    degree: float = 1.0
+    weight: float = 1.0
+
+    def __post_init__(self):
+        if min(self.domain, self.degree, self.weight) < 0:
+            raise ValueError("a vote's weight is negative")
+
+    def scores(self, domains: Sequence[float], degrees: Sequence[int], bounds: Sequence[float]) -> list[float]:
+        if not len(domains) == len(degrees) == len(bounds):
+            raise ValueError("one value of each kind is needed for each position")
+        parts = (_spread(domains, True), _spread(degrees, False), _spread(bounds, True))
+        return [self.domain * a + self.degree * b + self.weight * c for a, b, c in zip(*parts)]
+
+    def pivot(self, domains, degrees, bounds) -> int:
+        return self.order(domains, degrees, bounds)[0]
+
+    def order(self, domains, degrees, bounds) -> list[int]:
+        s = self.scores(domains, degrees, bounds)
+        return sorted(range(len(s)), key=lambda v: (-round(s[v] / TIE) * TIE, v))
+
+
+BALANCED = Voter()
+BY_DOMAIN, BY_DEGREE, BY_WEIGHT = Voter(1, 0, 0), Voter(0, 1, 0), Voter(0, 0, 1)
+
+
+def next_to(p, order: Sequence[int], start: int) -> list[int]:
+    """A matching order from start in which every later position has an earlier neighbour; of those, order's first."""
+    out, rank = [start], {v: k for k, v in enumerate(order)}
+    while len(out) < p.n_vertices:
+        out.append(min((v for v in range(p.n_vertices) if v not in out and any(p.has_edge(v, x) for x in out)), key=rank.__getitem__))
+    return out

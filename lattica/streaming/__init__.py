@@ -1,0 +1 @@
+"""Empty on purpose: a graph is loaded once and never updated, so no operator of this library keeps stream state."""
