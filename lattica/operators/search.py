@@ -1,0 +1,113 @@
+"""Existence search for patterns whose occurrence tables would be too large.
+
+Domains are reduced with joins; then each (pattern, position, vertex) is searched for one occurrence, in parallel,
+over adjacency arrays that every task holds. The arrays are only sent if the graph is below a size that is checked.
+A budget bounds the steps of a search; a search that it ends counts as without occurrence, so that support is then a
+lower bound, and says so.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.operators.pattern import Pattern
+from lattica.sources.graph import Graph
+
+#: Directed edges of a graph that is sent to every task, at most.
+LARGEST = 20_000_000
+
+
+def adjacency(g: Graph) -> dict[int, dict[int, tuple[int, float, int, float]]]:
+    """vertex -> neighbour -> (edge label, weight, neighbour's label, neighbour's weight)."""
+    n = g.adj.count()
+    if n > LARGEST:
+        raise ValueError(f"{n} directed edges are too many to search over; raise the support or weight threshold")
+    out: dict[int, dict[int, tuple[int, float, int, float]]] = {}
+    for r in g.adj.select("src", "dst", "el", "w", "ld", "wd").toLocalIterator():
+        out.setdefault(r[0], {})[r[1]] = (r[2], r[3], r[4], r[5])
+    return out
+
+
+def order_from(p: Pattern, start: int) -> list[int]:
+    out = [start]
+    while len(out) < p.n_vertices:
+        out.append(max((v for v in range(p.n_vertices) if v not in out and any(p.has_edge(v, x) for x in out)), key=lambda v: (sum(p.has_edge(v, x) for x in out), p.degree(v), -v)))
+    return out
+
+
+class Spent(Exception):
+    """The budget of a search is used up."""
+
+
+def best_occurrence(adj: dict, p: Pattern, start: int, vertex: int, weights: dict[int, float], budget: int = 0, first: bool = True) -> tuple[float, float] | None:
+    """(smallest edge, smallest vertex) of an occurrence with the vertex at the position: of any if first, else the
+    best of each of the two. None without one."""
+    order = order_from(p, start)
+    back = [[(order.index(x), el) for x, el in p.links[v].items() if order.index(x) < k] for k, v in enumerate(order)]
+    found, steps = [None], [0]
+    best = [-float("inf"), -float("inf")]
+
+    def go(k: int, placed: list[int], bw: float, vbw: float) -> bool:
+        steps[0] += 1
+        if budget and steps[0] > budget:
+            raise Spent
+        if k == len(order):
+            found[0] = True
+            best[0], best[1] = max(best[0], bw), max(best[1], vbw)
+            return first
+        (anchor, _), *_ = sorted(back[k], key=lambda b: len(adj.get(placed[b[0]], ())))
+        for x, (_, _, label, w) in adj.get(placed[anchor], {}).items():
+            if label != p.labels[order[k]] or x in placed:
+                continue
+            low = bw
+            for i, el in back[k]:
+                link = adj.get(placed[i], {}).get(x)
+                if link is None or link[0] != el:
+                    break
+                low = min(low, link[1])
+            else:
+                end = min(vbw, weights[x])
+                if not first and low <= best[0] and end <= best[1]:
+                    continue
+                if go(k + 1, [*placed, x], low, end):
+                    return True
+        return False
+
+    go(1, [vertex], float("inf"), weights[vertex])
+    return (best[0], best[1]) if found[0] else None
+
+
+def measure(g: Graph, patterns: dict[int, Pattern], budget: int = 0, weighted: bool = True) -> tuple[dict[int, tuple[int, float, float]], int]:
+    """As match.measure, by search; also the number of searches that the budget ended."""
+    if not patterns:
+        return {}, 0
+    spark: SparkSession = g.adj.sparkSession
+    shared = spark.sparkContext.broadcast((adjacency(g), {r[0]: r[1] for r in g.vertices.select("id", "weight").toLocalIterator()}, patterns))
+    rows = [(k, u, p.labels[u], p.degree(u)) for k, p in patterns.items() for u in range(p.n_vertices)]
+    wanted = F.broadcast(spark.createDataFrame(rows, "pid int, pos int, label int, need long"))
+    degree = g.adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    tasks: DataFrame = g.vertices.join(degree, "id").join(wanted, "label").where("degree >= need").select("pid", "pos", "id")
+    tasks = tasks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches):
+        import pandas as pd
+
+        adj, weights, own = shared.value
+        for batch in batches:
+            out = []
+            for pid, pos, v in zip(batch["pid"], batch["pos"], batch["id"]):
+                try:
+                    got = best_occurrence(adj, own[pid], pos, v, weights, budget, first=not (weighted and pos == 0))
+                    out.append((pid, pos, got is not None, False, got[0] if got else None, got[1] if got else None))
+                except Spent:
+                    out.append((pid, pos, False, True, None, None))
+            yield pd.DataFrame(out, columns=["pid", "pos", "found", "spent", "bw", "vbw"])
+
+    found = tasks.mapInPandas(run, "pid int, pos int, found boolean, spent boolean, bw double, vbw double")
+    per = found.groupBy("pid", "pos").agg(F.count_if("found").alias("n"), F.count_if("spent").alias("spent"), F.max("bw").alias("bw"), F.max("vbw").alias("vbw"))
+    got = per.groupBy("pid").agg(F.min("n").alias("mni"), F.count("*").alias("positions"), F.sum("spent").alias("spent"), F.max("bw").alias("bw"), F.max("vbw").alias("vbw")).collect()
+    shared.unpersist()
+    # a position without any vertex has no row, and so no image
+    out = {r["pid"]: (r["mni"] if r["positions"] == patterns[r["pid"]].n_vertices else 0, r["bw"], r["vbw"]) for r in got}
+    return out, sum(r["spent"] for r in got)
