@@ -34,21 +34,22 @@ def refine(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     sizes = scratch.put(sizes)
     by_length = sizes.groupBy("n").agg(F.count("*").alias("same")).where("same > 1").select("n")
     by_prefix = sizes.join(by_length, "n", "left_semi").groupBy("n", "prefix").agg(F.count("*").alias("same")).where("same > 1").select("n", "prefix")
+    keys = ["n", "prefix"]
+    alone = sizes.join(by_prefix, keys, "left_anti")
     if digest_all:
-        left = sizes.join(by_prefix, ["n", "prefix"], "left_semi")
-        rows = sizes
+        left = sizes.join(by_prefix, keys, "left_semi")
     else:
         again = own.select("id", F.length("t").cast("long").alias("n_chars"), F.length("norm").cast("long").alias("n"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"), F.xxhash64("t").alias("row_key"), "norm")
-        left = scratch.put(again.join(by_prefix, ["n", "prefix"], "left_semi").select("id", "n_chars", "n", "prefix", "row_key", full.alias("digest")))
-        alone = sizes.join(by_prefix, ["n", "prefix"], "left_anti").withColumn("digest", F.lit(None).cast("string"))
-        rows = left.unionByName(alone)
+        left = scratch.put(again.join(by_prefix, keys, "left_semi").select("id", "n_chars", "row_key", full.alias("digest")))
+        alone = alone.withColumn("digest", F.lit(None).cast("string"))
     order = F.struct((-F.col("n_chars")).alias("c"), F.col("id").alias("i"), F.col("row_key").alias("k"))
     groups = left.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(order).alias("best")).where("group_size > 1")
     groups = groups.select("digest", "group_size", F.col("best.i").alias("keep_id"), F.col("best.k").alias("keep_key"), F.col("best.c").alias("keep_c"), F.lit(True).alias("grouped"))
-    out = rows.join(groups, "digest", "left")
     best = (-F.col("n_chars") == F.col("keep_c")) & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row_key") == F.col("keep_key"))
     grouped = F.coalesce("grouped", F.lit(False))
-    return out.select("id", "row_key", "n_chars", "digest", F.when(grouped, F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"), F.when(grouped, F.col("keep_key")).otherwise(F.col("row_key")).alias("keep_key"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (~grouped | best).alias("kept"))
+    settled = left.join(groups, "digest", "left").select("id", "row_key", "n_chars", "digest", F.when(grouped, F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"), F.when(grouped, F.col("keep_key")).otherwise(F.col("row_key")).alias("keep_key"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (~grouped | best).alias("kept"))
+    # rows that the first two steps settle join nothing, so their missing digests never meet in one task
+    return settled.unionByName(alone.select("id", "row_key", "n_chars", "digest", F.col("id").alias("keep_id"), F.col("row_key").alias("keep_key"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
 
 
 def drop_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
