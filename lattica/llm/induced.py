@@ -69,25 +69,6 @@ class Disk:
             f.close()
 
 
-class Since:
-    """Least of the values pushed since a moment: a stack of falling minima, searched by time."""
-
-    def __init__(self):
-        self.times, self.values, self.now = [], [], 0
-
-    def push(self, v: int) -> None:
-        values, times = self.values, self.times
-        while values and values[-1] >= v:
-            values.pop()
-            times.pop()
-        self.now += 1
-        values.append(v)
-        times.append(self.now)
-
-    def least(self, time: int) -> int:
-        return self.values[bisect_right(self.times, time)]
-
-
 def types_of(text: np.ndarray) -> np.ndarray:
     """True where the suffix is of type S; the last symbol, the smallest, counts as S."""
     n = len(text)
@@ -170,51 +151,67 @@ def induce(t, small: bytes, after: list, seeds, seed_shared, disk: Disk, cap: in
         for c in range(sigma):
             for i in range(tail[c], after[c]):
                 order[i] = seed_at[i]
-    head, last, seen = list(before), [-1] * sigma, Since()
-    push, least = seen.push, seen.least
+    # values and times are a stack of falling minima: the least common prefix since a moment is found by bisection
+    head, last, values, times, now = list(before), [-1] * sigma, [], [], 0
     for c in range(sigma):
-        i, end, first_seed = before[c], after[c], tail[c]
-        fresh = True
+        i, first_seed, end = before[c], tail[c], after[c]
         while i < end:
-            if i == head[c] and i < first_seed:
+            if i < head[c]:
+                v = shared[i]
+            elif i >= first_seed:
+                if i > first_seed:
+                    v = shared[i]
+                else:
+                    # the first seed after the symbol's L suffixes
+                    v = common(t, order[head[c] - 1], order[i], 1, cap) if head[c] > before[c] else 0
+            else:
                 i = first_seed
                 continue
-            j = order[i]
-            if i == first_seed:
-                # the first seed after the symbol's L suffixes
-                push(common(t, order[head[c] - 1], j, 1, cap) if head[c] > before[c] else 0)
-            else:
-                push(0 if fresh else shared[i])
-            fresh = False
-            p = j - 1
-            if p >= 0 and not small[p]:
+            while values and values[-1] >= v:
+                values.pop()
+                times.pop()
+            now += 1
+            values.append(v)
+            times.append(now)
+            p = order[i] - 1
+            if not small[p]:  # the last symbol is of type S, so -1 passes too
                 d = t[p]
                 q = head[d]
                 order[q] = p
-                shared[q] = min(least(last[d]) + 1, cap) if last[d] >= 0 else 0
+                if (since := last[d]) >= 0:
+                    v = values[bisect_right(times, since)]
+                    shared[q] = v + 1 if v < cap else cap
+                else:
+                    shared[q] = 0
                 head[d] = q + 1
-                last[d] = seen.now
+                last[d] = now
             i += 1
     # S suffixes anew, from the right; the seeds' places are overwritten
-    tail, last, seen = list(after), [-1] * sigma, Since()
-    push, least = seen.push, seen.least
+    tail, last, values, times, now = list(after), [-1] * sigma, [], [], 0
     for c in range(sigma - 1, -1, -1):
-        i, begin, border = after[c] - 1, before[c], head[c]
-        while i >= begin:
+        begin, border = before[c], head[c]
+        for i in range(after[c] - 1, begin - 1, -1):
             j = order[i]
-            p = j - 1
-            if p >= 0 and small[p]:
+            if j and small[j - 1]:
+                p = j - 1
                 d = t[p]
                 q = tail[d] - 1
                 order[q] = p
-                if last[d] >= 0:
-                    shared[q + 1] = min(least(last[d]) + 1, cap)
+                if (since := last[d]) >= 0:
+                    v = values[bisect_right(times, since)]
+                    shared[q + 1] = v + 1 if v < cap else cap
                 tail[d] = q
-                last[d] = seen.now
+                last[d] = now
             if i == begin:
-                shared[i] = 0
+                v = shared[i] = 0
             elif i == border:
-                shared[i] = common(t, order[i - 1], j, 1, cap)
-            push(shared[i])
-            i -= 1
+                v = shared[i] = common(t, order[i - 1], j, 1, cap)
+            else:
+                v = shared[i]
+            while values and values[-1] >= v:
+                values.pop()
+                times.pop()
+            now += 1
+            values.append(v)
+            times.append(now)
     return order, shared

@@ -78,6 +78,29 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return least[start].view(np.int64), hashes.view(np.int64), start, size
 
 
+def screened(snippets: list[tuple]) -> list[tuple]:
+    """Snippets (..., start, bytes) cut down to where sorting can find something: from the first to the last window
+    whose hash occurs twice or more in the shard; those without one are left out. Equal windows have equal hashes, so
+    nothing is lost, and a hash decides nothing else."""
+    if not snippets:
+        return []
+    sizes = np.array([len(s[-1]) for s in snippets])
+    begin = sizes.cumsum() - sizes
+    data = b"".join(s[-1] for s in snippets)
+    windows = sizes - WINDOW + 1
+    owner = np.repeat(np.arange(len(snippets)), windows)
+    at = np.arange(windows.sum()) - np.repeat(windows.cumsum() - windows, windows)
+    _, which, count = np.unique(gram_hashes(np.frombuffer(data, np.uint8), WINDOW)[begin[owner] + at], return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(count[which] > 1)
+    who, first = np.unique(owner[twice], return_index=True)
+    last = np.append(first[1:], len(twice)) - 1
+    out = []
+    for k, a, b in zip(who.tolist(), at[twice[first]].tolist(), at[twice[last]].tolist()):
+        *head, start, x = snippets[k]
+        out.append((*head, start + a, x[a : b + WINDOW]))
+    return out
+
+
 def repeats(snippets: list[tuple], disk_limit: int = induced.IN_MEMORY) -> list[list[int]]:
     """For each snippet (place, start, bytes) the offsets of the windows that also start earlier; a window's place is
     (place, start + offset), places being ordered values. Equal windows of one and the same place stay.
@@ -129,8 +152,9 @@ def shard_repeats(shards: DataFrame) -> DataFrame:
         schema = pa.schema([("dk", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
 
         def solved(held):
-            snippets = [((i, d), s, x) for i, d, s, x in held]
-            rows = [(snippets[k][0][1], snippets[k][1] + a, n) for k, found in enumerate(repeats([(p[0], s, x) for p, s, x in snippets])) for a, n in runs(found)]
+            snippets = screened(held)
+            found = repeats([(i, s, x) for i, _, s, x in snippets]) if snippets else []
+            rows = [(snippets[k][1], snippets[k][2] + a, n) for k, offsets in enumerate(found) for a, n in runs(offsets)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], schema=schema)
 
         held, size, before = [], 0, None
