@@ -162,24 +162,24 @@ def first_domains(g: Graph, p) -> DataFrame:
 def arc_consistent(g: Graph, p, domains: DataFrame, rounds: int | None = None) -> DataFrame:
     """Domains where each vertex has, along every pattern edge, a neighbour in the other end's domain. Stops when no
     domain shrinks or after so many rounds; any number of rounds is sound."""
-    dom = domains.cache()
+    links = g.adj.select("src", "dst", "el").cache()
+    arcs = [(u, v, el) for u, v, el in p.edges] + [(v, u, el) for u, v, el in p.edges]
+    links.count()  # else the arcs of one job would each build it
+    dom, done = domains.cache(), 0
     before = dom.count()
-    links = g.adj.select("src", "dst", "el")
-    done = 0
     while rounds is None or done < rounds:
-        arcs = [(u, v, el) for u, v, el in p.edges] + [(v, u, el) for u, v, el in p.edges]
-        kept = dom
+        at, done = {u: dom.where(F.col("pos") == u).select("v") for u in range(p.n_vertices)}, done + 1
         for u, v, el in arcs:
-            other = kept.where(F.col("pos") == v).select(F.col("v").alias("dst"))
-            near = links.where(F.col("el") == el).join(other, "dst", "left_semi").select(F.col("src").alias("v")).distinct()
-            kept = kept.where(F.col("pos") != u).unionByName(kept.where(F.col("pos") == u).join(near, "v", "left_semi").select("pos", "v"))
-        kept = kept.cache()
+            near = links.where(F.col("el") == el).join(at[v].select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"))
+            at[u] = at[u].join(near, "v", "left_semi")
+        kept = reduce(DataFrame.unionByName, [d.select(F.lit(u).alias("pos"), "v") for u, d in at.items()]).cache()
         now = kept.count()
         dom.unpersist()
-        dom, done = kept, done + 1
+        dom = kept
         if now == before:
             break
         before = now
+    links.unpersist()
     return dom
 
 

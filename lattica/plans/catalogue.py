@@ -20,7 +20,7 @@ from lattica.sources.lg import merge_edges
 #: Vertices up to which a threshold holds, and the support threshold of the trade graph.
 SUPPORTS = ((1_000, 4), (10_000, 27), (1 << 62, 170))
 LEAST = 100.0
-LEAST_VERTEX = 70.0
+LEAST_VERTEX = 62.0
 EVENT_SUPPORT = 12
 
 Query = Callable[[SparkSession, str], DataFrame]
