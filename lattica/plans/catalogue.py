@@ -289,7 +289,7 @@ _FREQ2 = "(SELECT count(*) FROM f2 JOIN kids USING (a, b, c) WHERE mni >= (SELEC
 _FREQ1 = "(SELECT count(*) FROM one WHERE mni >= (SELECT sup FROM k){})"
 trade(
     "apriori_candidates",
-    f"SELECT (SELECT count(*) FROM one) + (SELECT count(*) FROM kids) AS candidates, {_FREQ1.format('')} + {_FREQ2.format('')} AS frequent, (SELECT count(*) FROM grown) - (SELECT count(*) FROM kids) AS pruned_by_apriori, 0 AS pruned_by_strategy, 0 AS pruned_by_structure, 0 AS pruned_by_weight",
+    f"SELECT (SELECT count(*) FROM one) + (SELECT count(*) FROM kids) AS candidates, {_FREQ1.format('')} + {_FREQ2.format('')} AS frequent, (SELECT count(*) FROM grown) - (SELECT count(*) FROM kids) AS pruned_by_apriori, 0::BIGINT AS pruned_by_strategy, 0::BIGINT AS pruned_by_structure, 0::BIGINT AS pruned_by_weight",
     f"{_EDGE}, {_PATH2}, {_GROWTHS}",
 )(lambda g: _candidates(g, Unweighted()))
 
@@ -301,13 +301,13 @@ _EDGE_OK = """, ok AS (SELECT la, lb FROM one WHERE {w} >= {t}), ok2 AS (SELECT
 _EDGE_BODY = """SELECT (SELECT count(*) FROM ok) + (SELECT count(*) FROM kidsw) AS candidates,
   (SELECT count(*) FROM one WHERE mni >= (SELECT sup FROM k) AND {w} >= {t}) + (SELECT count(*) FROM f2 JOIN kidsw USING (a, b, c) WHERE mni >= (SELECT sup FROM k) AND {w} >= {t}) AS frequent,
   (SELECT count(*) FROM seenw) - (SELECT count(*) FROM ruled) - (SELECT count(*) FROM kidsw) AS pruned_by_apriori,
-  (SELECT count(*) FROM one) - (SELECT count(*) FROM ok) + (SELECT count(*) FROM ruled) AS pruned_by_strategy, 0 AS pruned_by_structure, 0 AS pruned_by_weight"""
+  (SELECT count(*) FROM one) - (SELECT count(*) FROM ok) + (SELECT count(*) FROM ruled) AS pruned_by_strategy, 0::BIGINT AS pruned_by_structure, 0::BIGINT AS pruned_by_weight"""
 trade("edge_filter_candidates", _EDGE_BODY.format(w="max_w", t=LEAST), f"{_EDGE}, {_PATH2}, {_GROWTHS}{_EDGE_OK.format(w='max_w', t=LEAST)}")(lambda g: _candidates(g, EdgeBottleneck(LEAST, "edge", cut=False)))
 trade("weighty_filter_candidates", _EDGE_BODY.format(w="max_vw", t=LEAST_VERTEX), f"{_EDGE}, {_PATH2}, {_GROWTHS}{_EDGE_OK.format(w='max_vw', t=LEAST_VERTEX)}")(lambda g: _candidates(g, VertexBottleneck(LEAST_VERTEX, cut=False)))
 trade(
     "lookup_filter_candidates",
     f"""SELECT (SELECT count(*) FROM one) + count(*) FILTER (mni IS NOT NULL AND max_w >= {LEAST}) AS candidates,
-          (SELECT count(*) FROM one WHERE mni >= (SELECT sup FROM k) AND max_w >= {LEAST}) + count(*) FILTER (mni IS NOT NULL AND max_w >= {LEAST}) AS frequent, 0 AS pruned_by_apriori, 0 AS pruned_by_strategy,
+          (SELECT count(*) FROM one WHERE mni >= (SELECT sup FROM k) AND max_w >= {LEAST}) + count(*) FILTER (mni IS NOT NULL AND max_w >= {LEAST}) AS frequent, 0::BIGINT AS pruned_by_apriori, 0::BIGINT AS pruned_by_strategy,
           count(*) FILTER (mni IS NULL) AS pruned_by_structure, count(*) FILTER (max_w < {LEAST}) AS pruned_by_weight
         FROM seenw LEFT JOIN (SELECT * FROM f2 WHERE mni >= (SELECT sup FROM k)) USING (a, b, c)""",
     f"""{_EDGE}, {_PATH2}, {_GROWTHS}, ok AS (SELECT la, lb FROM one WHERE mni >= (SELECT sup FROM k) AND max_w >= {LEAST}), ok2 AS (SELECT la, lb FROM ok UNION SELECT lb, la FROM ok),
