@@ -88,7 +88,7 @@ def buckets(fps: DataFrame) -> DataFrame:
     met = fps.select("fp", F.lit(0).alias("side"), F.explode(ball(high, HALF)).alias("key"))
     probes = fps.select("fp", F.lit(1).alias("side"), F.explode(ball(low, HALF)).alias("k")).select("fp", "side", F.col("k").bitwiseOR(mark).alias("key"))
     exact = fps.select("fp", F.lit(2).alias("side"), low.bitwiseOR(mark).alias("key"))
-    # A fingerprint's own probe and exact value always meet, so members are counted by fingerprint.
+    # A bucket counts if it holds two different fingerprints; a fingerprint's own probe and exact value always meet.
     w = Window.partitionBy("key")
     rows = met.unionByName(probes).unionByName(exact)
     rows = rows.withColumn("n", F.count("*").over(w)).withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w))

@@ -101,6 +101,16 @@ def screened(snippets: list[tuple]) -> list[tuple]:
     return out
 
 
+def parted(snippets: list[tuple]) -> tuple[list[tuple], list[tuple[int, int, int]]]:
+    """Of snippets (id, dk, start, bytes) with equal bytes the first, and (dk, start, windows) of the later ones, which
+    are repeats as a whole, as later segments are."""
+    first: dict[bytes, tuple] = {}
+    for s in sorted(snippets, key=lambda s: (s[0], s[2])):
+        first.setdefault(s[3], s)
+    later = [(d, s, len(x) - WINDOW + 1) for i, d, s, x in snippets if (i, s) > (first[x][0], first[x][2])]
+    return list(first.values()), later
+
+
 def repeats(snippets: list[tuple], disk_limit: int = induced.IN_MEMORY) -> list[list[int]]:
     """For each snippet (place, start, bytes) the offsets of the windows that also start earlier; a window's place is
     (place, start + offset), places being ordered values. Equal windows of one and the same place stay.
@@ -152,9 +162,9 @@ def shard_repeats(shards: DataFrame) -> DataFrame:
         schema = pa.schema([("dk", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
 
         def solved(held):
-            snippets = screened(held)
+            snippets, copies = parted(screened(held))
             found = repeats([(i, s, x) for i, _, s, x in snippets]) if snippets else []
-            rows = [(snippets[k][1], snippets[k][2] + a, n) for k, offsets in enumerate(found) for a, n in runs(offsets)]
+            rows = copies + [(snippets[k][1], snippets[k][2] + a, n) for k, offsets in enumerate(found) for a, n in runs(offsets)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], schema=schema)
 
         held, size, before = [], 0, None
