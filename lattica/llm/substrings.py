@@ -3,7 +3,7 @@
 Every 100-byte window is dealt to a shard by its least 40-byte hash, which two equal windows share. A run of windows
 with one such hash is a segment, and its bytes a snippet. Segments that are equal as a whole need no sorting: all but
 the first are repeats. What is left of hashes that have several different segments, mostly the borders of repeated
-passages, is sorted shard by shard with lattica.llm.induced.
+passages, is sorted shard by shard with lattica.llm.induced; so is a lone segment that holds one window twice.
 """
 
 from __future__ import annotations
@@ -59,14 +59,29 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, hash, start, windows) of each segment, the hash being of its window starts' bytes and the 99 after."""
+def folded(data: bytes, grams: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For consecutive segments of so many windows, whether one holds a window twice, as periodic text does. Equal
+    windows begin with equal grams, so a text whose grams all differ needs no more."""
+    v = np.sort(grams)
+    if not (v[1:] == v[:-1]).any():
+        return np.zeros(len(size), bool)
+    h = gram_hashes(np.frombuffer(data, np.uint8), WINDOW)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    return np.bincount(owner[1:][(h[1:] == h[:-1]) & (owner[1:] == owner[:-1])], minlength=len(size)) > 0
+
+
+def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, hash, start, windows, folded) of each segment, the hash being of its window starts' bytes and the 99
+    after."""
     import xxhash
 
     if len(data) < WINDOW:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty
-    least = sliding_least(gram_hashes(np.frombuffer(data, np.uint8)), WINDOW - GRAM + 1)
+        return empty, empty, empty, empty, empty.astype(bool)
+    grams = gram_hashes(np.frombuffer(data, np.uint8))
+    least = sliding_least(grams, WINDOW - GRAM + 1)
     start = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
     size = np.diff(np.append(start, len(least)))
     if size.max() > LONGEST:
@@ -75,7 +90,7 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         start, size = np.repeat(start, pieces) + inside * LONGEST, np.minimum(np.repeat(size, pieces) - inside * LONGEST, LONGEST)
     h = xxhash.xxh3_64_intdigest
     hashes = np.array([h(data[a:b]) for a, b in zip(start.tolist(), (start + size + WINDOW - 1).tolist())], np.uint64)
-    return least[start].view(np.int64), hashes.view(np.int64), start, size
+    return least[start].view(np.int64), hashes.view(np.int64), start, size, folded(data, grams, size)
 
 
 def screened(snippets: list[tuple]) -> list[tuple]:
@@ -212,23 +227,23 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         for batch in batches:
             held, size = [], 0
             for i, d, x in zip(*[c.to_pylist() for c in batch.columns]):
-                key, h, start, windows = segments(x)
+                key, h, start, windows, twice = segments(x)
                 n = len(key)
-                held.append((key, h, np.full(n, -(1 << 63) if i is None else i), np.full(n, d), start.astype(np.int32), windows.astype(np.int16)))
+                held.append((key, h, np.full(n, -(1 << 63) if i is None else i), np.full(n, d), start.astype(np.int32), windows.astype(np.int16), twice))
                 size += n
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "h", "id", "dk", "start", "windows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "h", "id", "dk", "start", "windows", "folded"])
                     held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "h", "id", "dk", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "h", "id", "dk", "start", "windows", "folded"])
 
-    found = own.mapInArrow(emit, "key long, h long, id long, dk long, start int, windows short")
+    found = own.mapInArrow(emit, "key long, h long, id long, dk long, start int, windows short, folded boolean")
     alike = Window.partitionBy("key", "h").orderBy("id", "start")
     group = Window.partitionBy("key")
     ranked = found.withColumn("rank", F.row_number().over(alike)).withColumn("first", F.first(F.struct("id", "start")).over(alike))
     ranked = ranked.withColumn("several", F.min("h").over(group) < F.max("h").over(group))
     later = F.struct("id", "start") > F.col("first")
-    picked = ranked.where((F.col("rank") > 1) & later | (F.col("rank") == 1) & F.col("several"))
+    picked = ranked.where((F.col("rank") > 1) & later | (F.col("rank") == 1) & (F.col("several") | F.col("folded")))
     picked = scratch.put(picked.select("key", "dk", "start", "windows", (F.col("rank") > 1).alias("whole")))
     to_sort = picked.where("not whole").select("key", "dk", "start", "windows")
     snippets = own.join(to_sort, "dk").select("key", F.coalesce("id", least).alias("id"), "dk", F.col("start").cast("long").alias("start"), _part(F.col("data"), F.col("start"), F.col("windows")).alias("data"))

@@ -89,3 +89,18 @@ def test_one_shard_with_little_memory():
     base = bytes(rng.choices(b"abc", k=400))
     snippets = [(i, 0, base[a : a + 200]) for i, a in enumerate([0, 50, 100, 50, 0])]
     assert substrings.repeats(snippets, 50) == substrings.repeats(snippets)
+
+
+def test_lone_periodic_texts(spark):
+    rng = random.Random(8)
+    rows = []
+    for k, n in enumerate([101, 110, 127, 140, 160, 188, 200, 227, 300, 600]):
+        for period in (1, 2, 7, 30, 59, 60, 61, 62):
+            unit = "".join(chr(0x100 + rng.randrange(500)) if i % 9 == 8 else rng.choice("abcdefgh") for i in range(period))
+            text = "".join(rng.choices("klmnop", k=40)) + (unit * n)[:n] if period % 2 else (unit * n)[:n]
+            rows += [(len(rows) + i, text) for i in range(1 + (k % 3 == 2))]
+    rows.append((len(rows), "abcdefg" * 20))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r) for r in substrings.op3_digests(substrings.repeated_spans(docs, Scratch(spark, "t"))).collect()}
+    assert got[len(rows) - 1][2] == 133
+    assert sorted(got.values()) == sorted(plain([(d, t.encode()) for d, t in rows]))
