@@ -1,4 +1,5 @@
-"""Quality classifier from weak labels: EM over overlapping heuristic labellers, then a hashed linear scorer."""
+"""Quality classifier from weak labels: EM over overlapping heuristic labellers, then a hashed linear scorer. Toxic
+texts are found by words of abuse and by a linear model over word beginnings, learnt from labels in all languages."""
 
 from __future__ import annotations
 
@@ -26,11 +27,75 @@ ABUSE = frozenset("""idiot idiots idiotic moron morons moronic stupid stupidity
 disgusting clown clowns dumb dumbass imbecile cretin filth filthy vermin jerk bastard bitch slut whore asshole retard pig pigs freak
 coward cowards degenerate""".split())
 TOXIC_FROM = 2
+#: Toxicity is learnt from so many documents at most that are labelled 0 and 1, those with the least hashes of their ids.
+TOXIC_ROWS = (3000, 1500)
+#: Lengths of the word beginnings that it looks at, and how often a text must hold one.
+STEMS = (4, 5, 7)
+TIMES = (1, 2, 4)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def abusive(text: str) -> int:
-    return sum(w in ABUSE for w in _WORDS.findall(text.lower()))
+def words_of(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
+
+
+def abusive(words: list[str]) -> int:
+    return sum(w in ABUSE for w in words)
+
+
+def stems(words: Counter) -> Counter:
+    """How many words begin so, for each beginning; a short word is one of its own."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        for s in {w[:k] for k in STEMS}:
+            out[s] += n
+    return out
+
+
+@dataclass
+class Toxicity:
+    #: For each word beginning its weight if it occurs TIMES[0] times or more, TIMES[1] times or more, and so on.
+    weights: dict[str, tuple[float, ...]]
+    bias: float = -1.0
+
+    def __post_init__(self):
+        self.begins = {s[: STEMS[0]] for s in self.weights}
+
+    def score(self, words: list[str]) -> float:
+        """Log odds of a toxic text."""
+        k, begins = STEMS[0], self.begins
+        found = stems(Counter([w for w in words if w[:k] in begins]))
+        return self.bias + sum(v for s, n in found.items() if s in self.weights for v, t in zip(self.weights[s], TIMES) if n >= t)
+
+
+def learn_toxicity(rows: list[tuple[int, Counter]], odds: float, steps: int = 300, decay: float = 1e-3, least: int = 5, strong: float = 4.0) -> Toxicity:
+    """Logistic regression on (label, words) rows, by Adam steps, over the beginnings that `least` toxic texts or more
+    hold and whose share differs between the classes by `strong` standard errors. odds: of toxic texts to others among
+    all labelled ones, for a sample that is richer in them. Without rows of both classes no text is toxic."""
+    y = np.array([r[0] for r in rows], float)
+    n1, n0 = y.sum(), len(y) - y.sum()
+    if not n1 or not n0:
+        return Toxicity({})
+    in_toxic = Counter(s for label, words in rows if label for s in stems(words))
+    number = {s: k for k, s in enumerate(sorted(s for s, n in in_toxic.items() if n >= least))}
+    cells = [(i, number[s] * len(TIMES) + j) for i, (_, words) in enumerate(rows) for s, n in stems(words).items() if s in number for j, t in enumerate(TIMES) if n >= t]
+    row, column = np.array(cells, np.int64).reshape(-1, 2).T
+    size = len(number) * len(TIMES)
+    held = np.bincount(column, minlength=size)
+    toxic = np.bincount(column, y[row], size)
+    share = held / len(y)
+    apart = (toxic / n1 - (held - toxic) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    picked = (np.abs(apart) > strong) & (held >= least)
+    row, column = row[picked[column]], column[picked[column]]
+    w = np.append(np.zeros(size), np.log(n1 / n0))
+    mean, square = np.zeros(size + 1), np.zeros(size + 1)
+    for t in range(1, steps + 1):
+        error = 1 / (1 + np.exp(-(np.bincount(row, w[column], len(y)) + w[-1]))) - y
+        step = np.append(np.bincount(column, error[row], size) / len(y) + decay * w[:-1], error.mean())
+        mean, square = 0.9 * mean + 0.1 * step, 0.999 * square + 0.001 * step * step
+        w -= 0.03 * mean / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
+    weights = {s: tuple(w[k * len(TIMES) : (k + 1) * len(TIMES)].tolist()) for s, k in number.items() if picked[k * len(TIMES) : (k + 1) * len(TIMES)].any()}
+    return Toxicity(weights, float(w[-1] + np.log(odds) - np.log(n1 / n0)))
 
 
 def shape(word: str) -> str:
@@ -187,9 +252,36 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     return model, fit_scorer([np.array(g[2], np.int64) for g in got], target)
 
 
-def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: tuple[int, int] = TOXIC_ROWS) -> Toxicity:
+    """The toxicity model over a bounded sample of labelled documents, of which word counts come to the driver.
+
+    Labels that are null or not of a document are passed over; of several for one id the greatest counts.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    if len(counts) < 2:
+        return Toxicity({})
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[y]) for y in (0, 1)]
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, y, t in zip(*[c.to_pylist() for c in batch.columns]):
+                words = " ".join(f"{w} {n}" for w, n in sorted(Counter(words_of(t or "")).items()))
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "y": pa.array([y], pa.int32()), "words": pa.array([words], pa.string())})
+
+    texts = _columns(docs, id_col, text_col).join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "y", "text")
+    got = sorted(map(tuple, texts.mapInArrow(count, "doc_id long, y int, words string").collect()))
+    split = [(y, words.split()) for _, y, words in got]
+    return learn_toxicity([(y, Counter(dict(zip(w[::2], map(int, w[1::2]))))) for y, w in split], counts[1] / counts[0])
+
+
+def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", toxicity: Toxicity | None = None) -> DataFrame:
     """(doc_id, posterior, score, toxic, kept) for each row: the label model's posterior of the row's votes, the
-    scorer's probability, and the verdict, which is the scorer's unless the text is toxic.
+    scorer's probability, and the verdict, which is the scorer's unless the text is toxic: by words of abuse, or by
+    the toxicity model, if one is given.
 
     A null text counts as empty and scores 0, as does one of white space. Repeated rows are kept, other columns not
     read. The weights, BUCKETS numbers whatever the input, go to each task.
@@ -204,7 +296,8 @@ def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, id_col: str = "
                 texts = [t.as_py() or "" for t in part.column("text")]
                 posterior = model.posterior(np.array([votes(t) for t in texts], np.int64))
                 score = np.array([scorer.score(hashed(t)) for t in texts])
-                toxic = np.array([abusive(t) >= TOXIC_FROM for t in texts])
+                words = map(words_of, texts)
+                toxic = np.array([abusive(w) >= TOXIC_FROM or toxicity is not None and toxicity.score(w) > 0 for w in words])
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "posterior": posterior, "score": score, "toxic": toxic, "kept": (score >= KEEP_FROM) & ~toxic})
 
     return _columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, posterior double, score double, toxic boolean, kept boolean")
@@ -212,4 +305,4 @@ def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, id_col: str = "
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return classify(docs, *fit(docs))
+    return classify(docs, *fit(docs), toxicity=fit_toxicity(docs, table(spark, sf_dir, "labels")))

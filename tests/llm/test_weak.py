@@ -48,3 +48,25 @@ def test_documents_nulls_copies_and_clashing_columns(spark):
     assert not by[1000].kept and not by[1001].kept and by[None].kept
     empty = docs.limit(0)
     assert weak.classify(empty, *weak.fit(empty)).count() == 0
+
+
+def test_toxicity_is_learnt_in_every_language(spark):
+    rng = random.Random(4)
+    rows, labels, abuse = [], [], {"de": "schurkel", "fr": "crétinou", "ru": "негодяй"}
+    for i in range(480):
+        lang, toxic = rng.choice(list(abuse)), i % 4 == 0
+        words = made(rng, "good").split()
+        if toxic:
+            words[7] = words[70] = abuse[lang] + rng.choice(["", "en", "s", "!"])
+        rows.append((i, " ".join(words)))
+        if i < 360:
+            labels.append((i, int(toxic)))
+    docs = spark.createDataFrame([*rows, (1000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([*labels, (None, 1), (1, None), (5000, 1)], "doc_id long, toxic int")
+    model, scorer = weak.fit(docs)
+    toxicity = weak.fit_toxicity(docs, labels)
+    got = {r.doc_id: r for r in weak.classify(docs, model, scorer, toxicity=toxicity).collect()}
+    for i in range(480):
+        assert got[i].toxic == (i % 4 == 0) and (got[i].kept or got[i].toxic), i
+    assert not got[1000].toxic
+    assert weak.fit_toxicity(docs, labels.where("toxic = 0")).weights == {} == weak.fit_toxicity(docs.limit(0), labels).weights
