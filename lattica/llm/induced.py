@@ -4,8 +4,9 @@ A suffix is of type S if it is smaller than the next one, else L; an S suffix af
 between seeds are sorted through a disk-backed merge and named, the string of names is sorted by recursion, and the
 order of the seeds then induces that of all L suffixes (left to right) and of all S suffixes (right to left). What is
 induced goes through a monotone priority queue: keyed by first symbol, first in first out within a symbol, it holds
-tuples (suffix, common prefix with the tuple before). Its columns, like all others here, are in memory up to a limit
-and in mapped temporary files beyond, so a string may be far larger than memory; the files go when the sort ends.
+tuples (suffix, common prefix with the tuple before). Its columns, and the runs of the merge, are in memory up to a
+limit and in mapped temporary files beyond; the files go when the sort ends. The text, types, names and order of the
+seeds are in memory at any size, so the caller bounds the string.
 """
 
 from __future__ import annotations

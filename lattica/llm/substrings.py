@@ -4,6 +4,8 @@ Every 100-byte window is dealt to a shard by its least 40-byte hash, which two e
 with one such hash is a segment, and its bytes a snippet. Segments that are equal as a whole need no sorting: all but
 the first are repeats. What is left of hashes that have several different segments, mostly the borders of repeated
 passages, is sorted shard by shard with lattica.llm.induced; so is a lone segment that holds one window twice.
+Hashes with more bytes of such segments than HOT aren't sorted in a task but compared window by window as a table, so a
+task never holds more than SHARD + HOT bytes of snippets.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ WINDOW = 100
 GRAM = 40
 #: Windows of a segment at most; a longer run, as periodic text makes, is cut.
 LONGEST = 128
-#: Bytes of snippets that are sorted together; a hash with more has its own, larger sort, on disk if need be.
+#: Bytes of snippets that are sorted together.
 SHARD = 2 << 20
+#: Bytes of one hash's snippets above which they aren't sorted but joined by their windows.
+HOT = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -169,7 +173,10 @@ def runs(offsets: list[int]) -> list[tuple[int, int]]:
 
 
 def shard_repeats(shards: DataFrame) -> DataFrame:
-    """(dk, start, windows): runs of repeated windows, from snippets (key, id, dk, start, data) sorted by key."""
+    """(dk, start, windows): runs of repeated windows, from snippets (key, id, dk, start, data) sorted by key, dk, start.
+
+    Of repeated rows, whose snippets are one and the same, the first is held.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -182,21 +189,39 @@ def shard_repeats(shards: DataFrame) -> DataFrame:
             rows = copies + [(snippets[k][1], snippets[k][2] + a, n) for k, offsets in enumerate(found) for a, n in runs(offsets)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], schema=schema)
 
-        held, size, before = [], 0, None
+        held, size, before = [], 0, (None,)
         for batch in batches:
             for key, i, d, s, x in zip(*[c.to_pylist() for c in batch.columns]):
-                if size >= SHARD and key != before:
+                if (key, d, s) == before:
+                    continue
+                if size >= SHARD and key != before[0]:
                     yield solved(held)
                     held, size = [], 0
                 held.append((i, d, s, x))
                 size += len(x)
-                before = key
+                before = key, d, s
         if held:
             yield solved(held)
 
     return shards.mapInArrow(run, "dk long, start long, windows long")
 
 
+def joined_repeats(snippets: DataFrame) -> DataFrame:
+    """(dk, start, windows): single repeated windows of snippets (key, id, dk, start, data), without sorting.
+
+    Windows whose hash occurs once among those of their key are left out by a grouped count; the rest is compared by
+    its bytes. Both groupings are pre-aggregated and joined back, so one window of all snippets is no task of its own.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.length("data") - F.lit(WINDOW))).alias("at")
+    windows = snippets.select("key", "id", "dk", "start", "data", at)
+    windows = windows.select("key", "id", "dk", (F.col("start") + F.col("at")).alias("start"), F.substring(F.col("data"), F.col("at") + 1, F.lit(WINDOW)).alias("window")).withColumn("h", F.xxhash64("window"))
+    twice = windows.groupBy("key", "h").agg(F.count("*").alias("n")).where("n > 1").select("key", "h")
+    alike = windows.join(twice, ["key", "h"], "left_semi").select("id", "dk", "start", "window")
+    first = alike.groupBy("window").agg(F.min(F.struct("id", "start")).alias("first"))
+    later = alike.join(first, "window").where(F.struct("id", "start") > F.col("first"))
+    return later.select("dk", F.col("start").cast("long").alias("start"), F.lit(1).cast("long").alias("windows"))
+
+
 def covered(n: int, marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs (begin, end) of the bytes that the marked windows cover."""
     out: list[list[int]] = []
@@ -242,13 +267,22 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     group = Window.partitionBy("key")
     ranked = found.withColumn("rank", F.row_number().over(alike)).withColumn("first", F.first(F.struct("id", "start")).over(alike))
     ranked = ranked.withColumn("several", F.min("h").over(group) < F.max("h").over(group))
+    size = F.when(F.col("rank") == 1, F.col("windows") + F.lit(WINDOW - 1))
+    ranked = ranked.withColumn("hot", F.sum(size).over(group) > HOT)
     later = F.struct("id", "start") > F.col("first")
     picked = ranked.where((F.col("rank") > 1) & later | (F.col("rank") == 1) & (F.col("several") | F.col("folded")))
-    picked = scratch.put(picked.select("key", "dk", "start", "windows", (F.col("rank") > 1).alias("whole")))
-    to_sort = picked.where("not whole").select("key", "dk", "start", "windows")
-    snippets = own.join(to_sort, "dk").select("key", F.coalesce("id", least).alias("id"), "dk", F.col("start").cast("long").alias("start"), _part(F.col("data"), F.col("start"), F.col("windows")).alias("data"))
-    shards = snippets.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    picked = scratch.put(picked.select("key", "dk", "start", "windows", (F.col("rank") > 1).alias("whole"), "hot"))
+
+    def snippets(of):
+        return own.join(of, "dk").select("key", F.coalesce("id", least).alias("id"), "dk", F.col("start").cast("long").alias("start"), _part(F.col("data"), F.col("start"), F.col("windows")).alias("data"))
+
+    to_sort = picked.where("not whole").select("key", "dk", "start", "windows", "hot")
+    shards = snippets(to_sort.where("not hot")).repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "dk", "start")
     marks = picked.where("whole").select("dk", F.col("start").cast("long").alias("start"), F.col("windows").cast("long").alias("windows")).unionByName(shard_repeats(shards))
+    # a table of its own, so that few hot segments need no shuffle of the texts
+    hot = scratch.put(to_sort.where("hot").drop("hot"))
+    if not hot.isEmpty():
+        marks = marks.unionByName(joined_repeats(scratch.put(snippets(hot).dropDuplicates(["dk", "start"]))))
     # a list is of one document and no longer than its text
     lists = marks.distinct().groupBy("dk").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     return own.join(lists, "dk", "left").select("id", "data", "marks")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lattica.llm import induced, substrings
 from lattica.llm.common import Scratch
@@ -104,3 +105,26 @@ def test_lone_periodic_texts(spark):
     got = {r.doc_id: tuple(r) for r in substrings.op3_digests(substrings.repeated_spans(docs, Scratch(spark, "t"))).collect()}
     assert got[len(rows) - 1][2] == 133
     assert sorted(got.values()) == sorted(plain([(d, t.encode()) for d, t in rows]))
+
+
+def test_no_key_of_a_shard_is_hot(spark, monkeypatch):
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdefé ", k=n))
+    passage, borders = noise(160), [noise(50) for _ in range(12)]
+    rows = [(d, noise(60) + rng.choice(borders)[rng.randrange(40) :] + passage + rng.choice(borders)[: rng.randrange(50)] + noise(60)) for d in range(300)]
+    rows += [(300 + k, "ab" * (60 + k)) for k in range(40)] + rows[:5] + [rows[7]] * 200
+    monkeypatch.setattr(substrings, "SHARD", 4000)
+    monkeypatch.setattr(substrings, "HOT", 3000)
+    sizes, joined, shard_repeats, joined_repeats = [], [], substrings.shard_repeats, substrings.joined_repeats
+
+    def watched(shards):
+        # the largest key's snippets, each once
+        sizes.extend(r.n for r in shards.dropDuplicates(["dk", "start"]).selectExpr("key", "length(data) as n").groupBy("key").agg(F.sum("n").alias("n")).collect())
+        return shard_repeats(shards)
+
+    monkeypatch.setattr(substrings, "shard_repeats", watched)
+    monkeypatch.setattr(substrings, "joined_repeats", lambda hot: joined.append(hot.count()) or joined_repeats(hot))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.op3_digests(substrings.repeated_spans(docs, Scratch(spark, "t"))).collect()
+    assert sorted(map(tuple, got)) == sorted(plain([(d, t.encode()) for d, t in rows]))
+    assert max(sizes) <= 3000 and joined[0] > 100
