@@ -102,3 +102,15 @@ def test_demand_is_inverted(spark):
         df = spark.range(11).select((F.col("id") / 10).alias("share"))
         for r in df.select("share", mixing.demand_time(F.col("share"), F.lit(slope)).alias("t")).collect():
             assert abs(slope * r.t**2 + (1 - slope) * r.t - r.share) < 1e-9
+
+
+def test_one_of_fully_repeated_rows_is_kept(spark, tmp_path):
+    rows = [(1, "a b c")] * 3 + [(2, "abc")] * 2 + [(3, "x y")] * 2 + [(None, "zz")] * 2 + [(4, None)] * 2 + [(5, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for digest_all in (True, False):
+        got = exact.refine(docs, Scratch(spark, "t"), digest_all=digest_all, single=True).collect()
+        assert len(got) == len(rows)
+        assert sorted(str(r.id) for r in got if r.kept) == ["1", "3", "4", "5", "None"]
+        assert sorted({(r.keep_id or 0, r.group_size) for r in got}) == [(0, 2), (1, 5), (3, 2), (4, 2), (5, 1)]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(str(r.doc_id) for r in exact.op10_exact_dedup(spark, str(tmp_path)).where("kept").collect()) == ["1", "3", "4", "5", "None"]
