@@ -1,7 +1,9 @@
 """Existence search for patterns whose occurrence tables would be too large.
 
-Domains are reduced with joins; then each (pattern, position, vertex) is searched for one occurrence, in parallel,
-over adjacency arrays that every task holds. The arrays are only sent if the graph is below a size that is checked.
+Vertices are filtered by label and degree with joins; then each (pattern, position, vertex) is searched for one
+occurrence, in parallel, over adjacency arrays that every task holds. The arrays are only sent if the graph is below a
+size that is checked. Domains are reduced no further: arc consistency, neighbour profiles, inherited domains and pivot
+voting are functions of their own, some with queries, that mining does not use.
 A budget bounds the steps of a search; a search that it ends counts as without occurrence, so that support is then a
 lower bound, and says so.
 """
