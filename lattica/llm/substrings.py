@@ -1,11 +1,14 @@
 """Removal of repeated substrings by suffix sorting.
 
 Every 100-byte window is dealt to a shard by its least 40-byte hash, which two equal windows share. A run of windows
-with one such hash is a segment, and its bytes a snippet. Segments that are equal as a whole need no sorting: all but
-the first are repeats. What is left of hashes that have several different segments, mostly the borders of repeated
-passages, is sorted shard by shard with lattica.llm.induced; so is a lone segment that holds one window twice.
-Hashes with more bytes of such segments than HOT aren't sorted in a task but compared window by window as a table, so a
-task never holds more than SHARD + HOT bytes of snippets.
+with one such hash is a segment, and its bytes a snippet. Snippets whose hash no other segment has are left out, unless
+they hold a window twice; all others are sorted, shard by shard, with lattica.llm.induced, and the order of their
+suffixes with the common-prefix values alone says which windows repeat. Hashes only deal work out.
+
+A shard's snippets with the same bytes stand in the sorted string once, with all their places. A hash with more bytes
+of snippets than HOT is split: its snippets are dealt at random to parts that are sorted by themselves, and the windows
+that stay in each part are dealt anew by the least hashes of longer strings, in the end of whole windows, until no
+hash has more than HOT. So a task never sorts more than SHARD + HOT bytes, whatever one passage's share of the corpus.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import induced
@@ -23,9 +26,11 @@ WINDOW = 100
 GRAM = 40
 #: Windows of a segment at most; a longer run, as periodic text makes, is cut.
 LONGEST = 128
-#: Bytes of snippets that are sorted together.
-SHARD = 2 << 20
-#: Bytes of one hash's snippets above which they aren't sorted but joined by their windows.
+#: Lengths of the hashed strings by which the rest of a hot hash is dealt anew; the last one is taken again if need be.
+FINER = (70, WINDOW)
+#: Bytes of different snippets that are sorted together.
+SHARD = 4 << 20
+#: Bytes of one hash's snippets above which it is split.
 HOT = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
@@ -76,150 +81,183 @@ def folded(data: bytes, grams: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.bincount(owner[1:][(h[1:] == h[:-1]) & (owner[1:] == owner[:-1])], minlength=len(size)) > 0
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, hash, start, windows, folded) of each segment, the hash being of its window starts' bytes and the 99
-    after."""
-    import xxhash
-
+def segments(data: bytes, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, windows, folded) of each segment, the key being the least hash of its windows' strings of so many
+    bytes."""
     if len(data) < WINDOW:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty.astype(bool)
-    grams = gram_hashes(np.frombuffer(data, np.uint8))
-    least = sliding_least(grams, WINDOW - GRAM + 1)
+        return empty, empty, empty, empty.astype(bool)
+    grams = gram_hashes(np.frombuffer(data, np.uint8), gram)
+    least = sliding_least(grams, WINDOW - gram + 1)
     start = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
     size = np.diff(np.append(start, len(least)))
     if size.max() > LONGEST:
         pieces = -(-size // LONGEST)
         inside = np.arange(pieces.sum()) - np.repeat(pieces.cumsum() - pieces, pieces)
         start, size = np.repeat(start, pieces) + inside * LONGEST, np.minimum(np.repeat(size, pieces) - inside * LONGEST, LONGEST)
-    h = xxhash.xxh3_64_intdigest
-    hashes = np.array([h(data[a:b]) for a, b in zip(start.tolist(), (start + size + WINDOW - 1).tolist())], np.uint64)
-    return least[start].view(np.int64), hashes.view(np.int64), start, size, folded(data, grams, size)
-
-
-def screened(snippets: list[tuple]) -> list[tuple]:
-    """Snippets (..., start, bytes) cut down to where sorting can find something: from the first to the last window
-    whose hash occurs twice or more in the shard; those without one are left out. Equal windows have equal hashes, so
-    nothing is lost, and a hash decides nothing else."""
-    if not snippets:
-        return []
-    sizes = np.array([len(s[-1]) for s in snippets])
-    begin = sizes.cumsum() - sizes
-    data = b"".join(s[-1] for s in snippets)
-    windows = sizes - WINDOW + 1
-    owner = np.repeat(np.arange(len(snippets)), windows)
-    at = np.arange(windows.sum()) - np.repeat(windows.cumsum() - windows, windows)
-    _, which, count = np.unique(gram_hashes(np.frombuffer(data, np.uint8), WINDOW)[begin[owner] + at], return_inverse=True, return_counts=True)
-    twice = np.flatnonzero(count[which] > 1)
-    who, first = np.unique(owner[twice], return_index=True)
-    last = np.append(first[1:], len(twice)) - 1
-    out = []
-    for k, a, b in zip(who.tolist(), at[twice[first]].tolist(), at[twice[last]].tolist()):
-        *head, start, x = snippets[k]
-        out.append((*head, start + a, x[a : b + WINDOW]))
-    return out
+    return least[start].view(np.int64), start, size, folded(data, grams, size)
 
 
-def parted(snippets: list[tuple]) -> tuple[list[tuple], list[tuple[int, int, int]]]:
-    """Of snippets (id, dk, start, bytes) with equal bytes the first, and (dk, start, windows) of the later ones, which
-    are repeats as a whole, as later segments are."""
-    first: dict[bytes, tuple] = {}
-    for s in sorted(snippets, key=lambda s: (s[0], s[2])):
-        first.setdefault(s[3], s)
-    later = [(d, s, len(x) - WINDOW + 1) for i, d, s, x in snippets if (i, s) > (first[x][0], first[x][2])]
-    return list(first.values()), later
+_SHIFTED = bytes((b + 2) % 256 for b in range(256))
 
 
-def repeats(snippets: list[tuple], disk_limit: int = induced.IN_MEMORY) -> list[list[int]]:
-    """For each snippet (place, start, bytes) the offsets of the windows that also start earlier; a window's place is
-    (place, start + offset), places being ordered values. Equal windows of one and the same place stay.
+def joined_text(texts: list[bytes], disk: induced.Disk) -> np.ndarray:
+    """The strings one after the other, each followed by a mark that no string holds, and the last by the least one."""
+    n = sum(map(len, texts)) + len(texts) + 1
+    wide = max((max(t) for t in texts), default=0) > 253
+    out, at = disk.column(n, np.uint16 if wide else np.uint8), 0
+    for t in texts:
+        out[at : at + len(t)] = np.frombuffer(t, np.uint8).astype(np.uint16) + 2 if wide else np.frombuffer(t.translate(_SHIFTED), np.uint8)
+        out[at + len(t)] = 1
+        at += len(t) + 1
+    return out
+
 
-    All snippets are sorted as one string; each ends in a symbol of its own, so no common prefix leaves a snippet.
+def sorted_groups(texts: list[bytes], disk: induced.Disk):
+    """(group, string, offset) arrays of the windows that the strings hold twice or more, group by group; a window's
+    group are the neighbours in the order of suffixes that share WINDOW symbols with it."""
+    size = np.array([len(t) for t in texts])
+    begin = (size + 1).cumsum() - size - 1
+    text = joined_text(texts, disk)
+    done, p_held, new_held = 0, np.zeros(0, np.int64), np.zeros(0, bool)
+    for p, shared in induced.sort_suffixes(text, disk, WINDOW, WINDOW):
+        p, new = np.append(p_held, p), np.append(new_held, shared < WINDOW)
+        # the last group may go on in the next block
+        cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        p_held, new_held = p[cut:], new[cut:]
+        p, new = p[:cut], new[:cut]
+        several = ~(new & np.append(new[1:], True))
+        group, p = done + np.cumsum(new)[several], p[several]
+        done += int(new.sum())
+        owner = np.searchsorted(begin, p, "right") - 1
+        offset = p - begin[owner]
+        inside = offset + WINDOW <= size[owner]
+        yield group[inside], owner[inside], offset[inside]
+    # the last suffix is the end mark alone, and what is held with it no window
+
+
+def repeats(texts: list[bytes], rows: np.ndarray, disk_limit: int = induced.IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows also start earlier, of strings that stand at places: rows (string, id, start, dk).
+
+    Two arrays: (string, offset, windows), runs of windows that are repeated at the string's first place, and for each
+    row whether its place is the string's first. A later place repeats all windows of the string. Places are ordered by
+    id and start; equal ones are both first.
     """
-    m = len(snippets)
-    parts, owner, begin, at = [], [], [], 0
-    for k, (_, _, data) in enumerate(snippets):
-        begin.append(at)
-        parts.append(np.frombuffer(data, np.uint8).astype(np.int64) + m)
-        parts.append(np.array([m - 1 - k]))
-        at += len(data) + 1
-    text = np.concatenate(parts)
-    owner = np.repeat(np.arange(m), np.diff([*begin, at]))
-    disk = induced.Disk(disk_limit)
-    order, shared = induced.sort_suffixes(text, disk, WINDOW)
-    order, shared = np.array(order, np.int64), np.array(shared, np.int64)
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+    lead = order[np.append(True, np.diff(rows[order, 0]) > 0)] if len(rows) else order
+    where, at = rows[lead, 1], rows[lead, 2]
+    k = rows[:, 0]
+    first = (rows[:, 1] == where[k]) & (rows[:, 2] == at[k])
+    disk, found = induced.Disk(disk_limit), []
+    for group, owner, offset in sorted_groups(texts, disk):
+        if not len(group):
+            continue
+        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        size = np.diff(np.append(cut, len(group)))
+        doc, start = where[owner], at[owner] + offset
+        least_doc = np.repeat(np.minimum.reduceat(doc, cut), size)
+        least = np.repeat(np.minimum.reduceat(np.where(doc == least_doc, start, 1 << 62), cut), size)
+        later = (doc > least_doc) | (start > least)
+        found.append(owner[later] << 32 | offset[later])
     disk.close()
-    found: list[list[int]] = [[] for _ in range(m)]
-    joined = shared >= WINDOW
-    ends = np.append(np.flatnonzero(~joined[1:]) + 1, len(order))
-    begins = np.append(0, ends[:-1])
-    for a, b in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist()):
-        group = [(k, p - begin[k]) for p in order[a:b].tolist() for k in (int(owner[p]),)]
-        where = [(snippets[k][0], snippets[k][1] + o) for k, o in group]
-        first = min(where)
-        for (k, o), w in zip(group, where):
-            if w > first:
-                found[k].append(o)
-    return found
-
-
-def runs(offsets: list[int]) -> list[tuple[int, int]]:
-    """(first, count) of the runs of consecutive numbers."""
-    if not offsets:
-        return []
-    v = np.array(sorted(offsets))
-    cut = np.flatnonzero(np.diff(v) != 1) + 1
-    return [(int(p[0]), len(p)) for p in np.split(v, cut)]
-
-
-def shard_repeats(shards: DataFrame) -> DataFrame:
-    """(dk, start, windows): runs of repeated windows, from snippets (key, id, dk, start, data) sorted by key, dk, start.
-
-    Of repeated rows, whose snippets are one and the same, the first is held.
-    """
+    v = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.append(True, np.diff(v) != 1)) if len(v) else np.zeros(0, np.int64)
+    runs = np.stack([v[head] >> 32, v[head] & 0xFFFFFFFF, np.diff(np.append(head, len(v)))], 1)
+    return runs, first
+
+
+def marked(texts: list[bytes], rows: np.ndarray, rest: bool) -> list[tuple]:
+    """(dk, start, windows, id, data) of the runs of repeated windows, with data null, and, if the rest is wanted, of
+    the runs of all other windows, with their bytes."""
+    runs, first = repeats(texts, rows)
+    windows = np.array([len(t) - WINDOW + 1 for t in texts])
+    again = rows[~first]
+    out = list(zip(again[:, 3].tolist(), again[:, 2].tolist(), windows[again[:, 0]].tolist(), [None] * len(again), [None] * len(again)))
+    begin = np.searchsorted(runs[:, 0], np.arange(len(texts) + 1))
+    places = rows[first]
+    count = np.diff(begin)[places[:, 0]]
+    row = np.repeat(np.arange(len(places)), count)
+    run = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count) + begin[places[row, 0]]
+    out += zip(places[row, 3].tolist(), (places[row, 2] + runs[run, 1]).tolist(), runs[run, 2].tolist(), [None] * len(row), [None] * len(row))
+    if rest:
+        for k, place, start, dk in places.tolist():
+            at = 0
+            for a, n in [*runs[begin[k] : begin[k + 1], 1:].tolist(), (int(windows[k]), 0)]:
+                if a > at:
+                    out.append((dk, start + at, a - at, place, texts[k][at : a + WINDOW - 1]))
+                at = a + n
+    return out
+
+
+def shard_repeats(shards: DataFrame, rest: bool = False) -> DataFrame:
+    """marked() of snippets (key, id, dk, start, data) that are sorted by key, dk, start within their partitions. Whole
+    keys are sorted together, up to SHARD bytes. Of repeated rows, whose snippets are one and the same, one counts."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("dk", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
+        schema = pa.schema([("dk", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("id", pa.int64()), ("data", pa.binary())])
+        number: dict[bytes, int] = {}
+        rows: list[tuple[int, int, int, int]] = []
+        size, before = 0, (None,)
 
-        def solved(held):
-            snippets, copies = parted(screened(held))
-            found = repeats([(i, s, x) for i, _, s, x in snippets]) if snippets else []
-            rows = copies + [(snippets[k][1], snippets[k][2] + a, n) for k, offsets in enumerate(found) for a, n in runs(offsets)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], schema=schema)
+        def solved():
+            out = marked(list(number), np.array(rows, np.int64).reshape(-1, 4), rest)
+            for a in range(0, len(out), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + 100_000]), schema)], schema=schema)
 
-        held, size, before = [], 0, (None,)
         for batch in batches:
-            for key, i, d, s, x in zip(*[c.to_pylist() for c in batch.columns]):
-                if (key, d, s) == before:
+            for key, place, dk, start, data in zip(*[c.to_pylist() for c in batch.columns]):
+                if (key, dk, start) == before:
                     continue
-                if size >= SHARD and key != before[0]:
-                    yield solved(held)
-                    held, size = [], 0
-                held.append((i, d, s, x))
-                size += len(x)
-                before = key, d, s
-        if held:
-            yield solved(held)
+                if key != before[0] and (size >= SHARD or len(rows) >= SHARD >> 3):
+                    yield from solved()
+                    number, rows, size = {}, [], 0
+                k = len(number)
+                if number.setdefault(data, k) == k and len(number) > k:
+                    size += len(data)
+                rows.append((number[data], place, start, dk))
+                before = key, dk, start
+        if rows:
+            yield from solved()
+
+    return shards.mapInArrow(run, "dk long, start long, windows long, id long, data binary")
+
+
+def dealt(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (key, dk, start, windows, folded, ...) whose key has several rows or a folded one: those of ordinary keys,
+    and those of hot keys, if any, with their key split by dk and start.
+
+    Counts are pre-aggregated. Hot keys are few, a row for HOT bytes or more, and are written as a table, so that the
+    size of that table decides how it is joined.
+    """
+    size = F.sum(F.col("windows").cast("long") + WINDOW - 1)
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), size.alias("size"), F.max("folded").alias("folded"))
+    keys = scratch.put(keys.where("n > 1 or folded").select("key", F.ceil(F.col("size") / HOT).cast("long").alias("ways")))
+    hot = scratch.put(keys.where("ways > 1"))
+    if hot.isEmpty():
+        return rows.join(keys, "key", "left_semi"), None
+    split = rows.join(hot, "key").withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("dk", "start"), "ways"))).drop("ways")
+    return rows.join(hot, "key", "left_anti").join(keys, "key", "left_semi"), scratch.put(split)
 
-    return shards.mapInArrow(run, "dk long, start long, windows long")
 
+def dealt_anew(rest: DataFrame, gram: int) -> DataFrame:
+    """Windows (dk, start, windows, id, data) that a part has left, as snippets by the least hashes of longer strings."""
 
-def joined_repeats(snippets: DataFrame) -> DataFrame:
-    """(dk, start, windows): single repeated windows of snippets (key, id, dk, start, data), without sorting.
+    def run(batches):
+        import pyarrow as pa
 
-    Windows whose hash occurs once among those of their key are left out by a grouped count; the rest is compared by
-    its bytes. Both groupings are pre-aggregated and joined back, so one window of all snippets is no task of its own.
-    """
-    at = F.explode(F.sequence(F.lit(0), F.length("data") - F.lit(WINDOW))).alias("at")
-    windows = snippets.select("key", "id", "dk", "start", "data", at)
-    windows = windows.select("key", "id", "dk", (F.col("start") + F.col("at")).alias("start"), F.substring(F.col("data"), F.col("at") + 1, F.lit(WINDOW)).alias("window")).withColumn("h", F.xxhash64("window"))
-    twice = windows.groupBy("key", "h").agg(F.count("*").alias("n")).where("n > 1").select("key", "h")
-    alike = windows.join(twice, ["key", "h"], "left_semi").select("id", "dk", "start", "window")
-    first = alike.groupBy("window").agg(F.min(F.struct("id", "start")).alias("first"))
-    later = alike.join(first, "window").where(F.struct("id", "start") > F.col("first"))
-    return later.select("dk", F.col("start").cast("long").alias("start"), F.lit(1).cast("long").alias("windows"))
+        names = ["key", "id", "dk", "start", "windows", "folded", "data"]
+        for batch in batches:
+            out = []
+            for place, dk, start, data in zip(*[batch.column(c).to_pylist() for c in ("id", "dk", "start", "data")]):
+                key, begin, windows, _ = segments(data, gram)
+                out += [(k, place, dk, start + a, n, False, data[a : a + n + WINDOW - 1]) for k, a, n in zip(key.tolist(), begin.tolist(), windows.tolist())]
+            for a in range(0, len(out), 50_000):
+                columns = list(zip(*out[a : a + 50_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 5, pa.bool_(), pa.binary()])], names=names)
+
+    return rest.mapInArrow(run, "key long, id long, dk long, start long, windows long, folded boolean, data binary")
 
 
 def covered(n: int, marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -245,44 +283,42 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     least = F.lit(-(1 << 63))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(id_col).cast("long"), least), data).alias("dk"), data.alias("data"))
+    ways = partitions(docs.sparkSession)
 
     def emit(batches):
         import pyarrow as pa
 
         for batch in batches:
             held, size = [], 0
-            for i, d, x in zip(*[c.to_pylist() for c in batch.columns]):
-                key, h, start, windows, twice = segments(x)
-                n = len(key)
-                held.append((key, h, np.full(n, -(1 << 63) if i is None else i), np.full(n, d), start.astype(np.int32), windows.astype(np.int16), twice))
-                size += n
+            for d, x in zip(*[batch.column(c).to_pylist() for c in ("dk", "data")]):
+                key, start, windows, twice = segments(x)
+                held.append((key, np.full(len(key), d), start.astype(np.int32), windows.astype(np.int16), twice))
+                size += len(key)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "h", "id", "dk", "start", "windows", "folded"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "dk", "start", "windows", "folded"])
                     held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "h", "id", "dk", "start", "windows", "folded"])
-
-    found = own.mapInArrow(emit, "key long, h long, id long, dk long, start int, windows short, folded boolean")
-    alike = Window.partitionBy("key", "h").orderBy("id", "start")
-    group = Window.partitionBy("key")
-    ranked = found.withColumn("rank", F.row_number().over(alike)).withColumn("first", F.first(F.struct("id", "start")).over(alike))
-    ranked = ranked.withColumn("several", F.min("h").over(group) < F.max("h").over(group))
-    size = F.when(F.col("rank") == 1, F.col("windows") + F.lit(WINDOW - 1))
-    ranked = ranked.withColumn("hot", F.sum(size).over(group) > HOT)
-    later = F.struct("id", "start") > F.col("first")
-    picked = ranked.where((F.col("rank") > 1) & later | (F.col("rank") == 1) & (F.col("several") | F.col("folded")))
-    picked = scratch.put(picked.select("key", "dk", "start", "windows", (F.col("rank") > 1).alias("whole"), "hot"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "dk", "start", "windows", "folded"])
 
     def snippets(of):
-        return own.join(of, "dk").select("key", F.coalesce("id", least).alias("id"), "dk", F.col("start").cast("long").alias("start"), _part(F.col("data"), F.col("start"), F.col("windows")).alias("data"))
-
-    to_sort = picked.where("not whole").select("key", "dk", "start", "windows", "hot")
-    shards = snippets(to_sort.where("not hot")).repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "dk", "start")
-    marks = picked.where("whole").select("dk", F.col("start").cast("long").alias("start"), F.col("windows").cast("long").alias("windows")).unionByName(shard_repeats(shards))
-    # a table of its own, so that few hot segments need no shuffle of the texts
-    hot = scratch.put(to_sort.where("hot").drop("hot"))
-    if not hot.isEmpty():
-        marks = marks.unionByName(joined_repeats(scratch.put(snippets(hot).dropDuplicates(["dk", "start"]))))
+        # one row per place, however often its row is repeated; the texts then meet them by the same key
+        once = of.select("key", "dk", "start", "windows").repartition("dk").dropDuplicates(["dk", "start"])
+        return own.join(once, "dk").select("key", F.coalesce("id", least).alias("id"), "dk", F.col("start").cast("long").alias("start"), _part(F.col("data"), F.col("start"), F.col("windows")).alias("data"))
+
+    def sharded(rows):
+        return rows.select("key", "id", "dk", "start", "data").repartition(ways, "key").sortWithinPartitions("key", "dk", "start")
+
+    mark = ["dk", "start", "windows"]
+    found = scratch.put(own.mapInArrow(emit, "key long, dk long, start int, windows short, folded boolean"))
+    plain, hot = dealt(found, scratch)
+    marks = shard_repeats(sharded(snippets(plain))).select(*mark)
+    hot = hot if hot is None else snippets(hot)
+    finer = iter([*FINER, *[WINDOW] * 60])
+    while hot is not None:
+        part = scratch.put(shard_repeats(sharded(hot), rest=True))
+        marks = marks.unionByName(part.where("data is null").select(*mark))
+        plain, hot = dealt(scratch.put(dealt_anew(part.where("data is not null"), next(finer))), scratch)
+        marks = marks.unionByName(scratch.put(shard_repeats(sharded(plain))).select(*mark))
     # a list is of one document and no longer than its text
     lists = marks.distinct().groupBy("dk").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     return own.join(lists, "dk", "left").select("id", "data", "marks")
