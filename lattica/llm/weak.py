@@ -1,12 +1,17 @@
-"""Quality classifier from weak labels: EM over overlapping heuristic labellers, then a hashed linear scorer. Toxic
-texts are found by words of abuse and by a linear model over word beginnings, learnt from labels in all languages."""
+"""Quality classifier from weak labels: EM over overlapping heuristic labellers, then a hashed linear scorer.
+
+Two label models share the method. Quality: labellers judge a text's form. Toxicity: one labeller knows words of abuse,
+the others are lexicons of word beginnings, each of another length, drawn from a bounded labelled sample in all
+languages. For each, EM over the votes on all documents gives posterior labels, and a hashed linear scorer is trained
+on the posteriors of a bounded sample. The scorers alone give the verdict.
+"""
 
 from __future__ import annotations
 
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,23 +20,30 @@ from pyspark.sql import functions as F
 from lattica.llm.common import table
 from lattica.llm.quality import statistics
 
+#: Votes, and the first two also classes. Of the toxicity labellers BAD means toxic and GOOD clean.
 BAD, GOOD, SILENT = 0, 1, 2
 BUCKETS = 1 << 15
-#: The linear scorer is fitted on so many documents, those with the least hashes of their ids.
+#: The quality scorer is fitted on so many documents, those with the least hashes of their ids.
 FIT_ROWS = 3000
 KEEP_FROM = 0.5
 #: Short texts count as if they had so many features, so that few words give little evidence.
 LEAST_LENGTH = 32
-#: Words of abuse; a text with TOXIC_FROM of them or more counts as toxic.
+#: Words of abuse; their labeller votes on a text with ABUSE_FROM of them or more.
 ABUSE = frozenset("""idiot idiots idiotic moron morons moronic stupid stupidity scum scumbag loser losers trash garbage pathetic worthless
 disgusting clown clowns dumb dumbass imbecile cretin filth filthy vermin jerk bastard bitch slut whore asshole retard pig pigs freak
 coward cowards degenerate""".split())
-TOXIC_FROM = 2
-#: Toxicity is learnt from so many documents at most that are labelled 0 and 1, those with the least hashes of their ids.
+ABUSE_FROM = 2
+#: Toxicity labellers and scorer are fitted on so many documents at most that are labelled 0 and 1, those with the least
+#: hashes of their ids.
 TOXIC_ROWS = (3000, 1500)
-#: Lengths of the word beginnings that it looks at, and how often a text must hold one.
+#: Lengths of the word beginnings of the lexicons, and how often a text must hold a beginning.
 STEMS = (4, 5, 7)
 TIMES = (1, 2, 4)
+TOXIC_BUCKETS = 1 << 20
+#: A lexicon votes clean if its log odds of a toxic text are under this, toxic if over 0.
+CLEAN_UNDER = -1.0
+#: Different words whose features a task remembers.
+REMEMBERED = 200_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -39,46 +51,51 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def abusive(words: list[str]) -> int:
-    return sum(w in ABUSE for w in words)
-
-
-def stems(words: Counter) -> Counter:
-    """How many words begin so, for each beginning; a short word is one of its own."""
-    out: Counter = Counter()
-    for w, n in words.items():
-        for s in {w[:k] for k in STEMS}:
-            out[s] += n
-    return out
+def beginnings(word: str, lengths: tuple[int, ...]) -> frozenset[int]:
+    """Buckets of a word's beginnings of these lengths; a shorter word is one of its own."""
+    return frozenset(zlib.crc32(f"{k}{word[:k]}".encode("utf-8", "replace")) % TOXIC_BUCKETS for k in lengths)
 
 
 @dataclass
-class Toxicity:
-    #: For each word beginning its weight if it occurs TIMES[0] times or more, TIMES[1] times or more, and so on.
-    weights: dict[str, tuple[float, ...]]
-    bias: float = -1.0
-
-    def __post_init__(self):
-        self.begins = {s[: STEMS[0]] for s in self.weights}
-
-    def score(self, words: list[str]) -> float:
-        """Log odds of a toxic text."""
-        k, begins = STEMS[0], self.begins
-        found = stems(Counter([w for w in words if w[:k] in begins]))
-        return self.bias + sum(v for s, n in found.items() if s in self.weights for v, t in zip(self.weights[s], TIMES) if n >= t)
-
-
-def learn_toxicity(rows: list[tuple[int, Counter]], odds: float, steps: int = 300, decay: float = 1e-3, least: int = 5, strong: float = 4.0) -> Toxicity:
-    """Logistic regression on (label, words) rows, by Adam steps, over the beginnings that `least` toxic texts or more
-    hold and whose share differs between the classes by `strong` standard errors. odds: of toxic texts to others among
-    all labelled ones, for a sample that is richer in them. Without rows of both classes no text is toxic."""
-    y = np.array([r[0] for r in rows], float)
+class Beginnings:
+    """Log odds of a toxic text from the word beginnings of some lengths that it holds."""
+
+    lengths: tuple[int, ...]
+    #: For each bucket its weight if it occurs TIMES[0] times or more, TIMES[1] times or more, and so on.
+    weights: dict[int, tuple[float, ...]] = field(default_factory=dict)
+    bias: float = -5.0
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+
+    def score(self, words: Counter) -> float:
+        known, weights, found = self.known, self.weights, Counter()
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w, n in words.items():
+            at = known.get(w)
+            if at is None:
+                at = known[w] = tuple(k for k in beginnings(w, self.lengths) if k in weights)
+            for k in at:
+                found[k] += n
+        return self.bias + sum(v for k, n in found.items() for v, t in zip(weights[k], TIMES) if n >= t)
+
+
+def learn_beginnings(rows: list[Counter], target: np.ndarray, odds: float, lengths: tuple[int, ...] = STEMS, steps: int = 300, decay: float = 1e-3, least: int = 5, strong: float = 4.0) -> Beginnings:
+    """Logistic regression of soft labels on the beginnings of rows of words, by Adam steps, over those that `least`
+    toxic texts or more hold and whose share differs between the classes by `strong` standard errors. odds: of toxic
+    texts to others among all labelled ones, for a sample that is richer in them."""
+    y = np.asarray(target, float)
     n1, n0 = y.sum(), len(y) - y.sum()
-    if not n1 or not n0:
-        return Toxicity({})
-    in_toxic = Counter(s for label, words in rows if label for s in stems(words))
+    if n1 < 1e-9 or n0 < 1e-9:
+        return Beginnings(lengths)
+    held_by: list[Counter] = []
+    for words in rows:
+        held_by.append(Counter())
+        for w, n in words.items():
+            for k in beginnings(w, lengths):
+                held_by[-1][k] += n
+    in_toxic = Counter(k for held, p in zip(held_by, y) if p > 0.5 for k in held)
     number = {s: k for k, s in enumerate(sorted(s for s, n in in_toxic.items() if n >= least))}
-    cells = [(i, number[s] * len(TIMES) + j) for i, (_, words) in enumerate(rows) for s, n in stems(words).items() if s in number for j, t in enumerate(TIMES) if n >= t]
+    cells = [(i, number[s] * len(TIMES) + j) for i, held in enumerate(held_by) for s, n in held.items() if s in number for j, t in enumerate(TIMES) if n >= t]
     row, column = np.array(cells, np.int64).reshape(-1, 2).T
     size = len(number) * len(TIMES)
     held = np.bincount(column, minlength=size)
@@ -95,7 +112,13 @@ def learn_toxicity(rows: list[tuple[int, Counter]], odds: float, steps: int = 30
         mean, square = 0.9 * mean + 0.1 * step, 0.999 * square + 0.001 * step * step
         w -= 0.03 * mean / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
     weights = {s: tuple(w[k * len(TIMES) : (k + 1) * len(TIMES)].tolist()) for s, k in number.items() if picked[k * len(TIMES) : (k + 1) * len(TIMES)].any()}
-    return Toxicity(weights, float(w[-1] + np.log(odds) - np.log(n1 / n0)))
+    return Beginnings(lengths, weights, float(w[-1] + np.log(odds) - np.log(n1 / n0)))
+
+
+def toxic_votes(words: Counter, lexicons: list[Beginnings]) -> list[int]:
+    """One vote of the labeller that knows words of abuse, and of each lexicon."""
+    scores = [x.score(words) for x in lexicons]
+    return [BAD if sum(n for w, n in words.items() if w in ABUSE) >= ABUSE_FROM else SILENT, *[BAD if s > 0 else GOOD if s < CLEAN_UNDER else SILENT for s in scores]]
 
 
 def shape(word: str) -> str:
@@ -112,9 +135,10 @@ def votes(text: str | None) -> list[int]:
     n, words = counts[0], text.split()
     _, length, symbols, dup_lines, repeats, upper, digits, marks, distinct = f
     ends = sum(text.count(c) for c in ".?!")
-    lower = sum(map(str.islower, text)) / max(counts[1], 1)
-    plain = sum(w.isalpha() or w[:-1].isalpha() for w in words) / max(len(words), 1)
-    most = max(Counter(words).values(), default=0) / max(len(words), 1)
+    lower = sum(text.count(c) for c in set(text) if c.islower()) / max(counts[1], 1)
+    different = Counter(words)
+    plain = sum(n for w, n in different.items() if w.isalpha() or w[:-1].isalpha()) / max(len(words), 1)
+    most = max(different.values(), default=0) / max(len(words), 1)
     heard = n >= 5
     pick = lambda bad, good: BAD if bad else GOOD if good else SILENT
     flag = lambda bad: BAD if bad else SILENT
@@ -173,12 +197,23 @@ def expectation_maximisation(v: np.ndarray, weight: np.ndarray, rounds: int = 60
     return model
 
 
+_KNOWN: dict[str, tuple[int, int]] = {}
+
+
+def buckets_of(word: str) -> tuple[int, int]:
+    return zlib.crc32(b"w" + word.lower().encode("utf-8", "replace")) % BUCKETS, zlib.crc32(b"s" + shape(word).encode("utf-8", "replace")) % BUCKETS
+
+
 def hashed(text: str | None) -> np.ndarray:
-    """Buckets of a text's words and of their shapes, each once."""
-    words = set((text or "").split())
-    shapes = set(map(shape, words))
-    found = {zlib.crc32(b"w" + w.lower().encode("utf-8", "replace")) % BUCKETS for w in words}
-    found |= {zlib.crc32(b"s" + s.encode("utf-8", "replace")) % BUCKETS for s in shapes}
+    """Buckets of a text's words and of their shapes, each once. The buckets of words met before are remembered."""
+    if len(_KNOWN) > REMEMBERED:
+        _KNOWN.clear()
+    found = set()
+    for w in set((text or "").split()):
+        got = _KNOWN.get(w)
+        if got is None:
+            got = _KNOWN[w] = buckets_of(w)
+        found.update(got)
     return np.fromiter(found, np.int64, len(found))
 
 
@@ -217,28 +252,80 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> tuple[LabelModel, Scorer]:
-    """The label model over the votes on all documents, and the scorer over a bounded sample with its posteriors.
+@dataclass
+class Model:
+    """What fit() learns: both label models, the labellers of toxicity, and both scorers."""
+
+    quality: LabelModel
+    scorer: Scorer
+    toxicity: LabelModel
+    lexicons: list[Beginnings]
+    toxic_scorer: Beginnings
+
+
+def fit_lexicons(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label_col: str, rows: tuple[int, int]) -> tuple[list[Counter], list[Beginnings], float]:
+    """The labelled sample as counts of words, which come to the driver, a lexicon for each length of STEMS, and the
+    odds of toxic texts. Labels that are null or not of a document are passed over; of several for one id the greatest
+    counts. Without labels of both classes there are no lexicons."""
+    if labels is None:
+        return [], [], 1.0
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    if len(counts) < 2:
+        return [], [], 1.0
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[y]) for y in (0, 1)]
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, y, t in zip(*[c.to_pylist() for c in batch.columns]):
+                words = " ".join(f"{w} {n}" for w, n in sorted(Counter(words_of(t or "")).items()))
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "y": pa.array([y], pa.int32()), "words": pa.array([words], pa.string())})
 
-    All documents vote; only the counts of vote patterns come to the driver (at most 3 ** LABELLERS, whatever the
-    input). Of the sample, at most `rows` documents, hashed features come to the driver.
+    texts = _columns(docs, id_col, text_col).join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "y", "text")
+    got = sorted(map(tuple, texts.mapInArrow(count, "doc_id long, y int, words string").collect()))
+    split = [words.split() for _, _, words in got]
+    sample = [Counter(dict(zip(w[::2], map(int, w[1::2])))) for w in split]
+    y, odds = np.array([g[1] for g in got], float), counts[1] / counts[0]
+    if not 0 < y.sum() < len(y):
+        return [], [], odds
+    return sample, [learn_beginnings(sample, y, odds, (k,)) for k in STEMS], odds
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, toxic_rows: tuple[int, int] = TOXIC_ROWS) -> Model:
+    """Label models over the votes on all documents, and scorers over bounded samples with their posteriors.
+
+    All documents vote, in one pass; only the counts of vote patterns come to the driver (at most 3 ** LABELLERS and
+    3 ** (1 + number of lexicons), whatever the input). Of the samples, hashed features and counts of words do. Without
+    labels no text is toxic.
     """
-    own = _columns(docs, id_col, text_col)
+    sample, lexicons, odds = fit_lexicons(docs, labels, id_col, text_col, label_col, toxic_rows)
+    own, heard = _columns(docs, id_col, text_col), 1 + len(lexicons)
 
     def vote(batches):
         import pyarrow as pa
 
         for batch in batches:
-            codes = [int("".join(map(str, votes(t.as_py()))), 3) for t in batch.column("text")]
-            yield pa.RecordBatch.from_pydict({"pattern": pa.array(codes, pa.int32())})
+            texts = [t.as_py() for t in batch.column("text")]
+            form = [int("".join(map(str, votes(t))), 3) for t in texts]
+            toxic = [int("".join(map(str, toxic_votes(Counter(words_of(t or "")), lexicons))), 3) if lexicons else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(form, pa.int32()), pa.array(toxic, pa.int32())], names=["form", "toxic"])
+
+    patterns = own.select("text").mapInArrow(vote, "form int, toxic int").groupBy("form", "toxic").count().collect()
+
+    def label_model(column: str, n: int) -> LabelModel:
+        total: Counter = Counter()
+        for r in patterns:
+            total[r[column]] += r["count"]
+        table_ = np.array([[int(c) for c in np.base_repr(p, 3).zfill(n)] for p in sorted(total)], np.int64).reshape(-1, n)
+        return expectation_maximisation(table_, np.array([total[p] for p in sorted(total)], float))
 
-    patterns = own.select("text").mapInArrow(vote, "pattern int").groupBy("pattern").count().collect()
-    patterns = sorted((r["pattern"], r["count"]) for r in patterns)
-    table_ = np.array([[int(c) for c in np.base_repr(p, 3).zfill(LABELLERS)] for p, _ in patterns], np.int64).reshape(-1, LABELLERS)
-    model = expectation_maximisation(table_, np.array([c for _, c in patterns], float))
+    quality, toxicity = label_model("form", LABELLERS), label_model("toxic", heard)
     picked = own.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
 
-    def sample(batches):
+    def features(batches):
         import pyarrow as pa
 
         for batch in batches:
@@ -246,45 +333,44 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
                 t = batch.column("text")[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id")[i].as_py()], pa.int64()), pa.array([votes(t)], pa.list_(pa.int32())), pa.array([sorted(hashed(t).tolist())], pa.list_(pa.int32()))], names=["doc_id", "v", "x"])
 
-    got = own.join(F.broadcast(picked), "doc_id").mapInArrow(sample, "doc_id long, v array<int>, x array<int>").collect()
+    got = own.join(F.broadcast(picked), "doc_id").mapInArrow(features, "doc_id long, v array<int>, x array<int>").collect()
     got = sorted((r.doc_id, list(r.v), list(r.x)) for r in got)
-    target = model.posterior(np.array([g[1] for g in got], np.int64).reshape(-1, LABELLERS))
-    return model, fit_scorer([np.array(g[2], np.int64) for g in got], target)
+    target = quality.posterior(np.array([g[1] for g in got], np.int64).reshape(-1, LABELLERS))
+    scorer = fit_scorer([np.array(g[2], np.int64) for g in got], target)
+    return Model(quality, scorer, toxicity, lexicons, fit_toxic_scorer(sample, lexicons, toxicity, odds))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: tuple[int, int] = TOXIC_ROWS) -> Toxicity:
-    """The toxicity model over a bounded sample of labelled documents, of which word counts come to the driver.
+def fit_toxic_scorer(sample: list[Counter], lexicons: list[Beginnings], toxicity: LabelModel, odds: float) -> Beginnings:
+    """The toxicity scorer, trained on the label model's posteriors of the sample."""
+    if not lexicons:
+        return Beginnings(STEMS)
+    v = np.array([toxic_votes(words, lexicons) for words in sample], np.int64)
+    return learn_beginnings(sample, 1 - toxicity.posterior(v), odds)
 
-    Labels that are null or not of a document are passed over; of several for one id the greatest counts.
-    """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    if len(counts) < 2:
-        return Toxicity({})
-    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[y]) for y in (0, 1)]
 
-    def count(batches):
+def posteriors(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, good, toxic) for each row: what the label models say of its votes."""
+
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for i, y, t in zip(*[c.to_pylist() for c in batch.columns]):
-                words = " ".join(f"{w} {n}" for w, n in sorted(Counter(words_of(t or "")).items()))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "y": pa.array([y], pa.int32()), "words": pa.array([words], pa.string())})
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                texts = [t.as_py() or "" for t in part.column("text")]
+                good = model.quality.posterior(np.array([votes(t) for t in texts], np.int64))
+                toxic = 1 - model.toxicity.posterior(np.array([toxic_votes(Counter(words_of(t)), model.lexicons) for t in texts], np.int64)) if model.lexicons else np.zeros(len(texts))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "good": good, "toxic": toxic})
 
-    texts = _columns(docs, id_col, text_col).join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "y", "text")
-    got = sorted(map(tuple, texts.mapInArrow(count, "doc_id long, y int, words string").collect()))
-    split = [(y, words.split()) for _, y, words in got]
-    return learn_toxicity([(y, Counter(dict(zip(w[::2], map(int, w[1::2]))))) for y, w in split], counts[1] / counts[0])
+    return _columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, good double, toxic double")
 
 
-def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", toxicity: Toxicity | None = None) -> DataFrame:
-    """(doc_id, posterior, score, toxic, kept) for each row: the label model's posterior of the row's votes, the
-    scorer's probability, and the verdict, which is the scorer's unless the text is toxic: by words of abuse, or by
-    the toxicity model, if one is given.
+def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score, toxic_score, toxic, kept) for each row: the scorers' probabilities of good quality and of a toxic
+    text, and the verdicts from them.
 
-    A null text counts as empty and scores 0, as does one of white space. Repeated rows are kept, other columns not
-    read. The weights, BUCKETS numbers whatever the input, go to each task.
+    A null text counts as empty and scores 0, as does one of white space; neither is toxic. Repeated rows are kept,
+    other columns not read. The weights, whose number is bounded whatever the input, go to each task.
     """
 
     def run(batches):
@@ -294,15 +380,14 @@ def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, id_col: str = "
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 texts = [t.as_py() or "" for t in part.column("text")]
-                posterior = model.posterior(np.array([votes(t) for t in texts], np.int64))
-                score = np.array([scorer.score(hashed(t)) for t in texts])
-                words = map(words_of, texts)
-                toxic = np.array([abusive(w) >= TOXIC_FROM or toxicity is not None and toxicity.score(w) > 0 for w in words])
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "posterior": posterior, "score": score, "toxic": toxic, "kept": (score >= KEEP_FROM) & ~toxic})
+                score = np.array([model.scorer.score(hashed(t)) for t in texts])
+                odds = np.array([model.toxic_scorer.score(Counter(words_of(t))) for t in texts])
+                toxic = odds > 0
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": score, "toxic_score": 1 / (1 + np.exp(-np.clip(odds, -500, 500))), "toxic": toxic, "kept": (score >= KEEP_FROM) & ~toxic})
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, posterior double, score double, toxic boolean, kept boolean")
+    return _columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, toxic_score double, toxic boolean, kept boolean")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return classify(docs, *fit(docs), toxicity=fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -35,19 +35,21 @@ def made(rng, kind):
 
 def test_documents_nulls_copies_and_clashing_columns(spark):
     rng = random.Random(3)
-    kinds = ["good"] * 200 + ["symbols"] * 20 + ["shouting"] * 20 + ["repeats"] * 20 + ["toxic"] * 10
+    kinds = ["good"] * 200 + ["symbols"] * 20 + ["shouting"] * 20 + ["repeats"] * 20 + ["toxic"] * 20
     rows = [(i, made(rng, k), 0.5) for i, k in enumerate(kinds)]
     rows += [(1000, None, 0.5), (1001, "", 0.5), (None, rows[0][1], 0.5), (0, rows[0][1], 0.5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
-    model, scorer = weak.fit(docs)
-    got = weak.classify(docs, model, scorer).collect()
+    labels = spark.createDataFrame([(i, int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id long, toxic int")
+    model = weak.fit(docs, labels)
+    got = weak.classify(docs, model).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     for i, k in enumerate(kinds):
         assert by[i].kept == (k == "good"), (k, by[i])
     assert not by[1000].kept and not by[1001].kept and by[None].kept
+    assert not any(r.toxic for r in weak.classify(docs, weak.fit(docs)).collect())
     empty = docs.limit(0)
-    assert weak.classify(empty, *weak.fit(empty)).count() == 0
+    assert weak.classify(empty, weak.fit(empty, labels)).count() == 0
 
 
 def test_toxicity_is_learnt_in_every_language(spark):
@@ -63,10 +65,53 @@ def test_toxicity_is_learnt_in_every_language(spark):
             labels.append((i, int(toxic)))
     docs = spark.createDataFrame([*rows, (1000, None)], "doc_id long, text string")
     labels = spark.createDataFrame([*labels, (None, 1), (1, None), (5000, 1)], "doc_id long, toxic int")
-    model, scorer = weak.fit(docs)
-    toxicity = weak.fit_toxicity(docs, labels)
-    got = {r.doc_id: r for r in weak.classify(docs, model, scorer, toxicity=toxicity).collect()}
+    model = weak.fit(docs, labels)
+    got = {r.doc_id: r for r in weak.classify(docs, model).collect()}
+    said = {r.doc_id: r for r in weak.posteriors(docs, model).collect()}
     for i in range(480):
-        assert got[i].toxic == (i % 4 == 0) and (got[i].kept or got[i].toxic), i
+        assert got[i].toxic == (i % 4 == 0) == (said[i].toxic > 0.5) and (got[i].kept or got[i].toxic), i
     assert not got[1000].toxic
-    assert weak.fit_toxicity(docs, labels.where("toxic = 0")).weights == {} == weak.fit_toxicity(docs.limit(0), labels).weights
+    assert weak.fit(docs, labels.where("toxic = 0")).lexicons == [] == weak.fit(docs.limit(0), labels).lexicons
+
+
+def test_fit_equals_brute_force(spark):
+    """Votes, EM, posteriors and both scorers against plain loops over single documents and dense matrices."""
+    rng = random.Random(5)
+    rows = [(i, made(rng, rng.choice(["good", "good", "symbols", "shouting", "repeats", "toxic"]))) for i in range(150)]
+    truth = {i: int("idiot" in t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = weak.fit(docs, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int"))
+    v = [weak.votes(t) for _, t in rows]
+    prior, theta = 0.8, [[[0.5, 0.15, 0.35], [0.1, 0.6, 0.3]] for _ in range(weak.LABELLERS)]
+    for _ in range(60):
+        good = []
+        for x in v:
+            a = b = 1.0
+            for j, c in enumerate(x):
+                a, b = a * theta[j][weak.GOOD][c], b * theta[j][weak.BAD][c]
+            good.append(prior * a / (prior * a + (1 - prior) * b))
+        for j in range(weak.LABELLERS):
+            for k, share in ((weak.BAD, [1 - g for g in good]), (weak.GOOD, good)):
+                got = [start + sum(s for s, x in zip(share, v) if x[j] == c) for c, start in enumerate([[0.5, 0.15, 0.35], [0.1, 0.6, 0.3]][k])]
+                theta[j][k] = [g / sum(got) for g in got]
+        prior = min(0.99, max(0.01, (sum(good) + 1) / (len(v) + 2)))
+    assert np.allclose(model.quality.theta, theta, atol=1e-9) and abs(model.quality.prior - prior) < 1e-9
+    x = np.zeros((len(rows), weak.BUCKETS))
+    for i, (_, t) in enumerate(rows):
+        at = sorted({b for w in t.split() for b in weak.buckets_of(w)})
+        x[i, at] = 1 / np.sqrt(max(len(at), weak.LEAST_LENGTH))
+    target, w, bias = model.quality.posterior(np.array(v)), np.zeros(weak.BUCKETS), 0.0
+    for _ in range(200):
+        error = target - 1 / (1 + np.exp(-(x @ w + bias)))
+        # the bias decays with the weights
+        w, bias = w + 20.0 * (x.T @ error / len(rows)) - 1e-4 * w, bias + 20.0 * error.mean() - 1e-4 * bias
+    want = 1 / (1 + np.exp(-(x @ w + bias)))
+    got = {r.doc_id: r for r in weak.classify(docs, model).collect()}
+    assert np.allclose([got[i].score for i, _ in rows], want, atol=1e-6)
+    for i, t in rows:
+        held = {}
+        for word in weak.words_of(t):
+            for b in weak.beginnings(word, weak.STEMS):
+                held[b] = held.get(b, 0) + 1
+        odds = model.toxic_scorer.bias + sum(a for b, n in held.items() for a, least in zip(model.toxic_scorer.weights.get(b, ()), weak.TIMES) if n >= least)
+        assert abs(got[i].toxic_score - 1 / (1 + np.exp(-odds))) < 1e-9 and got[i].toxic == (odds > 0) == bool(truth[i])
