@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,11 +33,15 @@ def n_words(text: Column) -> Column:
 class Scratch:
     """Parquet tables in the shared checkpoint folder, to cut lineage and keep results over lost executors.
 
-    The folder is the session's spark.checkpoint.dir; a local one is used only where that is unset.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a session of one process (as in tests) uses
+    a temporary folder, and one on a cluster fails: a folder of one machine would lose tables with an executor.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set; it names the shared folder for scratch tables")
+        base = base or f"{tempfile.gettempdir()}/scratch-tables"
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}", 0
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -52,17 +58,44 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which it does once the driver has collected their objects."""
+    spark._jvm.System.gc()
+
+
+def rows_that_stay(docs: DataFrame, key: Column, decisions: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs whose key the decisions (key, kept), a row for each of docs, keep; of rows of one key one.
+
+    The verdict is reached in narrow tables, and the keys that go are written as one of their own, so that Catalyst
+    knows its size: texts are shuffled only where that table is too large to be sent.
+    """
+    keys = decisions.groupBy("key").agg(F.count("*").alias("n"), F.max("kept").alias("again"))
+    gone = scratch.put(keys.where("not again or n > 1").select("key", "again"))
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), key.alias("key"))
+    out = packed.join(gone.select("key"), "key", "left_anti").select("doc")
+    again = scratch.put(gone.where("again").select("key"))
+    if not again.isEmpty():
+        out = out.unionByName(packed.join(again, "key", "left_semi").dropDuplicates(["key"]).select("doc"))
+    return out.select("doc.*")
+
+
+def row_key(id_: Column, text_hash: Column) -> Column:
+    """What tells rows of different ids or texts apart; a null id is none."""
+    return F.concat_ws(":", text_hash.cast("string"), id_.cast("long").cast("string"))
+
+
+def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of the links (a, b); component is the smallest node reachable.
 
     Alternates two star contractions, as grouped minima and joins; each round is written to the scratch folder,
-    so no lineage grows and nothing of the graph comes to the driver but a count and a checksum. A node with very
+    so no lineage grows and nothing of the graph comes to the driver but a count and a checksum. Rounds, about as many as
+    the logarithm of the nodes, go on until the edges are as before: each pair of contractions lowers some label. A node with very
     many links is one skewed join key, which adaptive execution splits; its minimum is pre-aggregated.
     """
     edges = scratch.put(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"))
     nodes = scratch.put(edges.select("a").union(edges.select("b")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -79,8 +112,6 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 6
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return nodes.select(F.col("a").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SPACE, Scratch, table
+from lattica.llm.common import SPACE, Scratch, row_key, rows_that_stay, table
 
 #: Characters of the normalised text that the prefix hash covers.
 PREFIX_CHARS = 256
@@ -19,8 +19,10 @@ def refine(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     both, the least hash of the whole text. Rows repeated in all of these are all marked as kept; with single only
     the one of the least row number, which the scratch table holds, so that exactly one row of a group is kept.
 
-    Pass 1 reads the texts and keeps lengths and prefix hashes. Lengths that one row alone has end there, then
-    (length, prefix hash) pairs that one row alone has; only the rest is grouped by the full digest. Only narrow rows
+    Pass 1 reads the texts and keeps lengths and prefix hashes. Rows are counted by length and prefix hash in one
+    grouping: a pair that two rows share has a length that two rows share, so lengths need no table or join of their
+    own, and a length that very many rows have is no task's. Pairs that one row alone has end there; only the rest is
+    grouped by the full digest. Only narrow rows
     are shuffled, never a text. With digest_all the single rows get a digest too (a report may ask for it); without,
     the digest of rows that the first two steps settle is null and is never computed.
 
@@ -34,8 +36,7 @@ def refine(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     numbered = [F.monotonically_increasing_id().alias("row")] if single else []
     sizes = own.select("id", F.length("t").cast("long").alias("n_chars"), F.length("norm").cast("long").alias("n"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"), F.xxhash64("t").alias("row_key"), *numbered, *([full.alias("digest")] if digest_all else []))
     sizes = scratch.put(sizes)
-    by_length = sizes.groupBy("n").agg(F.count("*").alias("same")).where("same > 1").select("n")
-    by_prefix = sizes.join(by_length, "n", "left_semi").groupBy("n", "prefix").agg(F.count("*").alias("same")).where("same > 1").select("n", "prefix")
+    by_prefix = sizes.groupBy("n", "prefix").agg(F.count("*").alias("same")).where("same > 1").select("n", "prefix")
     keys = ["n", "prefix"]
     alone = sizes.join(by_prefix, keys, "left_anti")
     if digest_all:
@@ -57,14 +58,10 @@ def refine(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
 
 
 def drop_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows repeated in id and text one stays.
-
-    The decisions are joined to the texts once, by id and text hash; the removal of repeated rows uses the same key
-    and needs no further shuffle.
-    """
-    stay = refine(docs, scratch, id_col, text_col).where("kept").select(F.concat_ws(":", F.col("row_key").cast("string"), F.col("id").cast("string")).alias("_stay_key")).distinct()
-    keyed = docs.withColumn("_stay_key", F.concat_ws(":", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).cast("string"), F.col(id_col).cast("long").cast("string")))
-    return keyed.join(stay, "_stay_key", "left_semi").dropDuplicates(["_stay_key"]).select(*docs.columns)
+    """The rows of docs that stay, with all their columns; of rows repeated in id and text one stays."""
+    found = refine(docs, scratch, id_col, text_col)
+    decisions = found.select(row_key(F.col("id"), F.col("row_key")).alias("key"), "kept")
+    return rows_that_stay(docs, row_key(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), decisions, scratch)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

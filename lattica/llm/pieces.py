@@ -210,27 +210,27 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     return map_rows(docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text"), make, "id long, ids array<int>, begins array<long>, ends array<long>, decoded string")
 
 
-def encoding_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encoding_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """As encode_documents, with digests in the place of the lists and the text, made in the same task; with_ids keeps
-    the list of ids beside them, for training."""
+    the list of ids beside them, for training. carried: whole-number columns that come through as they are."""
     path = path or default_model()
 
     def make():
         coder = coder_of(path)
         head, tail = (np.array([i], "<u4").tobytes() for i in (coder.begin, coder.end))
 
-        def one(doc, text):
+        def one(doc, text, *more):
             e = coder.encode(text or "")
             ids = head + e.ids.tobytes() + tail
             spans = np.stack([e.begins, e.ends], 1).astype("<u4").tobytes()
             numbers = np.frombuffer(ids, "<i4")
             decoded = coder.decode(numbers.tolist())
-            return doc, len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), hashlib.sha256(spans).hexdigest(), *([numbers] if with_ids else [])
+            return doc, len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), hashlib.sha256(spans).hexdigest(), *([numbers] if with_ids else []), *more
 
         return one
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * with_ids
-    return map_rows(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), make, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * with_ids + "".join(f", {c} long" for c in carried)
+    return map_rows(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text", *[f"`{c}`" for c in carried]), make, schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,56 @@ def test_curriculum_repeats_whole_documents_in_order(spark):
     assert mixing.plan(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_slopes_make_positions_and_order(spark, tmp_path):
+    """Positions against a plain integration of the schedules in small steps, and the order that is written and read."""
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), "abc"[i % 3]) for i in range(240)] + [(7, "other text", "b"), (240, "w w", None), (None, "w w", "240")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = {}
+    for slopes in ((-0.5, 0.0, 0.5), (0.5, 0.5, -0.5)):
+        got = mixing.plan(docs, Scratch(spark, "t"), slopes=slopes).collect()
+        order = sorted({r.source for r in got}, key=lambda s: (s is None, s))
+        for r in got:
+            slope, steps, done, t = slopes[order.index(r.source) % 3], 4000, 0.0, 0
+            for k, at in enumerate(r.times):
+                while done < (k * r.source_size + r.offset) / r.target and t < steps:
+                    done += (1 + slope * (2 * (t + 0.5) / steps - 1)) / steps
+                    t += 1
+                assert abs(at - t / steps) < 2 / steps
+        seen[slopes] = sorted((str(r.id), r.times) for r in got)
+        out = str(tmp_path / str(slopes[0]))
+        mixing.curriculum(docs, Scratch(spark, "t"), slopes=slopes).write.parquet(out)
+        read = mixing.in_training_order(spark.read.parquet(out)).collect()
+        whole = lambda r: (r.taken + (r.size - 1) // 2) // r.size
+        want = sorted((t, r.id or -1, r.size) for r in got for t in r.times[: whole(r)])
+        assert len(read) == len(want)
+        time = {(r.id or -1, r.size, k): t for r in got for k, t in enumerate(r.times)}
+        copies, times = {}, []
+        for r in sorted(read, key=lambda r: (r.train_file, r.train_row)):
+            key = (r.doc_id or -1, len(r.text.split()))
+            times.append(time[(*key, copies.setdefault(key, 0))])
+            copies[key] += 1
+        assert times == sorted(times)
+    assert seen[(-0.5, 0.0, 0.5)] != seen[(0.5, 0.5, -0.5)]
+    assert mixing.in_training_order(docs.coalesce(1)).select("train_file").distinct().collect()[0][0] is None
+
+
+def test_op6_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, " ".join(["w"] * (i * 7 % 23)), ["a", "b", "é", None, "z"][i * i % 5]) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op6_mix_sources(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({mixing.OP6_SQL})").fetchall())
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1, 2, 3), (2, "a b", "s", 4, 5, 6)], "doc_id long, text string, source string, _mix_key int, _mix_time int, _stay_key int")
+    assert sorted(r._mix_key for r in mixing.curriculum(docs, Scratch(spark, "t")).collect()) == [1, 4]
+    assert [r._stay_key for r in exact.drop_copies(docs, Scratch(spark, "t")).collect()] == [3]
+
+
 def test_demand_is_inverted(spark):
     from pyspark.sql import functions as F
 
