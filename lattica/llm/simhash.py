@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, connected_components, map_rows, table
+from lattica.llm.common import Scratch, connected_components, map_rows, row_key, rows_that_stay, table
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -15,6 +15,8 @@ RADIUS = 4
 HALF = 32
 #: Buckets with more members are thinned by components before their members are paired.
 DENSE = 64
+#: Members of buckets that are still larger aren't paired but meet in balls of half the radius.
+HUGE = 1024
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 20
 
@@ -107,24 +109,47 @@ def dense_components(fps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     return links, connected_components(links, scratch)
 
 
-def near_links(fps: DataFrame, scratch: Scratch, dense: int = DENSE) -> DataFrame:
+def ball_links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) of up to RADIUS bits, never pairs of a group, that give the components among the given fingerprints.
+
+    Two fingerprints within 4 bits share a midpoint within 2 bits of both, so balls of 2 bits (2,081 words each) are
+    enumerated. Members of such a ball are within 4 bits of each other, and each is linked to the smallest only.
+    """
+    masks = F.expr("concat(array(0L), flatten(transform(sequence(0, 63), i -> transform(sequence(0, i), j -> shiftleft(1L, i) | shiftleft(1L, j)))))")
+    keyed = fps.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
+    least = F.min("fp").over(Window.partitionBy("key"))
+    return keyed.withColumn("a", least).where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+
+
+def candidates(known: DataFrame) -> DataFrame:
+    """(a, b) for members of different components that share a bucket, met half-way or by probe and exact value."""
+    a, b = known.alias("a"), known.alias("b")
+    met = a.join(b, F.col("a.key") == F.col("b.key")).where("(a.side = 0 and a.c < b.c) or (a.side = 1 and b.side = 2 and a.c <> b.c)")
+    return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def near_links(fps: DataFrame, scratch: Scratch, dense: int = DENSE, huge: int = HUGE) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that give the components over distances up to RADIUS.
 
-    Members of a bucket are paired and verified on the whole fingerprint. A crowded bucket, as a large group of near
-    copies makes, isn't paired as it is: its members are first joined into components over distances of up to 2 bits,
-    and only members of different components are paired, so that no group emits all its pairs.
+    Members of a bucket are paired and verified on the whole fingerprint. A crowded bucket isn't paired as it is: its
+    members are first joined into components over distances of up to 2 bits, and only members of different components
+    are paired. A bucket that has over `huge` members left, as of fingerprints that share one half and little else,
+    isn't paired at all: its members meet in balls. So a fingerprint is compared with `huge` others of a bucket at most.
+
+    A word has about N * 33 * 33 / 2**32 members in the high segment and N * 33 / 2**32 in the low one for N random
+    fingerprints; beyond some 10**9 of them most buckets count as crowded and beyond 10**10 as huge.
     """
     met = scratch.put(buckets(fps))
     crowded = met.where(F.col("n") > dense).select("fp").distinct()
     links, components = dense_components(crowded, scratch)
     known = met.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     w = Window.partitionBy("key")
-    known = known.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo < hi")
-    known = scratch.put(known.select("key", "fp", "side", "c"))
-    a, b = known.alias("a"), known.alias("b")
-    pairs = a.join(b, F.col("a.key") == F.col("b.key")).where("(a.side = 0 and a.c < b.c) or (a.side = 1 and b.side = 2 and a.c <> b.c)")
-    pairs = pairs.where(distance(F.col("a.fp"), F.col("b.fp")) <= RADIUS).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    return links.union(pairs.distinct())
+    known = known.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).withColumn("left", F.count("*").over(w)).where("lo < hi")
+    known = scratch.put(known.select("key", "fp", "side", "c", (F.col("left") > huge).alias("huge")))
+    pairs = candidates(known.where("not huge")).where(distance(F.col("a"), F.col("b")) <= RADIUS)
+    links = links.union(pairs.distinct())
+    many = scratch.put(known.where("huge").select("fp").distinct())
+    return links if many.isEmpty() else links.union(ball_links(many))
 
 
 def near_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,11 +172,12 @@ def near_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
 def drop_near_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest id of each group, with all its columns; of rows that share that id, the one with the
     least text hash, and of rows repeated in both, one."""
-    stay = near_groups(docs, scratch, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy("c").agg(F.min(F.struct("row_key", "id")).alias("s"))
-    stay = stay.select(F.concat_ws(":", F.col("s.row_key").cast("string"), F.col("s.id").cast("string")).alias("_stay_key")).distinct()
-    keyed = docs.withColumn("_stay_key", F.concat_ws(":", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).cast("string"), F.col(id_col).cast("long").cast("string")))
-    return keyed.join(stay, "_stay_key", "left_semi").dropDuplicates(["_stay_key"]).select(*docs.columns)
+    found = scratch.put(near_groups(docs, scratch, id_col, text_col).select(row_key(F.col("id"), F.col("row_key")).alias("key"), "id", "row_key", "c", "component_id"))
+    # of a group, only rows with its smallest id meet here
+    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("c").agg(F.min(F.struct("row_key", "key")).alias("s"))
+    stay = stay.select(F.col("s.key").alias("key")).distinct().withColumn("stays", F.lit(True))
+    decisions = found.join(stay, "key", "left").select("key", F.coalesce("stays", F.lit(False)).alias("kept"))
+    return rows_that_stay(docs, row_key(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), decisions, scratch)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

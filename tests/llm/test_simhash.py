@@ -44,12 +44,12 @@ def test_fingerprints_equal_the_definition_and_spark(spark, monkeypatch):
     assert spark.sql("select xxhash64('a b c d') h").first().h & (2**64 - 1) == xxhash.xxh64_intdigest(b"a b c d", 42)
 
 
-def links_of(spark, fps, dense):
+def links_of(spark, fps, dense, huge=1024):
     signed = [(int(np.uint64(f).astype(np.int64)),) for f in fps]
     scratch = Scratch(spark, "t")
     from lattica.llm.common import connected_components
 
-    got = connected_components(simhash.near_links(spark.createDataFrame(signed, "fp long"), scratch, dense), scratch)
+    got = connected_components(simhash.near_links(spark.createDataFrame(signed, "fp long"), scratch, dense, huge), scratch)
     found = {}
     for r in got.collect():
         found.setdefault(r.component, set()).add(r.node & (2**64 - 1))
@@ -76,6 +76,18 @@ def test_components_equal_brute_force_in_sparse_and_crowded_buckets(spark):
     fps = sorted(fps)
     assert links_of(spark, fps, 64) == wanted(fps)
     assert links_of(spark, fps, 2) == wanted(fps)
+    assert links_of(spark, fps, 2, 3) == wanted(fps)
+
+
+def test_fingerprints_that_share_a_half_are_not_paired(spark, monkeypatch):
+    rng = random.Random(3)
+    fps = {(0xABCDEF01 << 32) | rng.getrandbits(32) for _ in range(3000)}
+    fps |= {f ^ 1 << rng.randrange(32) ^ 1 << rng.randrange(32) ^ 1 << rng.randrange(64) for f in list(fps)[:40]}
+    compared, candidates = [], simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda known: compared.append(candidates(known).count()) or candidates(known))
+    found = links_of(spark, sorted(fps), 64, 100)
+    assert compared[0] < 50 * len(fps) < len(fps) ** 2 / 50
+    assert found == wanted(sorted(fps))
 
 
 def test_rows_with_nulls_copies_ties_and_clashing_columns(spark):
