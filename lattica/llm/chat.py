@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -157,11 +157,36 @@ def message_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed_events(conversations: DataFrame) -> DataFrame:
+    """A log as a chat service would have written it, which folds back to the table (conv_id, turn, role, text).
+
+    By the hash of its row a message was streamed in three deltas, or written as a draft and then edited, or begun as a
+    draft, regenerated, and streamed again. Messages of one conversation and turn stand in order of role and text; null
+    texts and roles are empty ones.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    own = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    own = own.withColumn("n", F.row_number().over(order)).withColumn("third", F.floor(F.length("text") / 3).cast("int"))
+    event = lambda kind, said: F.struct(F.lit(kind).alias("kind"), F.when(F.lit(kind) == "message", F.col("role")).alias("role"), said.alias("text"))
+    draft = F.concat(F.lit("draft: "), F.substring("text", F.lit(1), F.col("third")))
+    deltas = [event("delta", F.substring("text", 1 + k * F.col("third"), F.col("third") if k < 2 else F.length("text"))) for k in range(3)]
+    ways = (
+        [event("message", F.lit("")), *deltas],
+        [event("message", draft), event("edit", F.col("text"))],
+        [event("message", F.lit("")), event("delta", draft), event("regenerate", F.lit("")), *deltas],
+    )
+    way = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(len(ways)))
+    events = F.when(way == 0, F.array(*ways[0])).when(way == 1, F.array(*ways[1])).otherwise(F.array(*ways[2]))
+    log = own.select("conv_id", "turn", "n", F.posexplode(events).alias("step", "event"))
+    return log.select("conv_id", "turn", (F.col("n") * 8 + F.col("step")).alias("seq"), "event.kind", "event.role", "event.text")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return digests(format_conversations(message_events(rows)))
+    return digests(format_conversations(streamed_events(rows)))
 
 
 OP9_SQL = r"""

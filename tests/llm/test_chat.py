@@ -45,3 +45,15 @@ def test_conversations_split_over_parts_with_nulls_copies_and_clashing_columns(s
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == plain([x for x in rows if x[0] == c])
         assert r.formatted_chars == sum(len(x.formatted) for x in parts.where(parts.conv_id.eqNullSafe(c)).collect())
     assert chat.digests(chat.format_conversations(chat.message_events(table.limit(0)))).count() == 0
+
+
+def test_streamed_logs_fold_back_to_the_table(spark):
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "a", "ab", "long é text " * rng.randrange(9), "draft: x"])) for c in range(12) for t in [*range(20), 3, 3, None]]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, n int, third int")
+    log = chat.streamed_events(table)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(log.repartition(3), part_turns=7)).collect()}
+    for c in range(12):
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == plain([r for r in rows if r[0] == c])
+    assert chat.streamed_events(table.limit(0)).count() == 0
