@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,8 +61,14 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs, which it does once the driver has collected their objects."""
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished jobs, which it does once the driver has collected their objects.
+
+    Python's come first, which hold the others and are handed over about a second later, some only at a second try.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.5)
+        spark._jvm.System.gc()
 
 
 def rows_that_stay(docs: DataFrame, key: Column, decisions: DataFrame, scratch: Scratch) -> DataFrame:

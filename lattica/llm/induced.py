@@ -21,8 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Tuples that a column, queue, log or sort keeps in memory.
-IN_MEMORY = 1 << 21
+#: Tuples that a column, queue, log or sort keeps in memory; a string of twice as many names is no longer recursed on.
+IN_MEMORY = 1 << 19
 #: Slots of a queue, and symbols of a string up to which common prefixes are carried.
 WAYS = 1024
 _NEVER = 255
@@ -35,7 +35,7 @@ def spill_folder() -> str | None:
 
 
 class Disk:
-    """The files of one sort. limit: tuples kept in memory by each of its parts; at_most: the longest part seen."""
+    """The files of one sort. limit: tuples kept in memory by each of its parts; written: tuples that went to files."""
 
     def __init__(self, limit: int = IN_MEMORY, folder: str | None = None):
         self.limit, self.folder, self.files, self.written = limit, folder or spill_folder(), [], 0
@@ -152,7 +152,7 @@ class Queue:
     """
 
     def __init__(self, disk: Disk, bits: int, dtypes):
-        self.disk, self.shift, self.dtypes = disk, max(0, bits - 10), [np.dtype(np.int64), *map(np.dtype, dtypes)]
+        self.disk, self.shift, self.dtypes = disk, max(0, bits - 10), list(map(np.dtype, dtypes))
         self.held: list[list] = [[] for _ in range(WAYS)]
         self.spilt: list[list] = [[] for _ in range(WAYS)]
         self.n, self.f, self.open, self.child = 0, None, None, None
@@ -194,7 +194,8 @@ class Queue:
             if self.spilt[k]:
                 at, n = self.spilt[k].pop(0)
                 self.f.seek(at)
-                yield [np.frombuffer(self.f.read(n * d.itemsize), d) for d in self.dtypes]
+                symbols, p, *rest = (np.frombuffer(self.f.read(n * d.itemsize), d) for d in self.dtypes)
+                yield [symbols.astype(np.int64), p.astype(np.int64), *rest]
             else:
                 blocks, self.held[k] = self.held[k], []
                 columns = [np.concatenate(c) for c in zip(*blocks)] if len(blocks) > 1 else blocks[0]
@@ -208,7 +209,7 @@ class Queue:
             yield from self.take(k)
             return
         if k != self.open:
-            self.child, self.open = Queue(self.disk, self.shift, self.dtypes[1:]), None
+            self.child, self.open = Queue(self.disk, self.shift, self.dtypes), None
             for symbols, *columns in self.take(k):
                 order = np.argsort(symbols, kind="stable")
                 self.child.push(symbols[order], [c[order] for c in columns])
@@ -267,6 +268,8 @@ class _Sort:
         self.top, self.left = top, Left(text, self.bits)
         self.pad = np.uint64((1 << self.bits) - 1)
         self.width = 64 // self.bits
+        #: symbol, suffix, symbols to the left, common prefix
+        self.tuple = np.min_scalar_type(top), np.min_scalar_type(len(text)), np.uint64, np.uint8
 
     def blocks(self):
         self.seeds = self.find_seeds()
@@ -389,8 +392,8 @@ class _Sort:
         name = names.done()
         if count == m:
             return name, None
-        if m <= disk.limit:
-            return self.doubled(name)
+        if m <= 2 * disk.limit:
+            return self.doubled(np.asarray(name))
         rank, done = Scatter(disk, m, np.int64), 0
         for k, _ in sort_suffixes(name, disk):
             rank.put(k, m - 1 - done - np.arange(len(k)))
@@ -401,7 +404,7 @@ class _Sort:
         """Ranks of the suffixes of a string of names that fits memory: names of 1, 2, 4, ... names in a row."""
         m, starts = len(name), self.seeds
         order = np.argsort(name, kind="stable")
-        new = np.append(True, name[order][1:] != name[order][:-1])
+        new = np.append(True, np.diff(name[order]) > 0)
         agreed, h = np.zeros(m, np.int64), 1
         head = np.maximum.accumulate(np.where(new, np.arange(m), 0))
         rank = np.empty(m, np.int64)
@@ -475,7 +478,7 @@ class _Sort:
         return np.minimum(out, self.cap).astype(np.uint8)
 
     def start(self) -> None:
-        self.queue = Queue(self.disk, self.bits, (np.int64, np.uint64, np.uint8))
+        self.queue = Queue(self.disk, self.bits, self.tuple)
         self.since = np.zeros(self.top + 1 if self.cap else 0, np.uint8)
         self.seen = np.zeros(self.top + 1 if self.cap else 0, bool)
 
@@ -513,7 +516,7 @@ class _Sort:
     def rise(self, known) -> Log:
         """All L suffixes, in order: (symbol, suffix, left, shared)."""
         self.start()
-        out = Log(self.disk, np.int64, np.int64, np.uint64, np.uint8)
+        out = Log(self.disk, *self.tuple)
         at, m, step = 0, len(self.seeds), self.disk.block
         ahead: list = []  # the seeds' next block: symbols, places, left, shared
 
@@ -551,7 +554,7 @@ class _Sort:
 
         def load():
             if not (ahead and len(ahead[0])):
-                ahead[:] = [x[::-1] for x in next(source, [])]
+                ahead[:] = [x[::-1].astype(np.int64) if k < 2 else x[::-1] for k, x in enumerate(next(source, []))]
             return bool(ahead and len(ahead[0]))
 
         for c in range(self.top, 0, -1):

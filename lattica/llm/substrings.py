@@ -1,6 +1,6 @@
 """Removal of repeated substrings by suffix sorting.
 
-Every 100-byte window is dealt to a shard by its least 40-byte hash, which two equal windows share. A run of windows
+Every 100-byte window is dealt to a shard by its least 24-byte hash, which two equal windows share. A run of windows
 with one such hash is a segment, and its bytes a snippet. Snippets whose hash no other segment has are left out, unless
 they hold a window twice; all others are sorted, shard by shard, with lattica.llm.induced, and the order of their
 suffixes with the common-prefix values alone says which windows repeat. Hashes only deal work out.
@@ -8,7 +8,7 @@ suffixes with the common-prefix values alone says which windows repeat. Hashes o
 A shard's snippets with the same bytes stand in the sorted string once, with all their places. A hash with more bytes
 of snippets than HOT is split: its snippets are dealt at random to parts that are sorted by themselves, and the windows
 that stay in each part are dealt anew by the least hashes of longer strings, in the end of whole windows, until no
-hash has more than HOT. So a task never sorts more than SHARD + HOT bytes, whatever one passage's share of the corpus.
+hash has more than HOT. So a task sorts about SHARD + HOT bytes at most, whatever one passage's share of the corpus.
 """
 
 from __future__ import annotations
@@ -16,22 +16,25 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import induced
-from lattica.llm.common import Scratch, map_rows, partitions, table
+from lattica.llm.common import Scratch, map_rows, partitions, release, table
 
 WINDOW = 100
-GRAM = 40
+GRAM = 24
 #: Windows of a segment at most; a longer run, as periodic text makes, is cut.
 LONGEST = 128
 #: Lengths of the hashed strings by which the rest of a hot hash is dealt anew; the last one is taken again if need be.
 FINER = (70, WINDOW)
 #: Bytes of different snippets that are sorted together.
-SHARD = 4 << 20
+SHARD = 1 << 20
 #: Bytes of one hash's snippets above which it is split.
 HOT = 1 << 20
+#: Which hashes have so many is judged by one document in so many, those of certain hashes. It only decides how work is
+#: dealt: a hot hash that goes unseen is sorted by one task, on disk if need be.
+HOT_SHARE = 16
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -224,21 +227,26 @@ def shard_repeats(shards: DataFrame, rest: bool = False) -> DataFrame:
     return shards.mapInArrow(run, "dk long, start long, windows long, id long, data binary")
 
 
-def dealt(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (key, dk, start, windows, folded, ...) whose key has several rows or a folded one: those of ordinary keys,
-    and those of hot keys, if any, with their key split by dk and start.
+def hot_keys(rows: DataFrame, scratch: Scratch, share: int = 1) -> DataFrame:
+    """(key, ways): keys with more than HOT bytes of snippets, judged by the given rows, which hold one part in `share`
+    of the documents. They are few, a row for HOT bytes or more, and are written as a table, so that the size of that
+    table decides how it is joined."""
+    size = F.sum(F.col("windows").cast("long") + WINDOW - 1) * share
+    keys = rows.groupBy("key").agg(F.ceil(size / HOT).cast("long").alias("ways"))
+    return scratch.put(keys.where("ways > 1"))
 
-    Counts are pre-aggregated. Hot keys are few, a row for HOT bytes or more, and are written as a table, so that the
-    size of that table decides how it is joined.
-    """
-    size = F.sum(F.col("windows").cast("long") + WINDOW - 1)
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), size.alias("size"), F.max("folded").alias("folded"))
-    keys = scratch.put(keys.where("n > 1 or folded").select("key", F.ceil(F.col("size") / HOT).cast("long").alias("ways")))
-    hot = scratch.put(keys.where("ways > 1"))
-    if hot.isEmpty():
-        return rows.join(keys, "key", "left_semi"), None
-    split = rows.join(hot, "key").withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("dk", "start"), "ways"))).drop("ways")
-    return rows.join(hot, "key", "left_anti").join(keys, "key", "left_semi"), scratch.put(split)
+
+def dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows (key, dk, start, windows, folded, ...) whose key has several rows or a folded one, with a column hot: rows
+    of hot keys all stay, and their keys are split by dk and start."""
+    if not hot.isEmpty():
+        split = F.xxhash64("key", F.pmod(F.xxhash64("dk", "start"), "ways"))
+        rows = rows.join(hot, "key", "left").withColumn("hot", F.col("ways").isNotNull()).withColumn("key", F.when(F.col("hot"), split).otherwise(F.col("key"))).drop("ways")
+    else:
+        rows = rows.withColumn("hot", F.lit(False))
+    group = Window.partitionBy("key")
+    rows = rows.withColumn("n", F.count("*").over(group)).withColumn("folds", F.max("folded").over(group))
+    return rows.where("hot or n > 1 or folds").drop("n", "folds", "folded")
 
 
 def dealt_anew(rest: DataFrame, gram: int) -> DataFrame:
@@ -309,16 +317,23 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         return rows.select("key", "id", "dk", "start", "data").repartition(ways, "key").sortWithinPartitions("key", "dk", "start")
 
     mark = ["dk", "start", "windows"]
-    found = scratch.put(own.mapInArrow(emit, "key long, dk long, start int, windows short, folded boolean"))
-    plain, hot = dealt(found, scratch)
-    marks = shard_repeats(sharded(snippets(plain))).select(*mark)
-    hot = hot if hot is None else snippets(hot)
+    columns = "key long, dk long, start int, windows short, folded boolean"
+    hot = hot_keys(own.where(F.pmod("dk", F.lit(HOT_SHARE)) == 0).mapInArrow(emit, columns), scratch, HOT_SHARE)
+    picked = scratch.put(dealt(own.mapInArrow(emit, columns), hot))
+    release(docs.sparkSession)
+    marks = scratch.put(shard_repeats(sharded(snippets(picked.where("not hot")))).select(*mark))
+    release(docs.sparkSession)
     finer = iter([*FINER, *[WINDOW] * 60])
-    while hot is not None:
-        part = scratch.put(shard_repeats(sharded(hot), rest=True))
+    # a table of its own, so that few hot snippets need no shuffle of the texts
+    split = None if hot.isEmpty() else snippets(scratch.put(picked.where("hot")))
+    while split is not None:
+        part = scratch.put(shard_repeats(sharded(split), rest=True))
+        rest = scratch.put(dealt_anew(part.where("data is not null"), next(finer)))
+        hot = hot_keys(rest, scratch)
+        again = scratch.put(dealt(rest, hot))
         marks = marks.unionByName(part.where("data is null").select(*mark))
-        plain, hot = dealt(scratch.put(dealt_anew(part.where("data is not null"), next(finer))), scratch)
-        marks = marks.unionByName(scratch.put(shard_repeats(sharded(plain))).select(*mark))
+        marks = marks.unionByName(scratch.put(shard_repeats(sharded(again.where("not hot"))).select(*mark)))
+        split = None if hot.isEmpty() else again.where("hot")
     # a list is of one document and no longer than its text
     lists = marks.distinct().groupBy("dk").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     return own.join(lists, "dk", "left").select("id", "data", "marks")

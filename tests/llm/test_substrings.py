@@ -139,6 +139,7 @@ def test_hot_keys_are_split_and_the_sort_finds_every_repeat(spark, monkeypatch):
     rows = [(d, noise(60) + rng.choice(borders)[rng.randrange(40) :] + passage + rng.choice(borders)[: rng.randrange(50)] + noise(60)) for d in range(300)]
     rows += [(300 + k, "ab" * (60 + k)) for k in range(40)] + rows[:5] + [rows[7]] * 200
     monkeypatch.setattr(substrings, "HOT", 3000)
+    monkeypatch.setattr(substrings, "HOT_SHARE", 1)
     sizes, sorted_marks, shard_repeats = [], [], substrings.shard_repeats
 
     def watched(shards, rest=False):
