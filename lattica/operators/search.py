@@ -1,115 +1,359 @@
-"""Existence search for patterns whose occurrence tables would be too large.
-
-Vertices are filtered by label and degree with joins; then each (pattern, position, vertex) is searched for one
-occurrence, in parallel, over adjacency arrays that every task holds. The arrays are only sent if the graph is below a
-size that is checked. Domains are reduced no further: arc consistency, neighbour profiles, inherited domains and pivot
-voting are functions of their own, some with queries, that mining does not use.
-A budget bounds the steps of a search; a search that it ends counts as without occurrence, so that support is then a
-lower bound, and says so.
+"""Support of many candidates at once on a graph that is small enough to be sent to every task.
+
+The adjacency goes out as numpy arrays in compressed sparse rows, below a size that is checked; candidates, and slices of
+their vertices, are dealt to the tasks of one job. A task reduces the domain of each position first: by label and
+degree, by the labels around a vertex, by what the parent's images leave, and by arc consistency, each a switch that
+leaves the result as it is. Then occurrences are enumerated by array joins, or, where they would be too many, each
+vertex is searched for one. A budget bounds the steps of a search; one that it ends counts as without occurrence, so
+that support is then a lower bound, and says so.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 from lattica.operators.pattern import Pattern
+from lattica.operators.voting import BALANCED, Voter, next_to
 from lattica.sources.graph import Graph
 
-#: Directed edges of a graph that is sent to every task, at most.
-LARGEST = 20_000_000
+#: Directed edges, and vertices, of a graph that is sent to every task, at most; some 100 MB.
+LARGEST = 4_000_000
+#: Occurrence rows that a task holds at a time.
+AT_ONCE = 500_000
+#: Directed edges from which a candidate's vertices are dealt to several tasks.
+SLICED_FROM = 50_000
 
 
-def adjacency(g: Graph) -> dict[int, dict[int, tuple[int, float, int, float]]]:
-    """vertex -> neighbour -> (edge label, weight, neighbour's label, neighbour's weight)."""
-    n = g.adj.count()
-    if n > LARGEST:
-        raise ValueError(f"{n} directed edges are too many to search over; raise the support or weight threshold")
-    out: dict[int, dict[int, tuple[int, float, int, float]]] = {}
-    for r in g.adj.select("src", "dst", "el", "w", "ld", "wd").toLocalIterator():
-        out.setdefault(r[0], {})[r[1]] = (r[2], r[3], r[4], r[5])
-    return out
+@dataclass(frozen=True)
+class Reductions:
+    """What is done before and in what order a search places positions; all leave the result as it is.
+
+    profile: a vertex needs as many neighbours of each label as its position. consistent: arc consistency. inherit: a
+    child's domains start from its parent's images. voter: order of positions; weight_first: the heaviest edges first.
+    """
+
+    profile: bool = True
+    consistent: bool = True
+    inherit: bool = True
+    voter: Voter | None = BALANCED
+    weight_first: bool = False
+
+
+@dataclass
+class Arrays:
+    """Vertices by number in order of id, and the directed edges sorted by source and destination."""
+
+    ids: np.ndarray
+    label: np.ndarray
+    weight: np.ndarray
+    begin: np.ndarray
+    src: np.ndarray
+    dst: np.ndarray
+    el: np.ndarray
+    w: np.ndarray
+    lists: dict = field(default_factory=dict, repr=False)
+
+    @property
+    def degree(self) -> np.ndarray:
+        return np.diff(self.begin)
+
+    def edge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of the edges a - b, -1 where there is none."""
+        n = len(self.ids)
+        if "keys" not in self.lists:
+            self.lists["keys"] = self.src.astype(np.int64) * n + self.dst
+        keys, want = self.lists["keys"], a.astype(np.int64) * n + b
+        at = np.searchsorted(keys, want)
+        at[at == len(keys)] = 0
+        return np.where(keys[at] == want, at, -1) if len(keys) else np.full(len(a), -1)
+
+    def near(self, v: int) -> dict[int, tuple[int, float]]:
+        """neighbour -> (edge label, weight), made when first asked for."""
+        found = self.lists.get(v)
+        if found is None:
+            a, b = self.begin[v], self.begin[v + 1]
+            found = self.lists[v] = dict(zip(self.dst[a:b].tolist(), zip(self.el[a:b].tolist(), self.w[a:b].tolist())))
+        return found
+
+    def triples(self, edges: np.ndarray | None = None) -> dict[tuple[int, int, int], float]:
+        """(la, lb, el), la <= lb, with the largest weight of such an edge, over all edges or those of a mask."""
+        edges = np.ones(len(self.src), bool) if edges is None else edges
+        x, y = self.label[self.src[edges]], self.label[self.dst[edges]]
+        keys, which = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), self.el[edges]], 1), axis=0, return_inverse=True)
+        best = np.full(len(keys), -np.inf)
+        np.maximum.at(best, which.ravel(), self.w[edges])
+        return {tuple(k): float(b) for k, b in zip(keys.tolist(), best)}
 
 
-def order_from(p: Pattern, start: int) -> list[int]:
+def arrays(g: Graph, largest: int = LARGEST) -> Arrays | None:
+    """The graph as arrays, or None if it is too large to be sent."""
+    if g.adj.limit(largest + 1).count() > largest or g.vertices.limit(largest + 1).count() > largest:
+        return None
+    v = g.vertices.select("id", "label", "weight").toArrow()
+    e = g.adj.select("src", "dst", "el", "w").toArrow()
+    column = lambda t, c: t.column(c).to_numpy()
+    order = np.argsort(column(v, "id"))
+    ids = column(v, "id")[order]
+    src, dst = np.searchsorted(ids, column(e, "src")), np.searchsorted(ids, column(e, "dst"))
+    by = np.lexsort((dst, src))
+    begin = np.append(0, np.bincount(src, minlength=len(ids)).cumsum()).astype(np.int64)
+    return Arrays(ids, column(v, "label")[order], column(v, "weight")[order], begin, src[by].astype(np.int32), dst[by].astype(np.int32), column(e, "el")[by], column(e, "w")[by])
+
+
+def start_domains(g: Arrays, p: Pattern, r: Reductions, parent: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each position which vertices may stand there."""
+    out = []
+    for u in range(p.n_vertices):
+        ok = (g.label == p.labels[u]) & (g.degree >= p.degree(u))
+        if r.profile:
+            need: dict[tuple[int, int], int] = {}
+            for v, el in p.links[u].items():
+                need[p.labels[v], el] = need.get((p.labels[v], el), 0) + 1
+            for (lb, el), n in need.items():
+                ok &= np.bincount(g.src[(g.label[g.dst] == lb) & (g.el == el)], minlength=len(g.ids)) >= n
+        if r.inherit and parent is not None and u < len(parent):
+            ok &= parent[u]
+        out.append(ok)
+    return arc_consistent(g, p, out) if r.consistent else out
+
+
+def arc_consistent(g: Arrays, p: Pattern, domains: list[np.ndarray], least: float = -np.inf) -> list[np.ndarray]:
+    """Domains where each vertex has, along every pattern edge, a neighbour in the other end's domain, by edges of at
+    least so much."""
+    heavy = g.w >= least
+    arcs = [(u, v, el) for u, v, el in p.edges] + [(v, u, el) for u, v, el in p.edges]
+    domains, changed = [d.copy() for d in domains], True
+    while changed:
+        changed = False
+        for u, v, el in arcs:
+            near = np.zeros(len(g.ids), bool)
+            near[g.src[domains[v][g.dst] & (g.el == el) & heavy]] = True
+            if (domains[u] & ~near).any():
+                domains[u] &= near
+                changed = True
+    return domains
+
+
+def matching_order(g: Arrays, p: Pattern, domains: list[np.ndarray], r: Reductions, start: int | None = None) -> list[int]:
+    """Positions so that each later one has an earlier neighbour."""
+    if "triples" not in g.lists:
+        g.lists["triples"] = g.triples()
+    best = g.lists["triples"]
+    heavy = lambda u, v: best.get((*sorted((p.labels[u], p.labels[v])), p.links[u][v]), 0.0)
+    if r.voter is None and not r.weight_first:
+        order = sorted(range(p.n_vertices), key=lambda u: (-p.degree(u), u))
+    else:
+        order = (r.voter or BALANCED).order([int(d.sum()) for d in domains], [p.degree(u) for u in range(p.n_vertices)], [max(heavy(u, v) for v in p.links[u]) for u in range(p.n_vertices)])
+    start = order[0] if start is None else start
+    if not r.weight_first:
+        return next_to(p, order, start)
     out = [start]
     while len(out) < p.n_vertices:
-        out.append(max((v for v in range(p.n_vertices) if v not in out and any(p.has_edge(v, x) for x in out)), key=lambda v: (sum(p.has_edge(v, x) for x in out), p.degree(v), -v)))
+        # the edge that may weigh least is placed first, since it rules out most
+        out.append(min(((heavy(u, v), u, v) for u in out for v in p.links[u] if v not in out))[2])
     return out
 
 
+def walks(g: Arrays, p: Pattern, order: list[int], domains: list[np.ndarray]) -> float:
+    """Maps of a spanning tree of the pattern along the order, an upper bound of its occurrences."""
+    count = [d.astype(np.float64) for d in domains]
+    for k in range(len(order) - 1, 0, -1):
+        v = order[k]
+        u = next(x for x in order[:k] if p.has_edge(v, x))
+        same = g.el == p.edge_label(u, v)
+        count[u] *= np.bincount(g.src[same], count[v][g.dst[same]], len(g.ids))
+    return float(count[order[0]].sum())
+
+
+def enumerate_occurrences(g: Arrays, p: Pattern, order: list[int], domains: list[np.ndarray], starts: np.ndarray) -> tuple[list[np.ndarray], float, float]:
+    """Images of each position, and the best smallest edge and smallest vertex, over all occurrences from the starts."""
+    images = [np.zeros(len(g.ids), bool) for _ in order]
+    best = [-np.inf, -np.inf]
+    back = [[(k, p.edge_label(v, x)) for k, x in enumerate(order[:i]) if p.has_edge(v, x)] for i, v in enumerate(order)]
+
+    def go(k: int, rows: np.ndarray, bw: np.ndarray, vbw: np.ndarray) -> None:
+        if not len(rows):
+            return
+        if k == len(order):
+            for column, u in zip(rows.T, order):
+                images[u][column] = True
+            best[0], best[1] = max(best[0], bw.max()), max(best[1], vbw.max())
+            return
+        (anchor, el), *others = back[k]
+        a = g.begin[rows[:, anchor]]
+        size = g.begin[rows[:, anchor] + 1] - a
+        if size.sum() > AT_ONCE and len(rows) > 1:
+            half = len(rows) // 2
+            go(k, rows[:half], bw[:half], vbw[:half])
+            go(k, rows[half:], bw[half:], vbw[half:])
+            return
+        row = np.repeat(np.arange(len(rows)), size)
+        edge = np.arange(len(row)) - np.repeat(size.cumsum() - size, size) + a[row]
+        x = g.dst[edge]
+        ok = domains[order[k]][x] & (g.el[edge] == el)
+        for j in range(k):
+            ok &= rows[row, j] != x
+        row, edge, x = row[ok], edge[ok], x[ok]
+        low = np.minimum(bw[row], g.w[edge])
+        for j, el in others:
+            e = g.edge(rows[row, j], x)
+            ok = (e >= 0) & (g.el[e] == el)
+            row, x, low, e = row[ok], x[ok], low[ok], e[ok]
+            low = np.minimum(low, g.w[e])
+        go(k + 1, np.column_stack([rows[row], x]), low, np.minimum(vbw[row], g.weight[x]))
+
+    go(1, starts[:, None].astype(np.int64), np.full(len(starts), np.inf), g.weight[starts])
+    return images, best[0], best[1]
+
+
 class Spent(Exception):
     """The budget of a search is used up."""
 
 
-def best_occurrence(adj: dict, p: Pattern, start: int, vertex: int, weights: dict[int, float], budget: int = 0, first: bool = True) -> tuple[float, float] | None:
-    """(smallest edge, smallest vertex) of an occurrence with the vertex at the position: of any if first, else the
-    best of each of the two. None without one."""
-    order = order_from(p, start)
-    back = [[(order.index(x), el) for x, el in p.links[v].items() if order.index(x) < k] for k, v in enumerate(order)]
-    found, steps = [None], [0]
-    best = [-float("inf"), -float("inf")]
+def occurrence(g: Arrays, p: Pattern, order: list[int], vertex: int, domains: list[np.ndarray], budget: int = 0, least: float = -np.inf) -> tuple[float, float] | None:
+    """(smallest edge, smallest vertex) of an occurrence with the vertex at the order's first position, of edges of at
+    least so much. None without one."""
+    back = [[(k, p.edge_label(v, x)) for k, x in enumerate(order[:i]) if p.has_edge(v, x)] for i, v in enumerate(order)]
+    steps = [0]
 
-    def go(k: int, placed: list[int], bw: float, vbw: float) -> bool:
+    def go(k: int, placed: list[int], bw: float, vbw: float) -> tuple[float, float] | None:
         steps[0] += 1
         if budget and steps[0] > budget:
             raise Spent
         if k == len(order):
-            found[0] = True
-            best[0], best[1] = max(best[0], bw), max(best[1], vbw)
-            return first
-        (anchor, _), *_ = sorted(back[k], key=lambda b: len(adj.get(placed[b[0]], ())))
-        for x, (_, _, label, w) in adj.get(placed[anchor], {}).items():
-            if label != p.labels[order[k]] or x in placed:
+            return bw, vbw
+        anchor, own = min(((g.near(placed[i]), el) for i, el in back[k]), key=lambda x: len(x[0]))
+        domain = domains[order[k]]
+        for x, (el, w) in anchor.items():
+            if el != own or w < least or not domain[x] or x in placed:
                 continue
             low = bw
             for i, el in back[k]:
-                link = adj.get(placed[i], {}).get(x)
-                if link is None or link[0] != el:
+                link = g.near(placed[i]).get(x)
+                if link is None or link[0] != el or link[1] < least:
                     break
                 low = min(low, link[1])
             else:
-                end = min(vbw, weights[x])
-                if not first and low <= best[0] and end <= best[1]:
-                    continue
-                if go(k + 1, [*placed, x], low, end):
-                    return True
-        return False
-
-    go(1, [vertex], float("inf"), weights[vertex])
-    return (best[0], best[1]) if found[0] else None
-
-
-def measure(g: Graph, patterns: dict[int, Pattern], budget: int = 0, weighted: bool = True) -> tuple[dict[int, tuple[int, float, float]], int]:
-    """As match.measure, by search; also the number of searches that the budget ended."""
-    if not patterns:
-        return {}, 0
-    spark: SparkSession = g.adj.sparkSession
-    shared = spark.sparkContext.broadcast((adjacency(g), {r[0]: r[1] for r in g.vertices.select("id", "weight").toLocalIterator()}, patterns))
-    rows = [(k, u, p.labels[u], p.degree(u)) for k, p in patterns.items() for u in range(p.n_vertices)]
-    wanted = F.broadcast(spark.createDataFrame(rows, "pid int, pos int, label int, need long"))
-    degree = g.adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    tasks: DataFrame = g.vertices.join(degree, "id").join(wanted, "label").where("degree >= need").select("pid", "pos", "id")
-    tasks = tasks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(batches):
-        import pandas as pd
-
-        adj, weights, own = shared.value
-        for batch in batches:
-            out = []
-            for pid, pos, v in zip(batch["pid"], batch["pos"], batch["id"]):
-                try:
-                    got = best_occurrence(adj, own[pid], pos, v, weights, budget, first=not (weighted and pos == 0))
-                    out.append((pid, pos, got is not None, False, got[0] if got else None, got[1] if got else None))
-                except Spent:
-                    out.append((pid, pos, False, True, None, None))
-            yield pd.DataFrame(out, columns=["pid", "pos", "found", "spent", "bw", "vbw"])
-
-    found = tasks.mapInPandas(run, "pid int, pos int, found boolean, spent boolean, bw double, vbw double")
-    per = found.groupBy("pid", "pos").agg(F.count_if("found").alias("n"), F.count_if("spent").alias("spent"), F.max("bw").alias("bw"), F.max("vbw").alias("vbw"))
-    got = per.groupBy("pid").agg(F.min("n").alias("mni"), F.count("*").alias("positions"), F.sum("spent").alias("spent"), F.max("bw").alias("bw"), F.max("vbw").alias("vbw")).collect()
-    shared.unpersist()
-    # a position without any vertex has no row, and so no image
-    out = {r["pid"]: (r["mni"] if r["positions"] == patterns[r["pid"]].n_vertices else 0, r["bw"], r["vbw"]) for r in got}
-    return out, sum(r["spent"] for r in got)
+                if (got := go(k + 1, [*placed, x], low, min(vbw, float(g.weight[x])))) is not None:
+                    return got
+        return None
+
+    return go(1, [vertex], np.inf, float(g.weight[vertex]))
+
+
+def greatest(values: np.ndarray, known: float, reach) -> float:
+    """The largest of the rising values that reach() attains, which then attains all smaller ones; known is attained."""
+    low, high = int(np.searchsorted(values, known, "right")) - 1, len(values) - 1
+    while low < high:
+        at = (low + high + 1) // 2
+        if reach(float(values[at])):
+            low = at
+        else:
+            high = at - 1
+    return max(known, float(values[low]))
+
+
+def solve(g: Arrays, p: Pattern, min_sup: int, rows: int, budget: int, r: Reductions, parent: list[np.ndarray] | None = None, part: int = 0, parts: int = 1) -> tuple[list[np.ndarray], float, float, int]:
+    """Images, weights and number of ended searches of one candidate, or of one slice of its vertices.
+
+    A domain of under min_sup vertices settles the candidate as infrequent; its domains then stand for images. Searches
+    give images of one position at a time; the weights are then found by halving the distinct weights of edges and of
+    vertices, asking each time for an occurrence that is all as heavy.
+    """
+    domains = start_domains(g, p, r, parent)
+    if min(int(d.sum()) for d in domains) < min_sup:
+        return domains, -np.inf, -np.inf, 0
+    order = matching_order(g, p, domains, r)
+    if walks(g, p, order, domains) <= rows:
+        images, bw, vbw = enumerate_occurrences(g, p, order, domains, np.flatnonzero(domains[order[0]])[part::parts])
+        return images, bw, vbw, 0
+    images, bw, vbw, ended = [np.zeros(len(g.ids), bool) for _ in domains], -np.inf, -np.inf, 0
+
+    def first(way: list[int], domains: list[np.ndarray], vertices: np.ndarray, least: float = -np.inf):
+        nonlocal ended
+        for v in vertices.tolist():
+            try:
+                if (got := occurrence(g, p, way, v, domains, budget, least)) is not None:
+                    yield v, got
+            except Spent:
+                ended += 1
+
+    for u in range(p.n_vertices):
+        way = matching_order(g, p, domains, r, start=u)
+        for v, got in first(way, domains, np.flatnonzero(domains[u])[part::parts]):
+            images[u][v] = True
+            bw, vbw = max(bw, got[0]), max(vbw, got[1])
+    if bw == -np.inf or parts == 1 and min(int(x.sum()) for x in images) < min_sup:
+        return images, bw, vbw, ended
+    starts = np.zeros(len(g.ids), bool)
+    starts[np.flatnonzero(domains[order[0]])[part::parts]] = True
+
+    def reach(least: float = -np.inf, end: float = -np.inf) -> bool:
+        own = arc_consistent(g, p, [d & (g.weight >= end) for d in domains], least)
+        return next(first(order, own, np.flatnonzero(own[order[0]] & starts), least), None) is not None
+
+    bw = greatest(np.unique(g.w), bw, lambda t: reach(least=t))
+    vbw = greatest(np.unique(g.weight), vbw, lambda t: reach(end=t))
+    return images, bw, vbw, ended
+
+
+@dataclass
+class Solved:
+    mni: int
+    bottleneck: float | None
+    vertex_bottleneck: float | None
+    #: Packed images by position, the next level's domains.
+    images: list[np.ndarray]
+
+
+class Sent:
+    """A graph that is held by every task, and the measures of candidates on it, a job for a level."""
+
+    def __init__(self, spark: SparkSession, g: Arrays):
+        self.spark, self.g = spark, g
+        self.shared: Broadcast = spark.sparkContext.broadcast(g)
+
+    def close(self) -> None:
+        self.shared.unpersist()
+
+    def measure(self, patterns: dict[int, Pattern], min_sup: int = 1, rows: int = 2_000_000, budget: int = 0, reductions: Reductions = Reductions(), parents: dict[int, list[np.ndarray]] | None = None) -> tuple[dict[int, Solved], int]:
+        """Measures by number, exact for patterns of min_sup or more and an upper bound of support for others; and how
+        many searches the budget ended. parents: packed images of a candidate's parent."""
+        if not patterns:
+            return {}, 0
+        slots, n = self.spark.sparkContext.defaultParallelism, len(self.g.ids)
+        parts = max(1, min(16, 2 * slots // len(patterns))) if len(self.g.src) > SLICED_FROM else 1
+        shared, own = self.shared, self.spark.sparkContext.broadcast((patterns, parents or {}))
+        tasks = [(k, j) for k in patterns for j in range(parts)]
+
+        def run(batches):
+            import pyarrow as pa
+
+            schema = pa.schema([("pid", pa.int32()), ("images", pa.list_(pa.binary())), ("bw", pa.float64()), ("vbw", pa.float64()), ("ended", pa.int64())])
+            g, (wanted, before) = shared.value, own.value
+            for batch in batches:
+                for k, j in zip(batch.column("pid").to_pylist(), batch.column("part").to_pylist()):
+                    parent = [np.unpackbits(x, count=n).astype(bool) for x in before[k]] if k in before else None
+                    images, bw, vbw, ended = solve(g, wanted[k], min_sup, rows, budget, reductions, parent, j, parts)
+                    row = [[k], [[np.packbits(x).tobytes() for x in images]], [bw], [vbw], [ended]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema)
+
+        table = self.spark.createDataFrame(tasks, "pid int, part int").repartition(min(slots, len(tasks)), "pid", "part")
+        got = table.mapInArrow(run, "pid int, images array<binary>, bw double, vbw double, ended long").collect()
+        own.unpersist()
+        out: dict[int, Solved] = {}
+        for r in got:
+            images = [np.frombuffer(x, np.uint8) for x in r.images]
+            if (s := out.get(r.pid)) is None:
+                out[r.pid] = Solved(0, r.bw, r.vbw, images)
+            else:
+                s.images = [a | b for a, b in zip(s.images, images)]
+                s.bottleneck, s.vertex_bottleneck = max(s.bottleneck, r.bw), max(s.vertex_bottleneck, r.vbw)
+        for s in out.values():
+            s.mni = min(int(np.bitwise_count(x).sum()) for x in s.images)
+            s.bottleneck, s.vertex_bottleneck = (None if x == -np.inf else x for x in (s.bottleneck, s.vertex_bottleneck))
+        return out, sum(r.ended for r in got)

@@ -8,6 +8,7 @@ occurrence's smallest edge, its vertex weight the best occurrence's smallest ver
 from __future__ import annotations
 
 from functools import reduce
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,43 +46,123 @@ def edge_vertex_weights(g: Graph) -> DataFrame:
     return g.adj.where("ls <= ld").groupBy(F.col("ls").alias("la"), F.col("ld").alias("lb"), "el").agg(F.max(F.least("ws", "wd")).alias("max_vw"))
 
 
-def two_path_rows(g: Graph) -> DataFrame:
-    """Occurrences a - b - c, one orientation of each unless it reads alike both ways."""
-    p, q = _adj(g, "p"), _adj(g, "q", "src", "dst", "ld", "el", "w")
-    rows = p.join(q, (F.col("p_src") == F.col("q_src")) & (F.col("p_dst") != F.col("q_dst")))
-    rows = rows.where((F.col("p_ld") < F.col("q_ld")) | (F.col("p_ld") == F.col("q_ld")) & (F.col("p_el") <= F.col("q_el")))
-    return rows.select(F.col("p_ld").alias("a"), F.col("p_ls").alias("b"), F.col("q_ld").alias("c"), F.col("p_el").alias("e1"), F.col("q_el").alias("e2"), F.col("p_dst").alias("v0"), F.col("p_src").alias("v1"), F.col("q_dst").alias("v2"), F.col("p_w").alias("w1"), F.col("q_w").alias("w2"))
+#: A hub's edges are dealt to so many groups before its largest weights are picked.
+SALTS = 64
 
 
-def two_paths(g: Graph, min_sup: int = 1) -> DataFrame:
-    """The lookup table of two-edge patterns: (a, b, c, e1, e2, mni, max_w)."""
-    return measured(two_path_rows(g), ["a", "b", "c", "e1", "e2"], ["v0", "v1", "v2"], ["w1", "w2"], min_sup)
+def star_profile(g: Graph, most: int = 3) -> DataFrame:
+    """(src, ls, ld, el, cnt, top): neighbours of each label and edge label, and the `most` heaviest edges to them as
+    (w, dst), falling. Lists are cut down in two steps, so that a hub's edges never form one list."""
+    edge = F.struct("w", "dst")
+    cut = lambda x: F.slice(F.sort_array(x, asc=False), 1, most)
+    part = g.adj.groupBy("src", "ls", "ld", "el", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("cnt"), cut(F.collect_list(edge)).alias("top"))
+    return part.groupBy("src", "ls", "ld", "el").agg(F.sum("cnt").alias("cnt"), cut(F.flatten(F.collect_list("top"))).alias("top"))
+
+
+def two_path_centres(g: Graph, profile: DataFrame | None = None) -> DataFrame:
+    """(src, a, b, c, e1, e2, w): for each vertex the two-paths a - b - c that it is the centre of, and the best one's
+    weight, read off the vertex's profile: a row per pair of neighbour labels, not of neighbours."""
+    k = star_profile(g, 2) if profile is None else profile
+    x = k.select("src", F.col("ls").alias("b"), F.col("ld").alias("a"), F.col("el").alias("e1"), F.col("cnt").alias("n1"), F.col("top").alias("t1"))
+    y = k.select("src", F.col("ld").alias("c"), F.col("el").alias("e2"), F.col("top").alias("t2"))
+    same = (F.col("a") == F.col("c")) & (F.col("e1") == F.col("e2"))
+    rows = x.join(y, "src").where((F.struct("a", "e1") <= F.struct(F.col("c").alias("a"), F.col("e2").alias("e1"))) & (~same | (F.col("n1") >= 2)))
+    first, second = F.get("t1", F.lit(0))["w"], F.get("t1", F.lit(1))["w"]
+    return rows.select("src", "a", "b", "c", "e1", "e2", F.when(same, second).otherwise(F.least(first, F.get("t2", F.lit(0))["w"])).alias("w"))
+
+
+PATH = ["a", "b", "c", "e1", "e2"]
+
+
+def two_path_weights(g: Graph) -> DataFrame:
+    """(a, b, c, e1, e2, max_w) of all two-paths."""
+    return two_path_centres(g).groupBy(*PATH).agg(F.max("w").alias("max_w"))
+
+
+def two_paths(g: Graph, min_sup: int = 1, profile: DataFrame | None = None) -> DataFrame:
+    """The lookup table of two-edge patterns: (a, b, c, e1, e2, mni, max_w). Occurrences are never listed: a centre's
+    neighbours of the leaf's label and edge label are the leaf's images."""
+    rows = two_path_centres(g, profile)
+    centres = rows.groupBy(*PATH).agg(F.count("*").alias("n"), F.max("w").alias("max_w")).where(F.col("n") >= min_sup)
+    kept = rows.join(centres.select(*PATH), PATH, "left_semi")
+    ends = F.array_distinct(F.array(F.struct(F.col("a").alias("ld"), F.col("e1").alias("el")), F.struct(F.col("c").alias("ld"), F.col("e2").alias("el"))))
+    leaves = kept.select("src", *PATH, F.explode(ends).alias("leaf")).select("src", *PATH, "leaf.ld", "leaf.el")
+    images = leaves.join(g.adj.select("src", "ld", "el", "dst"), ["src", "ld", "el"]).select(*PATH, "ld", "el", "dst").distinct()
+    low = images.groupBy(*PATH, "ld", "el").agg(F.count("*").alias("k")).groupBy(*PATH).agg(F.min("k").alias("leaf"))
+    return centres.join(low, PATH).select(*PATH, F.least("n", "leaf").alias("mni"), "max_w").where(F.col("mni") >= min_sup)
+
+
+RING = ["l0", "l1", "l2", "l3"]
 
 
 def three_paths(g: Graph, min_sup: int = 1) -> DataFrame:
     """Paths of four vertices: (l0, l1, l2, l3, mni, max_w), for graphs of one edge label. Both end pairs must be
-    frequent two-paths; the label table of those is an aggregate of the label set and joins by size."""
-    p, q, r = _adj(g, "p", "src", "dst", "ls", "ld", "w"), _adj(g, "q", "src", "dst", "ld", "w"), _adj(g, "r", "src", "dst", "ld", "w")
-    known = two_paths(g, min_sup).select("a", "b", "c")
-    known = known.union(known.select("c", "b", "a")).distinct()
-    rows = p.join(q, (F.col("p_src") == F.col("q_src")) & (F.col("p_dst") != F.col("q_dst")))
-    rows = rows.join(known.toDF("p_ld", "p_ls", "q_ld"), ["p_ld", "p_ls", "q_ld"], "left_semi")
-    rows = rows.join(r, (F.col("q_dst") == F.col("r_src")) & (F.col("r_dst") != F.col("p_src")) & (F.col("r_dst") != F.col("p_dst")))
-    rows = rows.join(known.toDF("p_ls", "q_ld", "r_ld"), ["p_ls", "q_ld", "r_ld"], "left_semi")
-    rows = rows.where((F.col("p_ld") < F.col("r_ld")) | (F.col("p_ld") == F.col("r_ld")) & (F.col("p_ls") <= F.col("q_ld")))
-    rows = rows.select(F.col("p_ld").alias("l0"), F.col("p_ls").alias("l1"), F.col("q_ld").alias("l2"), F.col("r_ld").alias("l3"), F.col("p_dst").alias("v0"), F.col("p_src").alias("v1"), F.col("q_dst").alias("v2"), F.col("r_dst").alias("v3"), F.col("p_w").alias("w1"), F.col("q_w").alias("w2"), F.col("r_w").alias("w3"))
-    return measured(rows, ["l0", "l1", "l2", "l3"], ["v0", "v1", "v2", "v3"], ["w1", "w2", "w3"], min_sup)
+    frequent two-paths; the label table of those is an aggregate of the label set and joins by size.
+
+    Occurrences are never listed. An edge v1 - v2 is the middle of one if v1 has a neighbour of the first label other
+    than v2, and v2 one of the last label other than v1, that aren't one and the same vertex only. The three heaviest
+    edges of each profile are enough to find the best pair of different ends. Profiles, known pairs and middles are read
+    several times and cached, on disk where memory is short; as with a cached graph, that is the caller's to clear.
+    """
+    k = star_profile(g, 3).cache()
+    known = two_paths(g, min_sup, k).select("a", "b", "c")
+    known = known.union(known.select("c", "b", "a")).distinct().cache()
+    side = lambda v, other, n: k.select(F.col("src").alias(v), F.col("ld").alias(f"l{n}"), F.col("cnt").alias(f"n{n}"), F.col("top").alias(f"t{n}"))
+    mid = g.adj.select(F.col("src").alias("v1"), F.col("dst").alias("v2"), F.col("ls").alias("l1"), F.col("ld").alias("l2"), "w")
+    rows = mid.join(side("v1", "v2", 0), "v1").join(known.toDF("l0", "l1", "l2"), ["l0", "l1", "l2"], "left_semi")
+    rows = rows.join(side("v2", "v1", 3), "v2").join(known.toDF("l1", "l2", "l3"), ["l1", "l2", "l3"], "left_semi")
+    rows = rows.where(F.struct("l0", "l1") <= F.struct(F.col("l3").alias("l0"), F.col("l2").alias("l1")))
+    rest = lambda n, other: (F.col(f"n{n}") - (F.col(f"l{n}") == F.col("l2" if n == 0 else "l1")).cast("int")).alias(f"n{n}")
+    free = lambda n, other: F.filter(f"t{n}", lambda x: x["dst"] != F.col(other)).alias(f"t{n}")
+    rows = rows.select("v1", "v2", *RING, "w", rest(0, "v2"), rest(3, "v1"), free(0, "v2"), free(3, "v1")).where("n0 >= 1 and n3 >= 1")
+    end = lambda n, i, f: F.get(f"t{n}", F.lit(i))[f]
+    met = end(0, 0, "dst") == end(3, 0, "dst")
+    rows = rows.where(~met | (F.col("n0") > 1) | (F.col("n3") > 1))
+    # where both best ends are one vertex, one of the two takes its second best
+    second = F.greatest(F.least(end(0, 0, "w"), end(3, 1, "w")), F.least(end(0, 1, "w"), end(3, 0, "w")))
+    second = F.when(F.col("n3") < 2, F.least(end(0, 1, "w"), end(3, 0, "w"))).when(F.col("n0") < 2, F.least(end(0, 0, "w"), end(3, 1, "w"))).otherwise(second)
+    best = F.least("w", F.when(met, second).otherwise(F.least(end(0, 0, "w"), end(3, 0, "w"))))
+    rows = rows.select("v1", "v2", *RING, best.alias("w"), F.when(F.col("n3") == 1, end(3, 0, "dst")).alias("only3"), F.when(F.col("n0") == 1, end(0, 0, "dst")).alias("only0")).cache()
+    weight = rows.groupBy(*RING).agg(F.max("w").alias("max_w"))
+    # images: the middle vertices themselves; of the ends, all neighbours of the label but the other middle vertex and,
+    # if the other end has one choice alone, that choice
+    middle = rows.select(*RING, F.explode(F.array(F.struct(F.lit(1).alias("pos"), F.col("v1").alias("v")), F.struct(F.lit(2).alias("pos"), F.col("v2").alias("v")))).alias("i")).select(*RING, "i.pos", "i.v").distinct()
+    near = g.adj.select(F.col("src").alias("at"), F.col("ld").alias("l"), F.col("dst").alias("v"))
+    ends = []
+    for pos, at, other, only in ((0, "v1", "v2", "only3"), (3, "v2", "v1", "only0")):
+        ask = rows.select(*RING, F.col(at).alias("at"), F.col(f"l{pos}").alias("l"), F.col(other).alias("other"), F.col(only).alias("only"))
+        # a neighbour is missed by one asking edge only if it is that edge's other vertex or its only other end, so of
+        # the edges at one vertex that ask alike, their number and what each rules out decide
+        asked = ask.groupBy(*RING, "at", "l").agg(F.count("*").alias("asks"))
+        out = ask.select(*RING, "at", F.explode(F.array_distinct(F.array_compact(F.array("other", "only")))).alias("v")).groupBy(*RING, "at", "v").agg(F.count("*").alias("ruled"))
+        images = asked.join(near, ["at", "l"]).join(out, [*RING, "at", "v"], "left").where(F.coalesce("ruled", F.lit(0)) < F.col("asks"))
+        ends.append(images.select(*RING, F.lit(pos).alias("pos"), "v").distinct())
+    images = middle.unionByName(ends[0]).unionByName(ends[1])
+    low = images.groupBy(*RING, "pos").agg(F.count("*").alias("n")).groupBy(*RING).agg(F.min("n").alias("mni"))
+    return low.where(F.col("mni") >= min_sup).join(weight, RING).select(*RING, "mni", "max_w")
 
 
 def triangle_rows(g: Graph) -> DataFrame:
-    p, q, r = _adj(g, "p", "src", "dst", "ls", "ld", "w").where("p_ls <= p_ld"), _adj(g, "q", "src", "dst", "ls", "ld", "w").where("q_ls <= q_ld"), _adj(g, "r", "src", "dst", "w")
-    rows = p.join(q, (F.col("p_dst") == F.col("q_src")) & (F.col("q_dst") != F.col("p_src"))).join(r, (F.col("p_src") == F.col("r_src")) & (F.col("q_dst") == F.col("r_dst")))
-    return rows.select(F.col("p_ls").alias("l0"), F.col("p_ld").alias("l1"), F.col("q_ld").alias("l2"), F.col("p_src").alias("v0"), F.col("p_dst").alias("v1"), F.col("q_dst").alias("v2"), F.col("p_w").alias("w1"), F.col("q_w").alias("w2"), F.col("r_w").alias("w3"))
+    """Occurrences of triangles with rising labels. Each triangle is found once, at its vertex of least degree: edges
+    point to the end of larger degree, so that a hub has few of them to pair."""
+    degree = g.adj.groupBy("src").agg(F.count("*").alias("ds"))
+    e = g.adj.join(degree, "src").join(degree.toDF("dst", "dd"), "dst").where(F.struct("ds", "src") < F.struct(F.col("dd").alias("ds"), F.col("dst").alias("src")))
+    e = e.select("src", "dst", "ls", "ld", "w")
+    p, q, r = e.toDF("x", "y", "lx", "ly", "wxy"), e.select("src", "dst", "ld", "w").toDF("x", "z", "lz", "wxz"), e.select("src", "dst", "w").toDF("y", "z", "wyz")
+    # either of two neighbours may be the lower end of the third edge
+    found = p.join(q, "x").where("y <> z").join(r, ["y", "z"])
+    corner = {"x": "lx", "y": "ly", "z": "lz"}
+    turns = []
+    for m in permutations("xyz"):
+        l, v = [F.col(corner[c]) for c in m], [F.col(c) for c in m]
+        turn = F.struct(*[c.alias(f"l{i}") for i, c in enumerate(l)], *[c.alias(f"v{i}") for i, c in enumerate(v)])
+        turns.append(F.when((l[0] <= l[1]) & (l[1] <= l[2]), turn))
+    return found.select(F.explode(F.array_compact(F.array(*turns))).alias("t"), F.least("wxy", "wxz", "wyz").alias("w1")).select("t.*", "w1")
 
 
 def triangles(g: Graph, min_sup: int = 1) -> DataFrame:
     """(l0, l1, l2, mni, max_w), for graphs of one edge label."""
-    return measured(triangle_rows(g), ["l0", "l1", "l2"], ["v0", "v1", "v2"], ["w1", "w2", "w3"], min_sup)
+    return measured(triangle_rows(g), ["l0", "l1", "l2"], ["v0", "v1", "v2"], ["w1"], min_sup)
 
 
 def four_cycles(g: Graph, min_sup: int = 1) -> DataFrame:
@@ -99,11 +180,6 @@ def four_cycles(g: Graph, min_sup: int = 1) -> DataFrame:
     return measured(rows.where(own == least), ring, ["v0", "v1", "v2", "v3"], ["w1", "w2"], min_sup)
 
 
-def star_profile(g: Graph) -> DataFrame:
-    """(src, ls, ld, cnt, ws): neighbours of each label and their edges' weights, falling."""
-    return g.adj.groupBy("src", "ls", "ld").agg(F.count("*").alias("cnt"), F.sort_array(F.collect_list("w"), asc=False).alias("ws"))
-
-
 def three_stars(g: Graph, min_sup: int = 1) -> DataFrame:
     """Stars of three leaves: (lc, a, b, c, mni, max_w), a <= b <= c, for graphs of one edge label.
 
@@ -112,7 +188,7 @@ def three_stars(g: Graph, min_sup: int = 1) -> DataFrame:
     gives the best occurrence.
     """
     k = star_profile(g)
-    x, y, z = (k.select("src", *(["ls"] if m == "x" else []), F.col("ld").alias(f"{m}_ld"), F.col("cnt").alias(f"{m}_cnt"), F.col("ws").alias(f"{m}_ws")) for m in "xyz")
+    x, y, z = (k.select("src", *(["ls"] if m == "x" else []), F.col("ld").alias(f"{m}_ld"), F.col("cnt").alias(f"{m}_cnt"), F.col("top.w").alias(f"{m}_ws")) for m in "xyz")
     rows = x.join(y, "src").where("x_ld <= y_ld").join(z, "src").where("y_ld <= z_ld")
     ry = F.when(F.col("y_ld") == F.col("x_ld"), 2).otherwise(1)
     rz = F.when(F.col("z_ld") == F.col("y_ld"), ry + 1).otherwise(1)
@@ -146,7 +222,7 @@ def first_domains(g: Graph, p) -> DataFrame:
     """(pos, v): vertices of the position's label with its degree and, for each neighbour label and edge label, at
     least as many neighbours as the position has."""
     profile = neighbour_profile(g)
-    parts = []
+    fits = []
     for u in range(p.n_vertices):
         need: dict[tuple[int, int], int] = {}
         for v, el in p.links[u].items():
@@ -155,31 +231,32 @@ def first_domains(g: Graph, p) -> DataFrame:
         for (lb, el), n in need.items():
             key = F.struct(F.lit(lb).cast("int").alias("ld"), F.lit(el).cast("int").alias("el"))
             ok.append(F.coalesce(F.try_element_at("nbrs", key), F.lit(0)) >= n)
-        parts.append(profile.where(reduce(lambda x, y: x & y, ok)).select(F.lit(u).alias("pos"), "v"))
-    return reduce(DataFrame.unionByName, parts)
+        fits.append(F.when(reduce(lambda x, y: x & y, ok), F.lit(u)))
+    return profile.select(F.explode(F.array_compact(F.array(*fits))).alias("pos"), "v")
 
 
 def arc_consistent(g: Graph, p, domains: DataFrame, rounds: int | None = None) -> DataFrame:
     """Domains where each vertex has, along every pattern edge, a neighbour in the other end's domain. Stops when no
-    domain shrinks or after so many rounds; any number of rounds is sound."""
-    links = g.adj.select("src", "dst", "el").cache()
+    domain shrinks or after so many rounds; any number of rounds is sound. A round is one join of all domains with the
+    edges: a vertex stays if it is reached along as many of the pattern's arcs as its position has."""
+    spark = g.adj.sparkSession
     arcs = [(u, v, el) for u, v, el in p.edges] + [(v, u, el) for u, v, el in p.edges]
-    links.count()  # else the arcs of one job would each build it
-    dom, done = domains.cache(), 0
+    # a row per arc of the pattern
+    wanted = F.broadcast(spark.createDataFrame([(k, *a, p.degree(a[0])) for k, a in enumerate(arcs)], "arc int, pos int, other int, el int, need long"))
+    links = g.adj.select("src", "dst", "el")
+    dom, done = domains.select(F.col("pos").cast("int").alias("pos"), "v").cache(), 0
     before = dom.count()
     while rounds is None or done < rounds:
-        at, done = {u: dom.where(F.col("pos") == u).select("v") for u in range(p.n_vertices)}, done + 1
-        for u, v, el in arcs:
-            near = links.where(F.col("el") == el).join(at[v].select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"))
-            at[u] = at[u].join(near, "v", "left_semi")
-        kept = reduce(DataFrame.unionByName, [d.select(F.lit(u).alias("pos"), "v") for u, d in at.items()]).cache()
+        done += 1
+        asked = dom.select(F.col("pos").alias("other"), F.col("v").alias("dst")).join(wanted, "other")
+        reached = asked.join(links, ["dst", "el"]).groupBy("pos", F.col("src").alias("v")).agg(F.count_distinct("arc").alias("arcs"), F.first("need").alias("need"))
+        kept = dom.join(reached.where("arcs = need").select("pos", "v"), ["pos", "v"], "left_semi").cache()
         now = kept.count()
         dom.unpersist()
         dom = kept
         if now == before:
             break
         before = now
-    links.unpersist()
     return dom
 
 

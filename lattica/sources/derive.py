@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import jaccard_percent, priority_label, quantile_label, shifted_trust
-from lattica.sources.graph import Graph, make_graph
+from lattica.sources.graph import Graph, make_graph, numbered
+
+#: Ids, and first characters of texts, that are numbered in one task.
+RUN, PREFIX = 1 << 20, 12
 
 
 def interaction_edges(rows: DataFrame, threshold: int, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -22,11 +25,12 @@ def rating_edges(rows: DataFrame, src: str = "src", dst: str = "dst", rating: st
 
 
 def degree_labels(edges: DataFrame, buckets: int = 5) -> DataFrame:
-    """(id, label): activity classes of equal size, by rank of (degree, id). The rank is over one row per vertex."""
+    """(id, label): activity classes of equal size, by rank of (degree, id)."""
     ends = edges.select(F.col("a").alias("id")).unionAll(edges.select("b"))
     degree = ends.groupBy("id").agg(F.count("*").alias("degree"))
-    order = Window.orderBy("degree", "id")
-    ranked = degree.withColumn("rank", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    # vertices of one degree are split by id into runs
+    part = F.struct("degree", F.floor(F.col("id") / RUN).alias("run"))
+    ranked = numbered(degree.withColumn("part", part), "part", ["degree", "id"], "rank").crossJoin(degree.agg(F.count("*").alias("n")))
     return ranked.select("id", quantile_label(F.col("rank"), F.col("n"), buckets).alias("label"))
 
 
@@ -43,8 +47,9 @@ def place_labels(terms: DataFrame, category: str) -> DataFrame:
 
 
 def dense(keys: DataFrame) -> DataFrame:
-    """(key, id): dense ids in order of key."""
-    return keys.select("key").distinct().withColumn("id", F.row_number().over(Window.orderBy("key")).cast("long") - 1)
+    """(key, id): dense ids in order of key, a text; texts with the same beginning are numbered together."""
+    own = keys.select("key").distinct().withColumn("part", F.substring("key", 1, PREFIX))
+    return numbered(own, "part", ["key"], "id").select("key", "id")
 
 
 def read_trust_csv(spark: SparkSession, path: str) -> Graph:
@@ -107,6 +112,7 @@ def event_graph(spark: SparkSession, sf_dir: str, least_shared: int = 4) -> Grap
     """Users that share an event type within an hour; weight: the number of shared (type, hour) slots."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", F.date_trunc("hour", "ts").alias("h")).distinct()
     x, y = e.alias("x"), e.alias("y")
+    # a slot's pairs are the graph's own edges, so their number is that of the result before its threshold
     pairs = x.join(y, (F.col("x.event_type") == F.col("y.event_type")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.user_id") < F.col("y.user_id")))
     edges = pairs.groupBy(F.col("x.user_id").alias("a"), F.col("y.user_id").alias("b")).agg(F.count("*").cast("double").alias("w")).where(F.col("w") >= least_shared).select("a", "b", F.lit(0).alias("el"), "w")
     return make_graph(e.select(F.col("user_id").alias("id"), (F.col("user_id") % 5).cast("int").alias("label")).distinct(), edges)

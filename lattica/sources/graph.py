@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,13 @@ def make_graph(vertices: DataFrame, edges: DataFrame, assign=mean_weight) -> Gra
     d = weighted.select(F.col("id").alias("dst"), F.col("label").alias("ld"), F.col("weight").alias("wd"))
     adj = both_directions(edges).join(s, "src").join(d, "dst").select("src", "dst", "el", "w", "ls", "ld", "ws", "wd")
     return Graph(weighted, edges, adj)
+
+
+def numbered(df: DataFrame, part: str, order: list[str], name: str) -> DataFrame:
+    """df with a column of numbers from 0 in order of part and, within it, of the given columns. Only a part is sorted in
+    one task; the parts, a row each, are numbered by their counts. part must not contradict the order."""
+    counts = df.groupBy(part).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = df.join(counts.select(part, before.alias("_before")), part)
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return placed.withColumn(name, (F.col("_before") + place).cast("long")).drop("_before")

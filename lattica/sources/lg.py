@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import constant_label, same_weight
-from lattica.sources.graph import Graph, make_graph, mean_weight
+from lattica.operators.pattern import Pattern
+from lattica.sources.graph import Graph, make_graph, mean_weight, numbered
 
 #: Weights that differ by more than this, on two directions of one edge, are in conflict.
 SAME = 1e-9
@@ -22,18 +23,42 @@ class Loaded:
     warnings: DataFrame
 
 
-def numbered_lines(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """(no, line) in file order. whole reads a file in one task and numbers its lines from 1; without it the file is
-    split, and numbers are only in order, as is needed for files of any size."""
-    if whole:
-        texts = spark.read.text(path, wholetext=True)
-        return texts.select(F.posexplode(F.split("value", "\n")).alias("no", "line")).select((F.col("no") + 1).cast("long").alias("no"), F.trim(F.regexp_replace("line", r"\s", " ")).alias("line"))
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("no"), F.trim(F.regexp_replace("value", r"\s", " ")).alias("line"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(no, line) with numbers from 1 in the order of files and of lines in them.
+
+    Files are read in splits; a line's number is its place in the split plus the lines of the splits before, of which
+    there is one small row each.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("k"), "value")
+    splits = raw.groupBy("f", "s").agg(F.count("*").alias("n"), F.min("k").alias("k0"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = raw.join(splits.select("f", "s", (before - F.col("k0") + 1).alias("shift")), ["f", "s"])
+    return placed.select((F.col("k") + F.col("shift")).cast("long").alias("no"), F.trim(F.regexp_replace("value", r"\s", " ")).alias("line"))
 
 
 def preview(spark: SparkSession, path: str, n: int = 30) -> DataFrame:
-    """The first lines as they are."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("no", "line")).orderBy("no").limit(n)
+    """The first lines as they are; only as much is read as they need."""
+    return spark.read.text(path).withColumnRenamed("value", "line").limit(n).select((F.monotonically_increasing_id()).alias("no"), "line")
+
+
+def read_patterns(spark: SparkSession, path: str, skip: int = 2) -> list[Pattern]:
+    """Patterns stored as text: after so many first lines, blocks of v and e lines under a line "number:". A result has
+    few patterns, so they come to the driver. An e line without a label has label 0."""
+    lines = [r["line"] for r in numbered_lines(spark, path).where(F.col("no") > skip).orderBy("no").collect()]
+    blocks: list[tuple[dict[int, int], list[tuple[int, int, int]]]] = []
+    for line in lines:
+        kind, *rest = line.split() or [""]
+        if kind.endswith(":") and kind[:-1].isdigit():
+            blocks.append(({}, []))
+        elif kind == "v" and blocks:
+            blocks[-1][0][int(rest[0])] = int(rest[1])
+        elif kind == "e" and blocks:
+            blocks[-1][1].append((int(rest[0]), int(rest[1]), int(float(rest[2])) if len(rest) > 2 else 0))
+    out = []
+    for labels, edges in blocks:
+        at = {v: k for k, v in enumerate(sorted(labels))}
+        out.append(Pattern.of([labels[v] for v in sorted(labels)], [(at[u], at[v], el) for u, v, el in edges]))
+    return out
 
 
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,11 +78,15 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vertices, edges
 
 
+#: Line numbers of one part of the numbering.
+LINES = 1 << 20
+
+
 def dense_ids(declared: DataFrame) -> DataFrame:
     """(key, id, label): ids in order of first declaration; a key declared again keeps its place and takes the last
-    label. The window is over declared vertices, in one task, as a dense numbering in file order asks for."""
+    label. Vertices are numbered within runs of lines, and runs by their counts, so no task sees all of them."""
     own = declared.groupBy("key").agg(F.min("no").alias("first"), F.max_by("label", "no").alias("label"))
-    return own.withColumn("id", F.row_number().over(Window.orderBy("first")).cast("long") - 1).select("key", "id", "label")
+    return numbered(own.withColumn("part", F.floor(F.col("first") / LINES)), "part", ["first"], "id").select("key", "id", "label")
 
 
 def merge_edges(edges: DataFrame, weight: Callable[[Column], Column] = same_weight, edge_label: Callable[[Column], Column] = constant_label) -> DataFrame:
@@ -101,9 +130,9 @@ def load_warnings(merged: DataFrame) -> DataFrame:
     return merged.select("no", text.alias("message")).where("message is not null")
 
 
-def read_lg(spark: SparkSession, path: str, weight=same_weight, edge_label=constant_label, assign=mean_weight, whole: bool = True) -> Loaded:
+def read_lg(spark: SparkSession, path: str, weight=same_weight, edge_label=constant_label, assign=mean_weight) -> Loaded:
     """A graph with its counters and warnings. An edge of an undeclared vertex raises ValueError."""
-    declared, lines = parse(numbered_lines(spark, path, whole))
+    declared, lines = parse(numbered_lines(spark, path))
     ids = dense_ids(declared).cache()
     merged = merge_edges(lines, weight, edge_label).cache()
     s, d = ids.select(F.col("key").alias("src"), F.col("id").alias("si")), ids.select(F.col("key").alias("dst"), F.col("id").alias("di"))

@@ -1,14 +1,20 @@
+import csv
+import os
 import random
+import time
 from itertools import permutations
 
 import pytest
 
 from lattica.operators import index, match, search, support
 from lattica.operators.pattern import Pattern, grow
+from lattica.operators.voting import BY_DOMAIN, BY_WEIGHT
+from lattica.__main__ import main
 from lattica.plans import compare
 from lattica.plans.mine import Options, mine
 from lattica.plans.strategies import EdgeBottleneck, Measured, Unweighted, VertexBottleneck
 from lattica.sources.graph import make_graph
+from lattica.sources.lg import read_lg
 
 
 def graph(spark, labels, edges):
@@ -80,7 +86,8 @@ def test_mining_equals_brute_force(spark, seed):
     labels, edges = made(seed)
     g = graph(spark, labels, edges)
     want = plain_mine(labels, edges, 2, 3)
-    for options in (Options(max_edges=3), Options(max_edges=3, rows=0), Options(max_edges=3, rows=30, apriori=False)):
+    plain_search = search.Reductions(profile=False, consistent=False, inherit=False, voter=None)
+    for options in (Options(max_edges=3), Options(max_edges=3, rows=0), Options(max_edges=3, rows=30, apriori=False), Options(max_edges=3, send=0), Options(max_edges=3, send=0, table_rows=30), Options(max_edges=3, rows=0, reductions=plain_search)):
         got = {p.code: (m.mni, m.bottleneck, m.vertex_bottleneck) for p, m in mine(g, 2, Unweighted(), options).patterns}
         assert got.keys() == want.keys()
         for c in want:
@@ -93,8 +100,10 @@ def test_weighted_strategies_filter_the_unweighted_result(spark):
     everything = mine(g, 2, options=Options(max_edges=3)).patterns
     for least in (5,):
         want = {p.code for p, m in everything if m.bottleneck >= least}
-        for s in (EdgeBottleneck(least), EdgeBottleneck(least, "edge"), EdgeBottleneck(least, "edge", cut=False)):
-            assert mine(g, 2, s, Options(max_edges=3)).codes == want
+        for s in (lambda: EdgeBottleneck(least), lambda: EdgeBottleneck(least, "edge"), lambda: EdgeBottleneck(least, "edge", cut=False)):
+            assert mine(g, 2, s(), Options(max_edges=3)).codes == want
+            assert mine(g, 2, s(), Options(max_edges=3, send=0)).codes == want
+        assert mine(g, 2, VertexBottleneck(least), Options(max_edges=3, send=0)).codes == {p.code for p, m in everything if m.vertex_bottleneck >= least}
         assert mine(g, 2, VertexBottleneck(least), Options(max_edges=3)).codes == {p.code for p, m in everything if m.vertex_bottleneck >= least}
 
 
@@ -137,16 +146,87 @@ def test_domains(example):
     assert support.inherited_domains(reduced, support.first_domains(example, child)).count() == 6
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_every_toggle_leaves_supports_and_weights_as_they_are(spark, seed):
+    """On arrays, without Spark jobs: reductions, orders, enumeration, search and slices against trying all maps."""
+    labels, edges = made(seed + 10)
+    g = search.arrays(graph(spark, labels, edges))
+    R = search.Reductions
+    rng = random.Random(seed)
+    patterns, level = {}, [Pattern.single_edge(*t) for t in g.triples()]
+    for _ in range(3):
+        level = [x.child for p in rng.sample(level, min(4, len(level))) for x in grow(p, set(labels.values()), {0, 1}, set(g.triples()))]
+        patterns |= {p.code: p for p in rng.sample(level, min(6, len(level)))}
+    for p in patterns.values():
+        want = plain(labels, edges, p)
+        for r in (R(), R(voter=None), R(profile=False, consistent=False), R(weight_first=True), R(voter=BY_DOMAIN), R(voter=BY_WEIGHT, consistent=False)):
+            for rows in (0, 10**9):
+                parts = [search.solve(g, p, 1, rows, 0, r, None, j, 2) for j in range(2)]
+                images = [a | b for a, b in zip(parts[0][0], parts[1][0])]
+                if want[0] == 0:
+                    assert min(int(x.sum()) for x in images) == 0
+                    continue
+                assert min(int(x.sum()) for x in images) == want[0]
+                assert max(x[1] for x in parts) == want[1] and abs(max(x[2] for x in parts) - want[2]) < 1e-9
+
+
+def test_large_steps_are_split(spark, monkeypatch):
+    labels, edges = made(21)
+    g, p = search.arrays(graph(spark, labels, edges)), Pattern.of([0, 1, 0], [(0, 1, 0), (1, 2, 0)])
+    whole = search.solve(g, p, 1, 10**9, 0, search.Reductions())
+    monkeypatch.setattr(search, "AT_ONCE", 2)
+    again = search.solve(g, p, 1, 10**9, 0, search.Reductions())
+    assert [x.tolist() for x in whole[0]] == [x.tolist() for x in again[0]] and whole[1:] == again[1:]
+
+
+def test_a_graph_too_large_to_send_is_mined_by_tables(spark, example, monkeypatch):
+    want = mine(example, 2)
+    monkeypatch.setattr(search, "LARGEST", 3)
+    got = mine(example, 2, options=Options(rows=0, table_rows=0))
+    assert got.codes == want.codes and got.counters.candidates == want.counters.candidates
+
+
+def test_the_callers_cache_stays(spark):
+    g = graph(spark, *EXAMPLE)
+    for send in (0, 1 << 20):
+        mine(g, 2, options=Options(max_edges=2, send=send))
+        assert g.adj.storageLevel.useMemory
+    g.released()
+    mine(g, 2, options=Options(max_edges=1))
+    assert not g.adj.storageLevel.useMemory
+
+
 def test_budget_deadline_and_limits(spark, example):
-    adj = search.adjacency(example)
-    weights = {r.id: r.weight for r in example.vertices.collect()}
+    g = search.arrays(example)
     p = Pattern.of([0, 1, 2], [(0, 1, 0), (1, 2, 0)])
-    assert search.best_occurrence(adj, p, 0, 0, weights) is not None
+    domains = search.start_domains(g, p, search.Reductions())
+    assert search.occurrence(g, p, [0, 1, 2], 0, domains) is not None
     with pytest.raises(search.Spent):
-        search.best_occurrence(adj, p, 0, 0, weights, budget=1)
-    assert search.measure(example, {0: p}, budget=1)[1] > 0
+        search.occurrence(g, p, [0, 1, 2], 0, domains, budget=1)
+    sent = search.Sent(spark, g)
+    assert sent.measure({0: p}, rows=0, budget=1)[1] > 0
+    sent.close()
     cut = mine(example, 2, options=Options(limit_s=0))
-    assert cut.timed_out and {p.n_edges for p, _ in cut.patterns} == {1}
+    assert cut.timed_out and {p.n_edges for p, _ in cut.patterns} <= {1}
+    assert not mine(example, 2, options=Options(limit_s=600)).timed_out
+
+
+def test_a_running_job_is_cancelled(spark, example, monkeypatch):
+    class Slow(Unweighted):
+        def prepare(self, g, min_sup, sent=None):
+            def wait(batches):
+                import time
+
+                for b in batches:
+                    time.sleep(60)
+                    yield b
+
+            g.vertices.mapInPandas(wait, g.vertices.schema).count()
+
+    began = time.monotonic()
+    cut = mine(example, 2, Slow(), Options(limit_s=2, send=0))
+    assert cut.timed_out and cut.patterns == [] and time.monotonic() - began < 30
+    assert len(mine(example, 2).patterns) > 0
 
 
 def test_commands(spark, example):
@@ -154,12 +234,70 @@ def test_commands(spark, example):
     assert rows["edge"].freq == rows["lookup"].freq <= rows["none"].freq and rows["vertex"].weight_model == "vertex"
     freq = [r.freq for r in compare.sweep(example, 2, (0.0, 1.0)).collect()]
     assert freq == sorted(freq, reverse=True)
-    assert compare.ablation(example, 2, 4).count() == 4
-    b = compare.bench(example, "example", 2, 4, ["lookup"], warmup=0, measured=1).first()
-    assert b.timed_out == "-" and b.median_ms > 0
+    assert compare.ablation(example, 2, 4).count() == 7
+    assert compare.consistency_compare(example, 2, 4).count() == compare.inheritance_compare(example, 2).count() == 2
+    pruned = {r.variant: r for r in compare.pruning_compare(example, 2, 4).collect()}
+    assert pruned["nothing"].cand >= pruned["lookup"].cand and len({r.freq for r in pruned.values()}) == 1
+    b = compare.bench(example, "example", 2, 4, ["lookup"], warmup=0, measured=1)
+    assert b.first().timed_out == "-" and b.first().median_ms > 0 and b.first().peak_mem_mb > 0
+    assert compare.csv_lines(b)[0].startswith("CSV,example,lookup,edge,2,4.0,0,0,")
+    assert compare.largest_edges(mine(example, 2).to_df(spark)).first()[0] == 3
+    with pytest.raises(AssertionError):
+        compare.same_result({"a": mine(example, 2), "b": mine(example, 1)})
     df = spark.createDataFrame([(3.0,), (1.0,), (2.0,), (9.0,)], "x double")
     assert df.agg(index.upper_median(df.x)).first()[0] == 3.0
     cols = "dataset string, algorithm string, min_sup int, min_weight double, budget long, limit_ms long, timed_out string"
     res = spark.createDataFrame([("a", "x", 1, 2.0, 0, 10, "1/1"), ("a", "x", 1, 2.0, 0, 20, "-"), ("b", "x", 1, 2.0, 0, 10, "1/1"), ("b", "x", 1, 2.0, 0, 30, "1/1")], cols)
     assert {(r.dataset, r.limit_ms) for r in compare.merged_results(res).collect()} == {("a", 20), ("b", 30)}
     assert [r.dataset for r in compare.late_cells(res, spark.createDataFrame([("b", 1)], "dataset string, min_sup int")).collect()] == ["a"]
+
+
+TEXT = "t 1\n" + "".join(f"v {v} {x}\n" for v, x in EXAMPLE[0].items()) + "".join(f"e {a} {b} {w}\n" for a, b, _, w in EXAMPLE[1])
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "example.lg").write_text(TEXT)
+    path = str(tmp_path / "example.lg")
+    main(["mine", path, "2", "lookup", "4"], spark)
+    assert "v 0 " in capsys.readouterr().out
+    monkeypatch.setenv("LATTICA_CSV", "1")
+    monkeypatch.setenv("LATTICA_ALGOS", "none,lookup")
+    (tmp_path / "cells.csv").write_text("dataset,min_sup,least,budget\nexample,2,4,0\nexample,2,7,\n")
+    main(["scenarios", str(tmp_path), str(tmp_path / "cells.csv"), "--warmup", "0", "--measured", "1"], spark)
+    assert capsys.readouterr().out.count("CSV,example,") == 4
+    for command in (["sweep", path, "2"], ["consistency", path, "2", "4"], ["describe", path], ["bench", path, "2", "4", "--measured", "1", "--warmup", "0"]):
+        main(command, spark)
+        assert capsys.readouterr().out
+
+
+def test_metrics_as_csv(spark, example, tmp_path):
+    from lattica.plans.mine import metrics_row
+
+    compare.write_csv(metrics_row(spark, "none", "example", 2, None, mine(example, 2)), str(tmp_path / "m"))
+    rows = [r for f in sorted(os.listdir(tmp_path / "m")) if f.endswith(".csv") for r in csv.DictReader((tmp_path / "m" / f).open())]
+    (row,) = rows
+    assert row["algorithm"] == "none" and row["min_weight"] == "NA" and int(row["candidates"]) > 0
+
+
+#: Published counts on public graphs, (graph, support, strategy, weight): (patterns, candidates or None).
+PUBLISHED = {
+    ("citeseer", 400, "none", 0.0): (5, 20),
+    ("citeseer", 400, "lookup", 96.0): (4, 15),
+    ("citeseer", 300, "lookup", 96.0): (5, 19),
+    ("citeseer", 300, "none", 0.0): (9, None),
+    ("citeseer", 250, "lookup", 96.0): (5, 19),
+    ("email_eu", 20, "none", 0.0): (7, 90),
+    ("email_eu", 20, "lookup", 336.0): (4, 78),
+    ("email_eu", 15, "none", 0.0): (29, 240),
+    ("email_eu", 15, "lookup", 336.0): (14, 171),
+}
+GRAPHS = os.environ.get("LATTICA_GRAPHS", "")
+
+
+@pytest.mark.skipif(not os.path.isdir(GRAPHS), reason="LATTICA_GRAPHS names no folder of public graphs")
+@pytest.mark.parametrize("cell", PUBLISHED)
+def test_published_counts(spark, cell):
+    name, min_sup, algorithm, least = cell
+    m = mine(read_lg(spark, f"{GRAPHS}/{name}.lg").graph, min_sup, compare.strategy(algorithm, least, cut=algorithm == "lookup"))
+    freq, cand = PUBLISHED[cell]
+    assert m.counters.frequent == freq and cand in (None, m.counters.candidates)

@@ -47,7 +47,7 @@ def test_labelled_edges_round_trip_and_description(spark, tmp_path):
     got = load(spark, tmp_path, HEAD + "v 7 1\ne 5 9 2.5\ne 9 7 -2.5\n", edge_label=scalars.nearest_label)
     assert sorted((r.a, r.b, r.el) for r in got.graph.edges.collect()) == [(0, 1, 3), (1, 2, -2)]
     lg.write_lg(got.graph, str(tmp_path / "out"))
-    again = lg.read_lg(spark, str(tmp_path / "out/*"), whole=False)
+    again = lg.read_lg(spark, str(tmp_path / "out/*"))
     assert again.graph.edges.count() == 2 and again.graph.vertices.count() == 3
     assert compare.describe(spark, str(tmp_path / "g.lg"))["preview"].first()["line"] == "t 1"
     m = mine(got.graph, 1)
@@ -56,6 +56,29 @@ def test_labelled_edges_round_trip_and_description(spark, tmp_path):
     assert row.frequent == len(m.patterns) == m.to_df(spark).count() and row.min_weight == "NA"
 
 
+def test_numbers_over_splits_and_stored_patterns(spark, tmp_path):
+    lines = [f"v {k} {k % 3}" for k in range(5000)]
+    (tmp_path / "g.lg").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = sorted(map(tuple, lg.numbered_lines(spark, str(tmp_path / "g.lg")).collect()))
+        assert spark.read.text(str(tmp_path / "g.lg")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(lines, 1))
+    (tmp_path / "p.txt").write_text("0.5\n2\n0:\nv 0 2\nv 1 2\ne 0 1 0\n1:\nv 3 1\nv 4 2\nv 7 1\ne 3 4 0\ne 4 7 5\n")
+    assert [(p.labels, p.edges) for p in lg.read_patterns(spark, str(tmp_path / "p.txt"))] == [((2, 2), ((0, 1, 0),)), ((1, 2, 1), ((0, 1, 0), (1, 2, 5)))]
+
+
+def test_dense_numbers_keep_the_order(spark):
+    from lattica.sources.graph import numbered
+
+    df = spark.createDataFrame([(k * 37 % 100,) for k in range(100)], "k long").repartition(7).selectExpr("k", "floor(k / 9) as part")
+    assert {r.k: r.no for r in numbered(df, "part", ["k"], "no").collect()} == {k: k for k in range(100)}
+    assert {r.key: r.id for r in derive.dense(spark.createDataFrame([("b",), ("a",), ("b",)], "key string")).collect()} == {"a": 0, "b": 1}
+
+
 def test_trust_and_mail(spark, tmp_path):
     (tmp_path / "t.csv").write_text("1,2,10,0.5\n2,1,-4,0.6\n3,3,1,1\n2,3,-10,2\n")
     g = derive.read_trust_csv(spark, str(tmp_path / "t.csv"))
