@@ -10,6 +10,7 @@ that support is then a lower bound, and says so.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -308,6 +309,8 @@ class Solved:
     vertex_bottleneck: float | None
     #: Packed images by position, the next level's domains.
     images: list[np.ndarray]
+    #: Of the longest slice.
+    seconds: float = 0.0
 
 
 class Sent:
@@ -333,25 +336,26 @@ class Sent:
         def run(batches):
             import pyarrow as pa
 
-            schema = pa.schema([("pid", pa.int32()), ("images", pa.list_(pa.binary())), ("bw", pa.float64()), ("vbw", pa.float64()), ("ended", pa.int64())])
+            schema = pa.schema([("pid", pa.int32()), ("images", pa.list_(pa.binary())), ("bw", pa.float64()), ("vbw", pa.float64()), ("ended", pa.int64()), ("seconds", pa.float64())])
             g, (wanted, before) = shared.value, own.value
             for batch in batches:
                 for k, j in zip(batch.column("pid").to_pylist(), batch.column("part").to_pylist()):
                     parent = [np.unpackbits(x, count=n).astype(bool) for x in before[k]] if k in before else None
+                    began = time.monotonic()
                     images, bw, vbw, ended = solve(g, wanted[k], min_sup, rows, budget, reductions, parent, j, parts)
-                    row = [[k], [[np.packbits(x).tobytes() for x in images]], [bw], [vbw], [ended]]
+                    row = [[k], [[np.packbits(x).tobytes() for x in images]], [bw], [vbw], [ended], [time.monotonic() - began]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema)
 
         table = self.spark.createDataFrame(tasks, "pid int, part int").repartition(min(slots, len(tasks)), "pid", "part")
-        got = table.mapInArrow(run, "pid int, images array<binary>, bw double, vbw double, ended long").collect()
+        got = table.mapInArrow(run, "pid int, images array<binary>, bw double, vbw double, ended long, seconds double").collect()
         own.unpersist()
         out: dict[int, Solved] = {}
         for r in got:
             images = [np.frombuffer(x, np.uint8) for x in r.images]
             if (s := out.get(r.pid)) is None:
-                out[r.pid] = Solved(0, r.bw, r.vbw, images)
+                out[r.pid] = Solved(0, r.bw, r.vbw, images, r.seconds)
             else:
-                s.images = [a | b for a, b in zip(s.images, images)]
+                s.images, s.seconds = [a | b for a, b in zip(s.images, images)], max(s.seconds, r.seconds)
                 s.bottleneck, s.vertex_bottleneck = max(s.bottleneck, r.bw), max(s.vertex_bottleneck, r.vbw)
         for s in out.values():
             s.mni = min(int(np.bitwise_count(x).sum()) for x in s.images)

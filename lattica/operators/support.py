@@ -92,54 +92,24 @@ def two_paths(g: Graph, min_sup: int = 1, profile: DataFrame | None = None) -> D
     return centres.join(low, PATH).select(*PATH, F.least("n", "leaf").alias("mni"), "max_w").where(F.col("mni") >= min_sup)
 
 
-RING = ["l0", "l1", "l2", "l3"]
-
-
 def three_paths(g: Graph, min_sup: int = 1) -> DataFrame:
     """Paths of four vertices: (l0, l1, l2, l3, mni, max_w), for graphs of one edge label. Both end pairs must be
-    frequent two-paths; the label table of those is an aggregate of the label set and joins by size.
+    frequent two-paths; the label table of those is an aggregate of the label set and is read twice, so it is cached.
 
-    Occurrences are never listed. An edge v1 - v2 is the middle of one if v1 has a neighbour of the first label other
-    than v2, and v2 one of the last label other than v1, that aren't one and the same vertex only. The three heaviest
-    edges of each profile are enough to find the best pair of different ends. Profiles, known pairs and middles are read
-    several times and cached, on disk where memory is short; as with a cached graph, that is the caller's to clear.
+    Occurrences are listed here, one row each after both pairs are known to be frequent. Reading them off profiles, as
+    for two-paths, has a row per edge and pair of end labels, which was slower on graphs of about as many labels as
+    neighbours.
     """
-    k = star_profile(g, 3).cache()
-    known = two_paths(g, min_sup, k).select("a", "b", "c")
+    p, q, r = _adj(g, "p", "src", "dst", "ls", "ld", "w"), _adj(g, "q", "src", "dst", "ld", "w"), _adj(g, "r", "src", "dst", "ld", "w")
+    known = two_paths(g, min_sup).select("a", "b", "c")
     known = known.union(known.select("c", "b", "a")).distinct().cache()
-    side = lambda v, other, n: k.select(F.col("src").alias(v), F.col("ld").alias(f"l{n}"), F.col("cnt").alias(f"n{n}"), F.col("top").alias(f"t{n}"))
-    mid = g.adj.select(F.col("src").alias("v1"), F.col("dst").alias("v2"), F.col("ls").alias("l1"), F.col("ld").alias("l2"), "w")
-    rows = mid.join(side("v1", "v2", 0), "v1").join(known.toDF("l0", "l1", "l2"), ["l0", "l1", "l2"], "left_semi")
-    rows = rows.join(side("v2", "v1", 3), "v2").join(known.toDF("l1", "l2", "l3"), ["l1", "l2", "l3"], "left_semi")
-    rows = rows.where(F.struct("l0", "l1") <= F.struct(F.col("l3").alias("l0"), F.col("l2").alias("l1")))
-    rest = lambda n, other: (F.col(f"n{n}") - (F.col(f"l{n}") == F.col("l2" if n == 0 else "l1")).cast("int")).alias(f"n{n}")
-    free = lambda n, other: F.filter(f"t{n}", lambda x: x["dst"] != F.col(other)).alias(f"t{n}")
-    rows = rows.select("v1", "v2", *RING, "w", rest(0, "v2"), rest(3, "v1"), free(0, "v2"), free(3, "v1")).where("n0 >= 1 and n3 >= 1")
-    end = lambda n, i, f: F.get(f"t{n}", F.lit(i))[f]
-    met = end(0, 0, "dst") == end(3, 0, "dst")
-    rows = rows.where(~met | (F.col("n0") > 1) | (F.col("n3") > 1))
-    # where both best ends are one vertex, one of the two takes its second best
-    second = F.greatest(F.least(end(0, 0, "w"), end(3, 1, "w")), F.least(end(0, 1, "w"), end(3, 0, "w")))
-    second = F.when(F.col("n3") < 2, F.least(end(0, 1, "w"), end(3, 0, "w"))).when(F.col("n0") < 2, F.least(end(0, 0, "w"), end(3, 1, "w"))).otherwise(second)
-    best = F.least("w", F.when(met, second).otherwise(F.least(end(0, 0, "w"), end(3, 0, "w"))))
-    rows = rows.select("v1", "v2", *RING, best.alias("w"), F.when(F.col("n3") == 1, end(3, 0, "dst")).alias("only3"), F.when(F.col("n0") == 1, end(0, 0, "dst")).alias("only0")).cache()
-    weight = rows.groupBy(*RING).agg(F.max("w").alias("max_w"))
-    # images: the middle vertices themselves; of the ends, all neighbours of the label but the other middle vertex and,
-    # if the other end has one choice alone, that choice
-    middle = rows.select(*RING, F.explode(F.array(F.struct(F.lit(1).alias("pos"), F.col("v1").alias("v")), F.struct(F.lit(2).alias("pos"), F.col("v2").alias("v")))).alias("i")).select(*RING, "i.pos", "i.v").distinct()
-    near = g.adj.select(F.col("src").alias("at"), F.col("ld").alias("l"), F.col("dst").alias("v"))
-    ends = []
-    for pos, at, other, only in ((0, "v1", "v2", "only3"), (3, "v2", "v1", "only0")):
-        ask = rows.select(*RING, F.col(at).alias("at"), F.col(f"l{pos}").alias("l"), F.col(other).alias("other"), F.col(only).alias("only"))
-        # a neighbour is missed by one asking edge only if it is that edge's other vertex or its only other end, so of
-        # the edges at one vertex that ask alike, their number and what each rules out decide
-        asked = ask.groupBy(*RING, "at", "l").agg(F.count("*").alias("asks"))
-        out = ask.select(*RING, "at", F.explode(F.array_distinct(F.array_compact(F.array("other", "only")))).alias("v")).groupBy(*RING, "at", "v").agg(F.count("*").alias("ruled"))
-        images = asked.join(near, ["at", "l"]).join(out, [*RING, "at", "v"], "left").where(F.coalesce("ruled", F.lit(0)) < F.col("asks"))
-        ends.append(images.select(*RING, F.lit(pos).alias("pos"), "v").distinct())
-    images = middle.unionByName(ends[0]).unionByName(ends[1])
-    low = images.groupBy(*RING, "pos").agg(F.count("*").alias("n")).groupBy(*RING).agg(F.min("n").alias("mni"))
-    return low.where(F.col("mni") >= min_sup).join(weight, RING).select(*RING, "mni", "max_w")
+    rows = p.join(q, (F.col("p_src") == F.col("q_src")) & (F.col("p_dst") != F.col("q_dst")))
+    rows = rows.join(known.toDF("p_ld", "p_ls", "q_ld"), ["p_ld", "p_ls", "q_ld"], "left_semi")
+    rows = rows.join(r, (F.col("q_dst") == F.col("r_src")) & (F.col("r_dst") != F.col("p_src")) & (F.col("r_dst") != F.col("p_dst")))
+    rows = rows.where((F.col("p_ld") < F.col("r_ld")) | (F.col("p_ld") == F.col("r_ld")) & (F.col("p_ls") <= F.col("q_ld")))
+    rows = rows.join(known.toDF("p_ls", "q_ld", "r_ld"), ["p_ls", "q_ld", "r_ld"], "left_semi")
+    rows = rows.select(F.col("p_ld").alias("l0"), F.col("p_ls").alias("l1"), F.col("q_ld").alias("l2"), F.col("r_ld").alias("l3"), F.col("p_dst").alias("v0"), F.col("p_src").alias("v1"), F.col("q_dst").alias("v2"), F.col("r_dst").alias("v3"), F.least("p_w", "q_w", "r_w").alias("w"))
+    return measured(rows, ["l0", "l1", "l2", "l3"], ["v0", "v1", "v2", "v3"], ["w"], min_sup)
 
 
 def triangle_rows(g: Graph) -> DataFrame:

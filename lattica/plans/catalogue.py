@@ -371,6 +371,28 @@ def tau_sweep(spark, sf_dir):
     return out.select("q", "min_weight", F.col("freq").cast("long").alias("freq"))
 
 
+def labelled_event_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The event graph with edges labelled by whether their weight is odd."""
+    g = derive.event_graph(spark, sf_dir)
+    return make_graph(g.vertices.select("id", "label"), g.edges.withColumn("el", (F.col("w") % 2).cast("int")))
+
+
+def labelled_text(p: Pattern) -> str:
+    """A single edge as la/el/lb, a two-path as centre(a/e1,c/e2)."""
+    if p.n_edges == 1:
+        return "{}/{}/{}".format(min(p.labels), p.edges[0][2], max(p.labels))
+    u = next(u for u in range(3) if p.degree(u) == 2)
+    return f"{p.labels[u]}({','.join(f'{a}/{e}' for a, e in sorted((p.labels[v], el) for v, el in p.links[u].items()))})"
+
+
+@query("mine_edge_labels", event_sql(f"""
+  SELECT la || '/' || el || '/' || lb AS labels, 1 AS n_edges, mni AS support, max_w AS bottleneck FROM e1 WHERE mni >= 6
+  UNION ALL SELECT b || '(' || a || '/' || e1 || ',' || c || '/' || e2 || ')', 2, mni, max_w FROM f2 WHERE mni >= 6""", f"{_EDGE}, {_PATH2}").replace("0 AS el, count(*)::DOUBLE AS w", "(count(*) % 2)::INTEGER AS el, count(*)::DOUBLE AS w"))
+def mine_edge_labels(spark, sf_dir):
+    m = mine(labelled_event_graph(spark, sf_dir), 6, options=Options(max_edges=2))
+    return spark.createDataFrame([(labelled_text(p), p.n_edges, x.mni, x.bottleneck) for p, x in m.patterns], _TEXT)
+
+
 # --- results
 
 @query("upper_median", "SELECT o_orderpriority, list_sort(list(o_totalprice))[floor(count(*) / 2)::BIGINT + 1] AS median FROM orders GROUP BY 1")

@@ -35,7 +35,7 @@ class Options:
     table_rows: of a graph that isn't sent, occurrence rows that a level may build before its largest candidates are
     searched on the arrays, if the graph is under search.LARGEST, else they are built all the same and spill. budget: steps of a
     search, 0 for no bound. reductions: of a sent graph's domains. limit_s: after so many seconds the running job is
-    cancelled, and the result says that it timed out. slow_s: a level, or its slowest candidate, that takes longer is
+    cancelled, and the result says that it timed out. slow_s: levels, and candidates of a sent graph, that take longer are
     logged.
     """
 
@@ -164,6 +164,9 @@ class _Arrays:
         o = self.options
         parents = {k: self.images[growths[k][0]] for k in level if k in growths and growths[k][0] in self.images}
         found, ended = self.sent.measure(level, min_sup, o.rows, o.budget, o.reductions, parents)
+        for k, s in found.items():
+            if o.slow_s is not None and s.seconds > o.slow_s:
+                log.warning("candidate %s took %.1f s", level[k].code, s.seconds)
         # images that a budget cut short are no bound of the child's
         keep = o.reductions.inherit and not ended and sum(x.nbytes for s in found.values() for x in s.images) <= self.KEPT
         self.images = {k: s.images for k, s in found.items() if s.mni >= min_sup} if keep else {}
