@@ -71,14 +71,20 @@ def release(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
+#: Keys that are sent to every task, at most; of some 40 characters each, so under 10 MB.
+SENT_KEYS = 100_000
+
+
 def rows_that_stay(docs: DataFrame, key: Column, decisions: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs whose key the decisions (key, kept), a row for each of docs, keep; of rows of one key one.
 
-    The verdict is reached in narrow tables, and the keys that go are written as one of their own, so that Catalyst
-    knows its size: texts are shuffled only where that table is too large to be sent.
+    The verdict is reached in narrow tables, and the keys that go are written as one of their own and counted: they are
+    sent to the tasks if there are few of them, and only else are texts shuffled.
     """
     keys = decisions.groupBy("key").agg(F.count("*").alias("n"), F.max("kept").alias("again"))
     gone = scratch.put(keys.where("not again or n > 1").select("key", "again"))
+    if gone.count() <= SENT_KEYS:
+        gone = F.broadcast(gone)
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), key.alias("key"))
     out = packed.join(gone.select("key"), "key", "left_anti").select("doc")
     again = scratch.put(gone.where("again").select("key"))
