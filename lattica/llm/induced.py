@@ -152,9 +152,10 @@ class Queue:
     """
 
     def __init__(self, disk: Disk, bits: int, dtypes):
-        self.disk, self.shift, self.dtypes = disk, max(0, bits - 10), list(map(np.dtype, dtypes))
-        self.held: list[list] = [[] for _ in range(WAYS)]
-        self.spilt: list[list] = [[] for _ in range(WAYS)]
+        # shifts are multiples of ten, so that the finest queues have as many symbols as slots
+        self.disk, self.shift, self.dtypes = disk, max(0, -(-(bits - 10) // 10) * 10), list(map(np.dtype, dtypes))
+        self.held: dict[int, list] = {}
+        self.spilt: dict[int, list] = {}
         self.n, self.f, self.open, self.child = 0, None, None, None
 
     def push(self, symbols: np.ndarray, columns: list[np.ndarray]) -> None:
@@ -168,7 +169,7 @@ class Queue:
             if self.shift and k == self.open:
                 self.child.push(symbols[a:b], [c[a:b] for c in columns])
             else:
-                self.held[k].append([symbols[a:b], *[c[a:b] for c in columns]])
+                self.held.setdefault(k, []).append([symbols[a:b], *[c[a:b] for c in columns]])
                 self.n += b - a
         if self.n > self.disk.limit:
             self.spill()
@@ -176,28 +177,28 @@ class Queue:
     def spill(self) -> None:
         self.f = self.f or self.disk.file()
         self.f.seek(0, 2)
-        for k, blocks in enumerate(self.held):
+        for k, blocks in self.held.items():
             if blocks:
                 columns = [np.concatenate(c) for c in zip(*blocks)]
                 for a in range(0, len(columns[0]), self.disk.block):
                     part = [np.ascontiguousarray(c[a : a + self.disk.block], d) for c, d in zip(columns, self.dtypes)]
-                    self.spilt[k].append((self.f.tell(), len(part[0])))
+                    self.spilt.setdefault(k, []).append((self.f.tell(), len(part[0])))
                     for c in part:
                         self.f.write(c.tobytes())
-                self.held[k] = []
+        self.held = {}
         self.disk.written += self.n
         self.n = 0
 
     def take(self, k: int) -> Iterator[list[np.ndarray]]:
         """Blocks of a slot; what is pushed to it meanwhile follows."""
-        while self.spilt[k] or self.held[k]:
-            if self.spilt[k]:
+        while self.spilt.get(k) or self.held.get(k):
+            if self.spilt.get(k):
                 at, n = self.spilt[k].pop(0)
                 self.f.seek(at)
                 symbols, p, *rest = (np.frombuffer(self.f.read(n * d.itemsize), d) for d in self.dtypes)
                 yield [symbols.astype(np.int64), p.astype(np.int64), *rest]
             else:
-                blocks, self.held[k] = self.held[k], []
+                blocks = self.held.pop(k)
                 columns = [np.concatenate(c) for c in zip(*blocks)] if len(blocks) > 1 else blocks[0]
                 self.n -= len(columns[0])
                 for a in range(0, len(columns[0]), self.disk.block):
@@ -320,7 +321,7 @@ class _Sort:
 
     def named(self, k: np.ndarray, word: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Seed numbers in order of their substrings, and where a substring differs from the one before; in memory."""
-        order = np.argsort(word, kind="stable")
+        order = np.argsort(word)
         k, word = k[order], word[order]
         new = np.append(True, word[1:] != word[:-1])
         while True:
@@ -403,7 +404,7 @@ class _Sort:
     def doubled(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of the suffixes of a string of names that fits memory: names of 1, 2, 4, ... names in a row."""
         m, starts = len(name), self.seeds
-        order = np.argsort(name, kind="stable")
+        order = np.argsort(name)
         new = np.append(True, np.diff(name[order]) > 0)
         agreed, h = np.zeros(m, np.int64), 1
         head = np.maximum.accumulate(np.where(new, np.arange(m), 0))
@@ -419,7 +420,7 @@ class _Sort:
                     break
             g = rank[k]
             key = rank[k + h]
-            by = np.argsort(g * m + key, kind="stable")
+            by = np.argsort(g * m + key)
             k, key, g2 = k[by], key[by], g[by]
             order[open_] = k
             split = np.append(False, (key[1:] != key[:-1]) & (g2[1:] == g2[:-1]))
