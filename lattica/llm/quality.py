@@ -51,10 +51,16 @@ def repeated(words: list[bytes], window: int = 3) -> int:
         return 0
     number: dict[bytes, int] = {}
     codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-    # Number the windows by pairs: (first, second), then (that pair, third), so no product can overflow.
     code = codes[: n - window + 1]
     for k in range(1, window):
-        _, code = np.unique(code * len(number) + codes[k : n - window + 1 + k], return_inverse=True)
+        if k > 1 and len(number) ** window >= 1 << 62:
+            # pairs are numbered anew, so that no product overflows
+            _, code = np.unique(code, return_inverse=True)
+        code = code * len(number) + codes[k : n - window + 1 + k]
+    v = np.sort(code)
+    if not (v[1:] == v[:-1]).any():
+        return 0
+    _, code = np.unique(code, return_inverse=True)
     twice = np.bincount(code)[code] > 1
     covered = np.zeros(n + 1, np.int64)
     np.add.at(covered, np.flatnonzero(twice), 1)

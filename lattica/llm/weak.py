@@ -8,9 +8,9 @@ on the posteriors of a bounded sample. The scorers alone give the verdict.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import table
-from lattica.llm.quality import statistics
+from lattica.llm.quality import gone, statistics
 
 #: Votes, and the first two also classes. Of the toxicity labellers BAD means toxic and GOOD clean.
 BAD, GOOD, SILENT = 0, 1, 2
@@ -40,64 +40,89 @@ TOXIC_ROWS = (3000, 1500)
 STEMS = (4, 5, 7)
 TIMES = (1, 2, 4)
 TOXIC_BUCKETS = 1 << 20
-#: A lexicon votes clean if its log odds of a toxic text are under this, toxic if over 0.
-CLEAN_UNDER = -1.0
-#: Different words whose features a task remembers.
-REMEMBERED = 200_000
-_WORDS = re.compile(r"[^\W\d_]+")
+#: A lexicon votes clean if its log odds of a toxic text are under the first, toxic if they are over the second.
+CLEAN_UNDER, TOXIC_OVER = -1.0, 0.0
+_LETTERS = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Lower-cased runs of ASCII letters and of all characters beyond ASCII."""
+    return text.lower().encode("utf-8", "replace").translate(_LETTERS).decode().split()
 
 
 def beginnings(word: str, lengths: tuple[int, ...]) -> frozenset[int]:
-    """Buckets of a word's beginnings of these lengths; a shorter word is one of its own."""
-    return frozenset(zlib.crc32(f"{k}{word[:k]}".encode("utf-8", "replace")) % TOXIC_BUCKETS for k in lengths)
+    """Buckets of a word's beginnings of these lengths; a shorter word is one of its own. Where several lengths are
+    asked for, as the scorer does, words of abuse share one more bucket."""
+    found = {f"{k}{word[:k]}" for k in lengths} | ({"abuse"} if len(lengths) > 1 and word in ABUSE else set())
+    return frozenset(zlib.crc32(f.encode("utf-8", "replace")) % TOXIC_BUCKETS for f in found)
 
 
 @dataclass
 class Beginnings:
-    """Log odds of a toxic text from the word beginnings of some lengths that it holds."""
+    """Log odds of a toxic text from the word beginnings of some lengths that it holds.
+
+    Only words count whose first letters, as many as the shortest length, begin a word of the sample that has a weight;
+    so most words are passed over without hashing, and few by chance share a bucket with a weight.
+    """
 
     lengths: tuple[int, ...]
     #: For each bucket its weight if it occurs TIMES[0] times or more, TIMES[1] times or more, and so on.
     weights: dict[int, tuple[float, ...]] = field(default_factory=dict)
     bias: float = -5.0
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
-
-    def score(self, words: Counter) -> float:
-        known, weights, found = self.known, self.weights, Counter()
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w, n in words.items():
-            at = known.get(w)
-            if at is None:
-                at = known[w] = tuple(k for k in beginnings(w, self.lengths) if k in weights)
-            for k in at:
-                found[k] += n
-        return self.bias + sum(v for k, n in found.items() for v, t in zip(weights[k], TIMES) if n >= t)
-
-
-def learn_beginnings(rows: list[Counter], target: np.ndarray, odds: float, lengths: tuple[int, ...] = STEMS, steps: int = 300, decay: float = 1e-3, least: int = 5, strong: float = 4.0) -> Beginnings:
-    """Logistic regression of soft labels on the beginnings of rows of words, by Adam steps, over those that `least`
+    first: frozenset[str] = frozenset()
+
+    def score(self, words: Iterable[str]) -> float:
+        k, first, found = STEMS[0], self.first, Counter()
+        for w, n in Counter([w for w in words if w[:k] in first]).items():
+            for b in beginnings(w, self.lengths):
+                if b in self.weights:
+                    found[b] += n
+        return self.bias + sum(v for b, n in found.items() for v, t in zip(self.weights[b], TIMES) if n >= t)
+
+
+class Sample:
+    """Texts as counts of words: different words once, and for each text arrays of their numbers and counts."""
+
+    def __init__(self, texts: Iterable[Iterable[tuple[str, int]]] = ()):
+        number: dict[str, int] = {}
+        self.rows = []
+        for text in texts:
+            pairs = [(number.setdefault(w, len(number)), n) for w, n in text]
+            self.rows.append(tuple(np.array(pairs, np.int32).reshape(-1, 2).T))
+        self.words = list(number)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def text(self, i: int) -> list[str]:
+        """The words of a text, sorted by their numbers."""
+        k, n = self.rows[i]
+        return [self.words[j] for j in np.repeat(k, n).tolist()]
+
+
+def learn_beginnings(sample: Sample, target: np.ndarray, odds: float, lengths: tuple[int, ...] = STEMS, steps: int = 300, decay: float = 1e-3, least: int = 5, strong: float = 4.0) -> Beginnings:
+    """Logistic regression of soft labels on the beginnings of a sample's words, by Adam steps, over those that `least`
     toxic texts or more hold and whose share differs between the classes by `strong` standard errors. odds: of toxic
     texts to others among all labelled ones, for a sample that is richer in them."""
     y = np.asarray(target, float)
     n1, n0 = y.sum(), len(y) - y.sum()
-    if n1 < 1e-9 or n0 < 1e-9:
+    if n1 < 1e-9 or n0 < 1e-9 or not sample.words:
         return Beginnings(lengths)
-    held_by: list[Counter] = []
-    for words in rows:
-        held_by.append(Counter())
-        for w, n in words.items():
-            for k in beginnings(w, lengths):
-                held_by[-1][k] += n
-    in_toxic = Counter(k for held, p in zip(held_by, y) if p > 0.5 for k in held)
-    number = {s: k for k, s in enumerate(sorted(s for s, n in in_toxic.items() if n >= least))}
-    cells = [(i, number[s] * len(TIMES) + j) for i, held in enumerate(held_by) for s, n in held.items() if s in number for j, t in enumerate(TIMES) if n >= t]
-    row, column = np.array(cells, np.int64).reshape(-1, 2).T
-    size = len(number) * len(TIMES)
+    begins = [sorted(beginnings(w, lengths)) for w in sample.words]
+    size = np.array([len(x) for x in begins])
+    flat, start = np.concatenate([np.array(x, np.int64) for x in begins]), size.cumsum() - size
+    text = np.repeat(np.arange(len(y)), [len(k) for k, _ in sample.rows])
+    own = np.concatenate([k for k, _ in sample.rows])
+    times = np.repeat(np.concatenate([n for _, n in sample.rows]), size[own])
+    inside = np.arange(len(times)) - np.repeat(size[own].cumsum() - size[own], size[own])
+    found, at = np.unique(np.repeat(text, size[own]) * TOXIC_BUCKETS + flat[np.repeat(start[own], size[own]) + inside], return_inverse=True)
+    times = np.bincount(at.ravel(), times).astype(np.int64)
+    text, bucket = found // TOXIC_BUCKETS, found % TOXIC_BUCKETS
+    known = np.flatnonzero(np.bincount(bucket[y[text] > 0.5], minlength=TOXIC_BUCKETS) >= least)
+    number = np.full(TOXIC_BUCKETS, -1, np.int64)
+    number[known] = np.arange(len(known))
+    row, column = (np.concatenate(x) for x in zip(*[(text[m], number[bucket[m]] * len(TIMES) + j) for j, t in enumerate(TIMES) for m in [(times >= t) & (number[bucket] >= 0)]]))
+    size = len(known) * len(TIMES)
     held = np.bincount(column, minlength=size)
     toxic = np.bincount(column, y[row], size)
     share = held / len(y)
@@ -111,20 +136,32 @@ def learn_beginnings(rows: list[Counter], target: np.ndarray, odds: float, lengt
         step = np.append(np.bincount(column, error[row], size) / len(y) + decay * w[:-1], error.mean())
         mean, square = 0.9 * mean + 0.1 * step, 0.999 * square + 0.001 * step * step
         w -= 0.03 * mean / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-    weights = {s: tuple(w[k * len(TIMES) : (k + 1) * len(TIMES)].tolist()) for s, k in number.items() if picked[k * len(TIMES) : (k + 1) * len(TIMES)].any()}
-    return Beginnings(lengths, weights, float(w[-1] + np.log(odds) - np.log(n1 / n0)))
+    picked = picked.reshape(-1, len(TIMES)).any(1)
+    weights = {int(k): tuple(x) for k, x in zip(known[picked], w[:-1].reshape(-1, len(TIMES))[picked].tolist())}
+    first = frozenset(x[: STEMS[0]] for x, at in zip(sample.words, begins) if any(k in weights for k in at))
+    return Beginnings(lengths, weights, float(w[-1] + np.log(odds) - np.log(n1 / n0)), first)
 
 
-def toxic_votes(words: Counter, lexicons: list[Beginnings]) -> list[int]:
+def toxic_votes(words: list[str], lexicons: list[Beginnings]) -> list[int]:
     """One vote of the labeller that knows words of abuse, and of each lexicon."""
-    scores = [x.score(words) for x in lexicons]
-    return [BAD if sum(n for w, n in words.items() if w in ABUSE) >= ABUSE_FROM else SILENT, *[BAD if s > 0 else GOOD if s < CLEAN_UNDER else SILENT for s in scores]]
+    k, first = STEMS[0], frozenset().union(*(x.first for x in lexicons))
+    scores = [x.score(some) for some in ([w for w in words if w[:k] in first],) for x in lexicons]
+    return [BAD if sum(w in ABUSE for w in words) >= ABUSE_FROM else SILENT, *[BAD if s > TOXIC_OVER else GOOD if s < CLEAN_UNDER else SILENT for s in scores]]
 
 
-def shape(word: str) -> str:
-    """Case, and what stands beside the letters: shared by all words of one make."""
-    case = "U" if len(word) > 1 and word.isupper() else "l"
-    return case + ("" if word.isalpha() else word[-1] if word[:-1].isalpha() else "~" + word[-2:])
+#: Bytes by make: small letters, among them all of which is no ASCII, large ones, digits, others as they are.
+_MAKE = bytes(ord("a") if 97 <= b < 123 or b >= 128 else ord("A") if 65 <= b < 91 else ord("0") if 48 <= b < 58 else b for b in range(256))
+_LOWER, _LEADS = bytes(range(97, 123)), bytes(range(0xC2, 0xF5))
+
+
+def alphabetic(make: bytes) -> bool:
+    return bool(make) and not make.strip(b"aA")
+
+
+def shape(make: bytes) -> bytes:
+    """Case, and what stands beside the letters, of a word given by its bytes' make: shared by words of one make."""
+    case = b"U" if len(make) > 1 and b"a" not in make and b"A" in make else b"l"
+    return case + (b"" if alphabetic(make) else make[-1:] if alphabetic(make[:-1]) else b"~" + make[-2:])
 
 
 def votes(text: str | None) -> list[int]:
@@ -134,11 +171,12 @@ def votes(text: str | None) -> list[int]:
     counts, f = statistics(text)
     n, words = counts[0], text.split()
     _, length, symbols, dup_lines, repeats, upper, digits, marks, distinct = f
+    data = text.encode("utf-8", "replace")
     ends = sum(text.count(c) for c in ".?!")
-    lower = sum(text.count(c) for c in set(text) if c.islower()) / max(counts[1], 1)
-    different = Counter(words)
-    plain = sum(n for w, n in different.items() if w.isalpha() or w[:-1].isalpha()) / max(len(words), 1)
-    most = max(different.values(), default=0) / max(len(words), 1)
+    lower = (gone(data, _LOWER) + gone(data, _LEADS)) / max(counts[1], 1)
+    makes = Counter(data.translate(_MAKE).split())
+    plain = sum(k for w, k in makes.items() if alphabetic(w) or alphabetic(w[:-1])) / max(makes.total(), 1)
+    most = max(Counter(words).values(), default=0) / max(len(words), 1)
     heard = n >= 5
     pick = lambda bad, good: BAD if bad else GOOD if good else SILENT
     flag = lambda bad: BAD if bad else SILENT
@@ -197,23 +235,12 @@ def expectation_maximisation(v: np.ndarray, weight: np.ndarray, rounds: int = 60
     return model
 
 
-_KNOWN: dict[str, tuple[int, int]] = {}
-
-
-def buckets_of(word: str) -> tuple[int, int]:
-    return zlib.crc32(b"w" + word.lower().encode("utf-8", "replace")) % BUCKETS, zlib.crc32(b"s" + shape(word).encode("utf-8", "replace")) % BUCKETS
-
-
 def hashed(text: str | None) -> np.ndarray:
-    """Buckets of a text's words and of their shapes, each once. The buckets of words met before are remembered."""
-    if len(_KNOWN) > REMEMBERED:
-        _KNOWN.clear()
-    found = set()
-    for w in set((text or "").split()):
-        got = _KNOWN.get(w)
-        if got is None:
-            got = _KNOWN[w] = buckets_of(w)
-        found.update(got)
+    """Buckets of a text's words, case set aside, and of their shapes, each once."""
+    text = text or ""
+    crc = zlib.crc32
+    found = {crc(w, 1) % BUCKETS for w in set(text.lower().encode("utf-8", "replace").split())}
+    found |= {crc(shape(m), 2) % BUCKETS for m in set(text.encode("utf-8", "replace").translate(_MAKE).split())}
     return np.fromiter(found, np.int64, len(found))
 
 
@@ -263,17 +290,17 @@ class Model:
     toxic_scorer: Beginnings
 
 
-def fit_lexicons(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label_col: str, rows: tuple[int, int]) -> tuple[list[Counter], list[Beginnings], float]:
+def fit_lexicons(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label_col: str, rows: tuple[int, int]) -> tuple[Sample, list[Beginnings], float]:
     """The labelled sample as counts of words, which come to the driver, a lexicon for each length of STEMS, and the
     odds of toxic texts. Labels that are null or not of a document are passed over; of several for one id the greatest
     counts. Without labels of both classes there are no lexicons."""
     if labels is None:
-        return [], [], 1.0
+        return Sample(), [], 1.0
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:
-        return [], [], 1.0
+        return Sample(), [], 1.0
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[y]) for y in (0, 1)]
 
     def count(batches):
@@ -286,11 +313,10 @@ def fit_lexicons(docs: DataFrame, labels: DataFrame | None, id_col: str, text_co
 
     texts = _columns(docs, id_col, text_col).join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "y", "text")
     got = sorted(map(tuple, texts.mapInArrow(count, "doc_id long, y int, words string").collect()))
-    split = [words.split() for _, _, words in got]
-    sample = [Counter(dict(zip(w[::2], map(int, w[1::2])))) for w in split]
+    sample = Sample(zip(w[::2], map(int, w[1::2])) for w in (words.split() for _, _, words in got))
     y, odds = np.array([g[1] for g in got], float), counts[1] / counts[0]
     if not 0 < y.sum() < len(y):
-        return [], [], odds
+        return Sample(), [], odds
     return sample, [learn_beginnings(sample, y, odds, (k,)) for k in STEMS], odds
 
 
@@ -310,7 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         for batch in batches:
             texts = [t.as_py() for t in batch.column("text")]
             form = [int("".join(map(str, votes(t))), 3) for t in texts]
-            toxic = [int("".join(map(str, toxic_votes(Counter(words_of(t or "")), lexicons))), 3) if lexicons else 0 for t in texts]
+            toxic = [int("".join(map(str, toxic_votes(words_of(t or ""), lexicons))), 3) if lexicons else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(form, pa.int32()), pa.array(toxic, pa.int32())], names=["form", "toxic"])
 
     patterns = own.select("text").mapInArrow(vote, "form int, toxic int").groupBy("form", "toxic").count().collect()
@@ -340,12 +366,12 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     return Model(quality, scorer, toxicity, lexicons, fit_toxic_scorer(sample, lexicons, toxicity, odds))
 
 
-def fit_toxic_scorer(sample: list[Counter], lexicons: list[Beginnings], toxicity: LabelModel, odds: float) -> Beginnings:
+def fit_toxic_scorer(sample: Sample, lexicons: list[Beginnings], toxicity: LabelModel, odds: float) -> Beginnings:
     """The toxicity scorer, trained on the label model's posteriors of the sample."""
     if not lexicons:
         return Beginnings(STEMS)
-    v = np.array([toxic_votes(words, lexicons) for words in sample], np.int64)
-    return learn_beginnings(sample, 1 - toxicity.posterior(v), odds)
+    v = np.array([toxic_votes(sample.text(i), lexicons) for i in range(len(sample))], np.int64)
+    return learn_beginnings(sample, 1 - toxicity.posterior(v), odds, strong=3.0)
 
 
 def posteriors(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,7 +385,7 @@ def posteriors(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 part = batch.slice(k, 512)
                 texts = [t.as_py() or "" for t in part.column("text")]
                 good = model.quality.posterior(np.array([votes(t) for t in texts], np.int64))
-                toxic = 1 - model.toxicity.posterior(np.array([toxic_votes(Counter(words_of(t)), model.lexicons) for t in texts], np.int64)) if model.lexicons else np.zeros(len(texts))
+                toxic = 1 - model.toxicity.posterior(np.array([toxic_votes(words_of(t), model.lexicons) for t in texts], np.int64)) if model.lexicons else np.zeros(len(texts))
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "good": good, "toxic": toxic})
 
     return _columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, good double, toxic double")
@@ -381,7 +407,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 part = batch.slice(k, 512)
                 texts = [t.as_py() or "" for t in part.column("text")]
                 score = np.array([model.scorer.score(hashed(t)) for t in texts])
-                odds = np.array([model.toxic_scorer.score(Counter(words_of(t))) for t in texts])
+                odds = np.array([model.toxic_scorer.score(words_of(t)) for t in texts])
                 toxic = odds > 0
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": score, "toxic_score": 1 / (1 + np.exp(-np.clip(odds, -500, 500))), "toxic": toxic, "kept": (score >= KEEP_FROM) & ~toxic})
 
