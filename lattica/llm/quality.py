@@ -28,35 +28,40 @@ MONOTONE = {2: -1, 3: -1, 4: -1}
 
 def statistics(text: str | None) -> tuple[list[int], list[float]]:
     """The base counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and the trees' features."""
+    return measured(text)[:2]
+
+
+def measured(text: str | None) -> tuple[list[int], list[float], int]:
+    """statistics(), and how often the most frequent word occurs."""
     text = text or ""
     data = text.encode()
     words = data.split()
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    codes = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     n = len(words)
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     lines = [line for line in data.split(b"\n") if line.strip()]
-    counts = [n, chars, gone(data, SYMBOLS), len(lines) - len(set(lines)), repeated(words)]
+    counts = [n, chars, gone(data, SYMBOLS), len(lines) - len(set(lines)), repeated(codes, len(number))]
     some, size = max(n, 1), max(chars, 1)
-    features = [math.log1p(n), chars / some, counts[2] / size, counts[3] / max(len(lines), 1), counts[4] / some, gone(data, _UPPER) / size, gone(data, _DIGITS) / size, gone(data, _MARKS) / size, len(set(words)) / some]
-    return counts, features
+    features = [math.log1p(n), chars / some, counts[2] / size, counts[3] / max(len(lines), 1), counts[4] / some, gone(data, _UPPER) / size, gone(data, _DIGITS) / size, gone(data, _MARKS) / size, len(number) / some]
+    return counts, features, int(np.bincount(codes).max()) if n else 0
 
 
 def gone(data: bytes, characters: bytes) -> int:
     return len(data) - len(data.translate(None, characters))
 
 
-def repeated(words: list[bytes], window: int = 3) -> int:
-    """Words that lie in a window of so many words that the text has twice or more."""
-    n = len(words)
+def repeated(codes: np.ndarray, different: int, window: int = 3) -> int:
+    """Words, given as numbers, that lie in a window of so many words that the text has twice or more."""
+    n = len(codes)
     if n <= window:
         return 0
-    number: dict[bytes, int] = {}
-    codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
     code = codes[: n - window + 1]
     for k in range(1, window):
-        if k > 1 and len(number) ** window >= 1 << 62:
+        if k > 1 and different**window >= 1 << 62:
             # pairs are numbered anew, so that no product overflows
             _, code = np.unique(code, return_inverse=True)
-        code = code * len(number) + codes[k : n - window + 1 + k]
+        code = code * different + codes[k : n - window + 1 + k]
     v = np.sort(code)
     if not (v[1:] == v[:-1]).any():
         return 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import table
-from lattica.llm.quality import gone, statistics
+from lattica.llm.quality import gone, measured
 
 #: Votes, and the first two also classes. Of the toxicity labellers BAD means toxic and GOOD clean.
 BAD, GOOD, SILENT = 0, 1, 2
@@ -168,15 +168,14 @@ def votes(text: str | None) -> list[int]:
     """One vote of each labeller. The first four judge either way; the others each know one kind of defect, overlap
     with each other and with the first, and are silent on a text without it."""
     text = text or ""
-    counts, f = statistics(text)
-    n, words = counts[0], text.split()
+    counts, f, most = measured(text)
+    n, most = counts[0], most / max(counts[0], 1)
     _, length, symbols, dup_lines, repeats, upper, digits, marks, distinct = f
     data = text.encode("utf-8", "replace")
     ends = sum(text.count(c) for c in ".?!")
     lower = (gone(data, _LOWER) + gone(data, _LEADS)) / max(counts[1], 1)
     makes = Counter(data.translate(_MAKE).split())
     plain = sum(k for w, k in makes.items() if alphabetic(w) or alphabetic(w[:-1])) / max(makes.total(), 1)
-    most = max(Counter(words).values(), default=0) / max(len(words), 1)
     heard = n >= 5
     pick = lambda bad, good: BAD if bad else GOOD if good else SILENT
     flag = lambda bad: BAD if bad else SILENT
