@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import chat, exact, mixing, pieces, quality, simhash, substrings, tokens, urls, weak
+from lattica.llm import alignment, chat, clustering, exact, mixing, packing, pieces, quality, simhash, substrings, tokens, urls, weak
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_chat_format": chat.op9_chat_format,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_clustering": clustering.op11_clustering,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_packing": packing.op13_packing,
 }
-SQL = {"op6_mix_sources": mixing.OP6_SQL, "op9_chat_format": chat.OP9_SQL, "op10_exact_dedup": exact.OP10_SQL}
+SQL = {"op6_mix_sources": mixing.OP6_SQL, "op9_chat_format": chat.OP9_SQL, "op10_exact_dedup": exact.OP10_SQL, "op11_clustering": clustering.OP11_SQL}
