@@ -111,10 +111,11 @@ class Aligner:
         plain_a = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
         n = self.b.normaliser
         self.splits = plain_a and self.b.by_chunk and not n.map.units and not n.squeeze and n.prefix and n.mark == SPACE_MARK.encode()
-        self.memory = Remembered(self.learn, self.forget)
-
-    def forget(self) -> None:
         self.stats, self.links, self.texts = Ragged("<i8"), Ragged("<i8"), []
+        self.memory = Remembered(self.learn, self.keep)
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.stats, self.links, self.texts = self.stats.only(rows), self.links.only(rows), [self.texts[k] for k in rows.tolist()]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of space + text under A, and of text under B, which adds the space itself."""

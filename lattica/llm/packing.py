@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -27,6 +28,10 @@ LENGTH = 2048
 END_ID = 1
 #: New words are given to the library so many at a time.
 JOINED = 4000
+#: Words whose runs the tokenizer's pattern surely tells apart: no apostrophe, which starts endings, and no bar, which special
+#: tokens have.
+PLAIN = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{}~]+")
+RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{}~]+")
 
 
 def default_tokenizer() -> str:
@@ -51,8 +56,9 @@ def drops_space(spec: dict) -> bool:
 class WordCoder:
     """ids(texts): the ids of many texts, one after the other, and how many each has, as the library gives them.
 
-    Where words are independent, each distinct word is encoded once and remembered. Words of plain Latin letters, each of
-    which ends in exactly one token with the end mark, go to the library joined by spaces; others go one by one.
+    Where words are independent, each distinct word is encoded once and remembered. Words of Latin letters, digits and
+    signs go to the library joined by spaces, since it is known how many tokens with the end mark each has: one for each run
+    of letters or signs and each digit. Others go one by one.
     """
 
     def __init__(self, path: str):
@@ -68,26 +74,27 @@ class WordCoder:
         if suffix:
             self.ends[[k for x, k in vocab.items() if x.endswith(suffix)]] = True
         self.joins = bool(suffix)
-        self.memory = Remembered(self.learn, self.forget)
-
-    def forget(self) -> None:
         self.table = Ragged("<u4")
+        self.memory = Remembered(self.learn, self.keep)
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.table = self.table.only(rows)
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for x in got for i in x], "<u4"), np.array([len(x) for x in got], np.int64)
 
     def learn(self, words: list[str]) -> None:
-        plain = np.fromiter((self.joins and w.isascii() and w.isalpha() for w in words), bool, len(words))
-        lengths, values = np.zeros(len(words), np.int64), []
+        marks = np.fromiter((len(RUN.findall(w)) if self.joins and PLAIN.fullmatch(w) else 0 for w in words), np.int64, len(words))
+        plain, lengths, values = marks > 0, np.zeros(len(words), np.int64), []
         at = np.flatnonzero(plain)
         for k in range(0, len(at), JOINED):
             some = at[k : k + JOINED]
             ids, _ = self.whole([" ".join([words[i] for i in some])])
             last = np.flatnonzero(self.ends[ids])
-            if len(last) != len(some) or len(ids) != last[-1] + 1:
-                raise ValueError("a word of letters doesn't end in exactly one token with the end mark")
-            lengths[some] = np.diff(last, prepend=-1)
+            if len(last) != marks[some].sum() or len(ids) != last[-1] + 1:
+                raise ValueError("a plain word doesn't have as many tokens with the end mark as runs")
+            lengths[some] = np.diff(last[np.cumsum(marks[some]) - 1], prepend=-1)
             values.append(ids)
         at = np.flatnonzero(~plain)
         ids, n = self.whole([words[i] for i in at]) if len(at) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))

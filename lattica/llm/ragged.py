@@ -36,33 +36,58 @@ class Ragged:
         self.lengths[self.n : self.n + k] = lengths
         self.used, self.n = self.used + m, self.n + k
 
+    def only(self, rows: np.ndarray) -> Ragged:
+        out = Ragged(self.values.dtype.str)
+        out.extend(*self.take(rows))
+        return out
+
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.lengths[rows]
         return self.values[runs(self.starts[rows], lengths)], lengths
 
 
 class Remembered:
-    """The row of each chunk in some Ragged tables that learn() extends, all of them by the same new chunks."""
+    """The row of each chunk in some Ragged tables, which learn(chunks) extends by a row for each and keep(rows) cuts down to
+    these rows. When it is full, chunks stay that were asked for again since they came."""
 
-    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], most: int = REMEMBERED, chars: int = REMEMBERED_CHARS):
-        self.learn, self.forget, self.most, self.chars = learn, forget, most, chars
+    def __init__(self, learn: Callable[[list[str]], None], keep: Callable[[np.ndarray], None], most: int = REMEMBERED, chars: int = REMEMBERED_CHARS):
+        self.learn, self.keep, self.most, self.chars = learn, keep, most, chars
         self.rows: dict[str, int] = {}
+        self.again = np.zeros(1 << 10, bool)
         self.held = 0
-        forget()
 
     def of(self, chunks: list[str]) -> np.ndarray:
         """Rows of distinct chunks. What they become is computed for the new ones alone."""
-        new = [c for c in chunks if c not in self.rows]
+        known = self.rows
+        new = [c for c in chunks if c not in known]
         size = sum(map(len, new))
-        if self.rows and (len(self.rows) + len(new) > self.most or self.held + size > self.chars):
-            self.rows, self.held = {}, 0
-            self.forget()
-            new, size = chunks, sum(map(len, chunks))
+        if known and (len(known) + len(new) > self.most or self.held + size > self.chars):
+            self.cut()
+            known = self.rows
+            new = [c for c in chunks if c not in known]
+            size = sum(map(len, new))
+        before = len(known)
         if new:
             self.learn(new)
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            known.update(zip(new, range(before, before + len(new))))
             self.held += size
-        return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
+            while len(known) > len(self.again):
+                self.again = np.concatenate([self.again, np.zeros_like(self.again)])
+        rows = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+        self.again[rows[rows < before]] = True
+        return rows
+
+    def cut(self) -> None:
+        stays = np.flatnonzero(self.again[: len(self.rows)])
+        if 2 * len(stays) > self.most:
+            stays = stays[:0]
+        chunks = list(self.rows)
+        self.rows = {chunks[k]: n for n, k in enumerate(stays.tolist())}
+        self.held = sum(map(len, self.rows))
+        if 2 * self.held > self.chars:
+            self.rows, self.held, stays = {}, 0, stays[:0]
+        self.again[:] = False
+        self.keep(stays)
 
 
 def parts(sizes: Iterable[int], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:

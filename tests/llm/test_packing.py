@@ -24,7 +24,7 @@ def plain(library, text):
 
 def texts():
     rng = random.Random(5)
-    words = ["Straße", "l'été", "don't", "'s", "x9y", "İstanbul", "ΟΔΟΣ", "é", "́a", "<|endoftext|>", "a<|startoftext|>b", "🙂", "a b", "a\x1cb", "日本語", "...", "ﬁn", "A" * 40]
+    words = ["Straße", "l'été", "don't", "'s", "x9y", "İstanbul", "ΟΔΟΣ", "é", "́a", "<|endoftext|>", "a<|startoftext|>b", "🙂", "a b", "a\x1cb", "a1b22", "x.y", "(Ab)", "Ünï-1", "ß?!", "a'b", "<|x|>", "_a", "日本語", "...", "ﬁn", "A" * 40]
     out = [" ".join(rng.choice(words) + rng.choice(["", "", "\n", "\t", "  "]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     return [*out, None, "", " \n", "word " * 9000, "b" * 30000, *["same text"] * 7]
 
@@ -136,8 +136,12 @@ def test_ragged_and_memory():
     values, lengths = table.take(np.array([4, 0, 2, 2]))
     assert values.tolist() == [2, 3, 4, 0, 1, 0, 1] and lengths.tolist() == [3, 0, 2, 2]
     learnt = []
-    memory = Remembered(learnt.extend, learnt.clear, most=3)
-    assert [learnt[k] for k in memory.of(["a", "b"])] == ["a", "b"]
-    assert [learnt[k] for k in memory.of(["b", "c"])] == ["b", "c"]
-    assert [learnt[k] for k in memory.of(["d", "e", "b", "f"])] == ["d", "e", "b", "f"]
+
+    def keep(rows):
+        learnt[:] = [learnt[k] for k in rows]
+
+    memory = Remembered(learnt.extend, keep, most=4)
+    for chunks in (["a", "b"], ["b", "c"], ["d", "b"], ["d", "e", "b", "f"], list("bghijk"), ["b", "k"]):
+        assert [learnt[k] for k in memory.of(chunks)] == chunks
+    assert "b" in learnt and len(learnt) <= 7
     assert list(parts([])) == [] and list(parts([5, 5, 90, 1], 10)) == [(0, 2), (2, 3), (3, 4)]
