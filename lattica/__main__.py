@@ -1,10 +1,10 @@
 """Commands: python -m lattica COMMAND GRAPH ... ; GRAPH is a file in the text format.
 
 mine GRAPH SUPPORT [STRATEGY [WEIGHT]]      patterns as text, and the run's counters
-compare | bench | ablation | pruning | consistency GRAPH SUPPORT WEIGHT
-inheritance | sweep GRAPH SUPPORT
+compare | bench | ablation | pruning GRAPH SUPPORT WEIGHT
+reduction | sweep GRAPH SUPPORT
 describe GRAPH
-scenarios FOLDER FILE                       FILE: CSV of dataset,min_sup,least,budget with a header
+scenarios FOLDER FILE                       FILE: CSV of dataset,min_sup,least with a header
 
 bench and scenarios take their strategies from LATTICA_ALGOS (comma-separated), and print lines "CSV,..." if
 LATTICA_CSV is set.
@@ -28,10 +28,9 @@ from lattica.sources.lg import read_lg
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lattica", description="Frequent patterns of one weighted graph")
-    top.add_argument("command", choices=["mine", "compare", "bench", "ablation", "pruning", "consistency", "inheritance", "sweep", "describe", "scenarios"])
+    top.add_argument("command", choices=["mine", "compare", "bench", "ablation", "pruning", "reduction", "sweep", "describe", "scenarios"])
     top.add_argument("path")
     top.add_argument("rest", nargs="*", help="support, then a strategy and a weight (mine) or a weight; for scenarios the cells' file")
-    top.add_argument("--budget", type=int, default=0, help="steps of a search, 0 for no bound")
     top.add_argument("--limit", type=float, help="seconds after which a run is ended")
     top.add_argument("--max-edges", type=int)
     top.add_argument("--warmup", type=int, default=1)
@@ -48,7 +47,7 @@ def show(rows: DataFrame) -> None:
 def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("lattica").getOrCreate()
-    options = Options(max_edges=a.max_edges, budget=a.budget, limit_s=a.limit)
+    options = Options(max_edges=a.max_edges, limit_s=a.limit)
     names = [n for n in os.environ.get("LATTICA_ALGOS", ",".join(compare.STRATEGIES)).split(",") if n]
     if a.command == "describe":
         for name, rows in compare.describe(spark, a.path).items():
@@ -57,7 +56,7 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         return
     if a.command == "scenarios":
         with open(a.rest[0]) as f:
-            cells = [compare.Scenario(r["dataset"], int(r["min_sup"]), float(r["least"]), int(r.get("budget") or 0)) for r in csv.DictReader(f)]
+            cells = [compare.Scenario(r["dataset"], int(r["min_sup"]), float(r["least"])) for r in csv.DictReader(f)]
         rows = compare.scenarios(spark, a.path, cells, names, options, a.warmup, a.measured)
         finish(rows)
         return
@@ -70,13 +69,13 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
             print(f"# {r['no']} support {r['support']}\n{r['text']}")
         show(metrics_row(spark, name, os.path.basename(a.path), support, least, found))
         show(compare.largest_edges(found.to_df(spark)).withColumn("timed_out", F.lit(found.timed_out)).withColumn("peak_mem_mb", F.lit(compare.peak_memory_mb(spark))))
-    elif a.command in ("inheritance", "sweep"):
-        show({"inheritance": compare.inheritance_compare, "sweep": compare.sweep}[a.command](g, support, options=options))
+    elif a.command in ("reduction", "sweep"):
+        show({"reduction": compare.reduction_compare, "sweep": compare.sweep}[a.command](g, support, options=options))
     elif a.command == "bench":
         dataset = os.path.basename(a.path).removesuffix(".lg")
         finish(compare.bench(g, dataset, support, float(a.rest[1]), names, options, a.warmup, a.measured))
     else:
-        run = {"compare": compare.compare, "ablation": compare.ablation, "pruning": compare.pruning_compare, "consistency": compare.consistency_compare}
+        run = {"compare": compare.compare, "ablation": compare.ablation, "pruning": compare.pruning_compare}
         show(run[a.command](g, support, float(a.rest[1]), options=options))
     g.released()
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import triple
 from lattica.sources.graph import Graph
+from lattica.sources.ranks import picked
 
 
 def label_counts(g: Graph) -> DataFrame:
@@ -46,18 +47,21 @@ def degrees(g: Graph) -> DataFrame:
 
 
 def weight_grid(g: Graph, shares: list[float]) -> DataFrame:
-    """(q, w): of the distinct weights in rising order, the one at floor(q * (n - 1)). The ranks are over one row per
-    distinct weight."""
-    d = g.edges.select("w").distinct()
-    ranked = d.withColumn("k", F.row_number().over(Window.orderBy("w")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    picks = ranked.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in shares])))
-    return picks.where(F.col("k") == F.floor(F.col("q") * (F.col("n") - 1))).select("q", "w")
-
-
-def upper_median(x: Column) -> Column:
-    """sorted[n / 2], without interpolation."""
-    ordered = F.array_sort(F.collect_list(x))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+    """(q, w): of the distinct weights in rising order, the one at floor(q * (n - 1))."""
+    at = lambda q: F.floor(q * (F.col("_n") - 1)).cast("long")
+    wanted = F.transform(F.array(*[F.lit(float(q)) for q in shares]), at)
+    found = picked(g.edges.select("w").distinct(), [], "w", wanted)
+    n = g.edges.select(F.count_distinct("w").alias("_n"))
+    # one row, with an entry for each share
+    asked = n.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), at(F.lit(float(q))).alias("rank")) for q in shares])).alias("a")).select("a.*")
+    return found.join(asked, "rank").select("q", "w")
+
+
+def upper_median(rows: DataFrame, keys: list[str], x: str, alias: str = "median") -> DataFrame:
+    """(keys, median): sorted[n / 2] of each key's values that aren't null, without interpolation; a key without any has no
+    row."""
+    half = F.array(F.floor(F.col("_n") / 2).cast("long"))
+    return picked(rows.where(F.col(x).isNotNull()), keys, x, half).select(*keys, F.col(x).alias(alias))
 
 
 def graph_stats(g: Graph) -> DataFrame:

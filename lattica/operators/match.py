@@ -1,15 +1,114 @@
-"""Occurrence tables of many patterns at once, grown edge by edge."""
+"""Support and weights of many candidates at once, from factorised occurrences.
+
+A pattern is its core (the positions of degree two or more) and groups of leaves: so many leaves of one label and edge
+label at one core position. Occurrences of cores are listed in tables that all patterns with the same core share; leaves
+are never listed. A core grows by a position at a time, joined along the edge whose end has fewest neighbours that fit and
+checked along the others, so that a cycle costs what its least frequented edge costs. What a row needs to know about
+leaves it carries: for each core vertex, by label and edge label, how many neighbours there are and the few heaviest.
+
+Leaves that compete for vertices are settled exactly by Hall's condition: every set of groups of one label needs as many
+candidates together as leaves. A set that has no more than it needs keeps its candidates from all other groups. Few
+candidates of each group suffice to decide this, so that a vertex of many neighbours costs no more than others; the images
+of leaves are the neighbours, less those that every row keeps from them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+from dataclasses import dataclass
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.operators.pattern import Growth, Pattern
+from lattica.operators.pattern import Pattern, canonical_order
+from lattica.operators.support import SALTS, bitmap_counts
 from lattica.sources.graph import Graph
+from lattica.sources.scratch import Scratch
+
+#: Leaf images are numbered from here on, behind the core's positions.
+LEAVES = 1000
+#: Neighbours of each label that a profile lists at first, doubled for patterns of more positions.
+LISTED = 6
+
+CORE = "cid int, m array<long>, bw double, vbw double"
+
+
+@dataclass(frozen=True)
+class Shape:
+    """A pattern as a core in canonical order and groups of leaves (core position, label, edge label, how many)."""
+
+    core: Pattern
+    groups: tuple[tuple[int, int, int, int], ...]
+
+    @staticmethod
+    def of(p: Pattern) -> Shape:
+        inner = [0] if p.n_edges == 1 else [u for u in range(p.n_vertices) if p.degree(u) > 1]
+        at = {u: k for k, u in enumerate(inner)}
+        core = Pattern(tuple(p.labels[u] for u in inner), tuple(sorted((at[u], at[v], el) for u, v, el in p.edges if u in at and v in at)))
+        order = canonical_order(core)
+        to = {inner[u]: k for k, u in enumerate(order)}
+        count: dict[tuple[int, int, int], int] = {}
+        for u in inner:
+            for v, el in p.links[u].items():
+                if v not in at:
+                    key = (to[u], p.labels[v], el)
+                    count[key] = count.get(key, 0) + 1
+        return Shape(reordered(core, order), tuple(sorted((*k, n) for k, n in count.items())))
+
+    def rivals(self) -> list[tuple[list[int], int]]:
+        """Sets of groups of one label that another group has too, with the leaves they need together."""
+        by_label: dict[int, list[int]] = {}
+        for k, (_, label, _, _) in enumerate(self.groups):
+            by_label.setdefault(label, []).append(k)
+        sets = (s for own in by_label.values() if len(own) > 1 for n in range(1, len(own) + 1) for s in combinations(own, n))
+        return [(list(s), sum(self.groups[k][3] for k in s)) for s in sets]
+
+    def least(self, k: int) -> int:
+        """Neighbours of the group's label that its core vertex has at least: the leaves, and those in the core."""
+        u, label, el, r = self.groups[k]
+        return r + sum(self.core.labels[v] == label and e == el for v, e in self.core.links[u].items())
+
+    def others(self, k: int) -> list[int]:
+        """Core positions that might stand where a leaf of the group would."""
+        u, label, _, _ = self.groups[k]
+        return [v for v, x in enumerate(self.core.labels) if x == label and v != u]
+
+
+def reordered(p: Pattern, order: list[int]) -> Pattern:
+    at = {u: k for k, u in enumerate(order)}
+    return Pattern(tuple(p.labels[u] for u in order), tuple(sorted((min(at[u], at[v]), max(at[u], at[v]), el) for u, v, el in p.edges)))
+
+
+@dataclass(frozen=True)
+class Step:
+    """How a core comes from one with a position less: the new position's label, its edges (parent's position, label), and
+    for each position of the core the parent's, -1 for the new one."""
+
+    parent: Pattern
+    label: int
+    edges: tuple[tuple[int, int], ...]
+    places: tuple[int, ...]
+
+    @staticmethod
+    def to(core: Pattern) -> Step:
+        """The position that goes is one of least degree whose loss leaves the rest connected, so that cycles are closed
+        early and what hangs on them comes last."""
+
+        def rest(gone: int) -> Pattern | None:
+            edges = [e for e in core.edges if gone not in e[:2]]
+            left = core.restricted(edges)
+            if core.n_vertices == 2:
+                return Pattern((core.labels[1 - gone],), ())
+            return left if left is not None and left.n_vertices == core.n_vertices - 1 else None
 
-#: Columns of an occurrence table: pattern number, vertices by position, smallest edge, smallest vertex.
-SCHEMA = "pid int, m array<long>, bw double, vbw double"
+        gone = min((u for u in range(core.n_vertices) if rest(u) is not None), key=lambda u: (core.degree(u), -u))
+        kept = [u for u in range(core.n_vertices) if u != gone]
+        parent = rest(gone)
+        order = canonical_order(parent)
+        to = {kept[u]: k for k, u in enumerate(order)}
+        edges = tuple((to[v], el) for v, el in sorted(core.links[gone].items()))
+        return Step(reordered(parent, order), core.labels[gone], edges, tuple(to.get(u, -1) for u in range(core.n_vertices)))
 
 
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -17,47 +116,214 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def seed(g: Graph, patterns: dict[int, Pattern]) -> DataFrame:
-    """Occurrences of single edges; equal labels occur in both orientations."""
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, each computed once however often it is used: what a generator makes isn't written out again in
+    the filters and columns that use it."""
+    return rows.select("*", F.inline(F.array(F.struct(*[x.alias(name) for name, x in columns.items()]))))
+
+
+def profile(g: Graph, labels: Iterable[int], listed: int) -> DataFrame:
+    """(v, label, weight, near) of the vertices of these labels: near maps (label, edge label) to (n, top, topv), the number
+    of such neighbours, and the `listed` of them with the heaviest edges and with the heaviest ends, as (w, v), falling.
+
+    Lists are cut in two steps, so that a hub's edges never form one list; a row is as long as the labels around it."""
     spark = g.adj.sparkSession
-    wanted = _table(spark, [(k, p.labels[0], p.labels[1], p.edges[0][2]) for k, p in patterns.items()], "pid int, ls int, ld int, el int")
-    return g.adj.join(wanted, ["ls", "ld", "el"]).select("pid", F.array("src", "dst").alias("m"), F.col("w").alias("bw"), F.least("ws", "wd").alias("vbw"))
+    wanted = spark.createDataFrame([(int(x),) for x in labels], "x int")
+    edge, end = F.struct("w", F.col("dst").alias("v")), F.struct(F.col("wd").alias("w"), F.col("dst").alias("v"))
+    cut = lambda x: F.slice(F.sort_array(x, asc=False), 1, listed)
+    known = g.adj.join(wanted.toDF("ls"), "ls", "left_semi").join(wanted.toDF("ld"), "ld", "left_semi")
+    part = known.groupBy("src", "ld", "el", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("n"), cut(F.collect_list(edge)).alias("top"), cut(F.collect_list(end)).alias("topv"))
+    whole = part.groupBy("src", "ld", "el").agg(F.sum("n").alias("n"), cut(F.flatten(F.collect_list("top"))).alias("top"), cut(F.flatten(F.collect_list("topv"))).alias("topv"))
+    near = whole.groupBy(F.col("src").alias("v")).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("ld", "el"), F.struct("n", "top", "topv")))).alias("near"))
+    own = g.vertices.join(wanted.toDF("label"), "label", "left_semi").select(F.col("id").alias("v"), "label", "weight")
+    return own.join(near, "v")
 
 
-def _growths(spark: SparkSession, growths: dict[int, tuple[int, Growth]], kind: str) -> DataFrame:
-    rows = [(pid, child, x.u, x.w, x.label, x.el) for child, (pid, x) in growths.items() if x.kind == kind]
-    return _table(spark, rows, "pid int, child int, u int, w int, lb int, x_el int")
+def _around(position: Column, label: Column, el: Column) -> Column:
+    """What a row's profile says about one label around one of its positions; null if there is none."""
+    return F.try_element_at(F.get("near", position), F.struct(label.alias("ld"), el.alias("el")))
 
 
-def expected(g: Graph, table: DataFrame, growths: dict[int, tuple[int, Growth]]) -> dict[int, int]:
-    """Rows that each leaf growth would make: sums of label degrees, counted before anything is built. Chords make no
-    more rows than their parent has, and count as none."""
-    spark = g.adj.sparkSession
-    leaves = _growths(spark, growths, "leaf")
-    near = g.adj.groupBy("src", F.col("ld").alias("lb"), F.col("el").alias("x_el")).agg(F.count("*").alias("n"))
-    rows = table.join(leaves, "pid").select("child", F.get("m", F.col("u")).alias("src"), "lb", "x_el").groupBy("child", "src", "lb", "x_el").agg(F.count("*").alias("k"))
-    got = rows.join(near, ["src", "lb", "x_el"]).groupBy("child").agg(F.sum(F.col("n") * F.col("k")).alias("rows")).collect()
-    return {r["child"]: r["rows"] for r in got}
+class Occurrences:
+    """Core tables of a graph, made when a pattern first needs them, and measures of patterns on them.
 
+    labels: of the vertices that any pattern may have. Tables are written to the shared folder, which cuts their lineage and
+    keeps them when an executor is lost. reduce: leave out core occurrences around which no candidate's leaves may be found;
+    later candidates with the same core are larger, so they lose nothing. rows counts what was listed.
+    """
 
-def grown(g: Graph, table: DataFrame, growths: dict[int, tuple[int, Growth]]) -> DataFrame:
-    """Occurrences of all children. A child comes from one parent, and each of its occurrences restricts to exactly
-    one of that parent's, so the list is complete and free of repeats."""
-    spark = g.adj.sparkSession
-    leaves, chords = _growths(spark, growths, "leaf"), _growths(spark, growths, "chord")
-    step = table.join(leaves.drop("w"), "pid").withColumn("src", F.get("m", F.col("u")))
-    a = g.adj.select("src", "dst", F.col("ld").alias("lb"), F.col("el").alias("x_el"), "w", "wd")
-    by_leaf = step.join(a, ["src", "lb", "x_el"]).where(~F.array_contains("m", F.col("dst")))
-    by_leaf = by_leaf.select(F.col("child").alias("pid"), F.array_append("m", F.col("dst")).alias("m"), F.least("bw", "w").alias("bw"), F.least("vbw", "wd").alias("vbw"))
-    step = table.join(chords, "pid").withColumn("src", F.get("m", F.col("u"))).withColumn("dst", F.get("m", F.col("w"))).drop("w")
-    b = g.adj.select("src", "dst", F.col("el").alias("x_el"), F.col("w").alias("x_w"))
-    by_chord = step.join(b, ["src", "dst", "x_el"]).select(F.col("child").alias("pid"), "m", F.least("bw", "x_w").alias("bw"), "vbw")
-    return by_leaf.unionByName(by_chord)
-
-
-def measure(table: DataFrame) -> dict[int, tuple[int, float, float]]:
-    """Support, weight and vertex weight of each pattern of the table, in one job; a row per pattern comes back."""
-    images = table.select("pid", F.posexplode("m").alias("pos", "v")).distinct()
-    support = images.groupBy("pid", "pos").agg(F.count("*").alias("n")).groupBy("pid").agg(F.min("n").alias("mni"))
-    weight = table.groupBy("pid").agg(F.max("bw").alias("bw"), F.max("vbw").alias("vbw"))
-    return {r["pid"]: (r["mni"], r["bw"], r["vbw"]) for r in support.join(weight, "pid").collect()}
+    def __init__(self, g: Graph, labels: Iterable[int], reduce: bool = True):
+        self.g, self.spark, self.labels, self.reduce = g, g.adj.sparkSession, sorted(labels), reduce
+        self.listed, self.rows, self.around, self.scratch = 0, 0, None, None
+        self.numbers: dict[str, int] = {}
+        self.tables: list[tuple[set[str], DataFrame]] = []
+        self.adj = g.adj.select("src", "dst", "ld", "el", "w")
+
+    def close(self) -> None:
+        if self.scratch is not None:
+            self.scratch.close()
+        self.tables, self.around, self.scratch = [], None, None
+
+    def list_at_least(self, n: int) -> None:
+        """Profiles with so many neighbours of each label; tables that carry shorter ones go."""
+        if n > self.listed:
+            self.close()
+            self.listed = max(LISTED, n, 2 * self.listed)
+            self.scratch = Scratch(self.spark, "occurrences")
+            self.around = self.put(profile(self.g, self.labels, self.listed))
+
+    def put(self, rows: DataFrame) -> DataFrame:
+        """A table whose rows are costly to work on: one of fewer files than there are cores is dealt out when it is read."""
+        made, cores = self.scratch.put(rows), self.spark.sparkContext.defaultParallelism
+        return made.repartition(cores) if len(made.inputFiles()) < cores else made
+
+    def number(self, core: Pattern) -> int:
+        return self.numbers.setdefault(core.code, len(self.numbers))
+
+    def need(self, shapes: Iterable[Shape]) -> DataFrame:
+        """(cid, m, near, bw, vbw) of the shapes' cores, each of which is listed once. near has a profile for each position."""
+        cores = {s.core.code: s.core for s in shapes}
+        asked: dict[str, list[list[tuple]]] = {}
+        for s in shapes:
+            asked.setdefault(s.core.code, []).append([(u, lb, el, s.least(k)) for k, (u, lb, el, _) in enumerate(s.groups)])
+        have = set().union(*(codes for codes, _ in self.tables))
+        missing, steps = {c: p for c, p in cores.items() if c not in have}, {}
+        todo = list(missing.values())
+        while todo:
+            core = todo.pop()
+            if core.n_vertices > 1:
+                step = steps[core.code] = Step.to(core)
+                if step.parent.code not in have and step.parent.code not in missing:
+                    missing[step.parent.code] = step.parent
+                    todo.append(step.parent)
+        for size in sorted({p.n_vertices for p in missing.values()}):
+            new = {c: p for c, p in missing.items() if p.n_vertices == size}
+            if size == 1:
+                made = self.vertices(new)
+            else:
+                made = self.grown(self.of({steps[c].parent.code for c in new}), {c: (p, steps[c]) for c, p in new.items()}, asked)
+            made = self.put(made)
+            self.rows += made.count()
+            self.tables.append((set(new), made))
+        return self.of(set(cores))
+
+    def of(self, codes: set[str]) -> DataFrame:
+        numbers = _table(self.spark, [(self.numbers[c],) for c in sorted(codes)], "cid int")
+        parts = [table for own, table in self.tables if own & codes]
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out.join(numbers, "cid", "left_semi")
+
+    def vertices(self, cores: dict[str, Pattern]) -> DataFrame:
+        wanted = _table(self.spark, [(self.number(p), p.labels[0]) for p in cores.values()], "cid int, label int")
+        rows = self.around.join(wanted, "label")
+        return rows.select("cid", F.array("v").alias("m"), F.array("near").alias("near"), F.lit(float("inf")).alias("bw"), F.col("weight").alias("vbw"))
+
+    def grown(self, parents: DataFrame, cores: dict[str, tuple[Pattern, Step]], asked: dict[str, list[list[tuple]]]) -> DataFrame:
+        """Occurrences of cores by one position more. Each restricts to exactly one occurrence of its parent, so the list is
+        complete and free of repeats. asked: groups of leaves of the candidates of a core, if there are any yet: a row stays if
+        those of one may be found, judged by numbers of neighbours, of the parent's positions before it grows."""
+
+        def wanted(p: Pattern, s: Step, new: bool) -> list:
+            sets = asked.get(p.code, []) if self.reduce else []
+            at = (lambda u: u) if new else (lambda u: s.places[u])
+            return [[{"u": at(u), "lb": lb, "el": el, "r": r} for u, lb, el, r in groups if at(u) >= 0] for groups in sets]
+
+        rows = [(self.number(p), self.number(s.parent), s.label, [{"u": u, "el": el} for u, el in s.edges], list(s.places), wanted(p, s, False), wanted(p, s, True)) for p, s in cores.values()]
+        group = "array<array<struct<u:int,lb:int,el:int,r:int>>>"
+        steps = _table(self.spark, rows, f"child int, cid int, lb int, ext array<struct<u:int,el:int>>, places array<int>, before {group}, after {group}")
+        hold = lambda sets: (F.size(sets) == 0) | F.exists(sets, lambda x: F.forall(x, lambda y: F.coalesce(_around(y["u"], y["lb"], y["el"])["n"] >= y["r"], F.lit(False))))
+        sizes = F.transform("ext", lambda x, i: F.struct(_around(x["u"], F.col("lb"), x["el"])["n"].alias("n"), i.alias("i")))
+        open_ = once(parents.join(steps, "cid").where(hold("before")), sizes=sizes).where(F.forall("sizes", lambda x: x["n"].isNotNull())).drop("before")
+        first = F.array_min("sizes")["i"]
+        open_ = once(open_.withColumnRenamed("ext", "given"), ext=F.concat(F.slice("given", first + 1, 1), F.filter("given", lambda x, i: i != first))).drop("sizes", "given")
+        leg = F.get("ext", F.lit(0))
+        rows = open_.withColumn("src", F.get("m", leg["u"])).withColumn("el", leg["el"]).withColumnRenamed("lb", "ld").join(self.adj, ["src", "ld", "el"])
+        rows = rows.where(~F.array_contains("m", F.col("dst"))).withColumn("bw", F.least("bw", "w")).drop("src", "ld", "el", "w")
+        # the edges that close cycles, one after the other
+        for k in range(1, max(len(s.edges) for _, s in cores.values())):
+            more, done = rows.where(F.size("ext") > k), rows.where(F.size("ext") <= k)
+            leg = F.get("ext", F.lit(k))
+            more = more.withColumn("src", F.get("m", leg["u"])).withColumn("el", leg["el"]).join(self.adj.drop("ld"), ["src", "dst", "el"])
+            rows = done.unionByName(more.withColumn("bw", F.least("bw", "w")).drop("src", "el", "w"))
+        rows = rows.join(self.around.select(F.col("v").alias("dst"), "weight", F.col("near").alias("own")), "dst")
+        placed = lambda old, new: F.transform("places", lambda i: F.when(i < 0, F.col(new)).otherwise(F.get(old, i)))
+        rows = once(rows.withColumnsRenamed({"m": "old", "near": "older"}), m=placed("old", "dst"), near=placed("older", "own"))
+        return rows.where(hold("after")).select(F.col("child").alias("cid"), "m", "near", "bw", F.least("vbw", "weight").alias("vbw"))
+
+    def measure(self, patterns: dict[int, Pattern], min_sup: int = 1) -> dict[int, tuple[int, float, float]]:
+        """(support, weight, vertex weight) of each pattern that has an occurrence; of one whose core has fewer images than
+        min_sup the support is that number, and its leaves aren't looked at. A row per pattern and position comes back."""
+        if not patterns:
+            return {}
+        self.list_at_least(max(p.n_vertices for p in patterns.values()) + 1)
+        shapes = {k: Shape.of(p) for k, p in patterns.items()}
+        fits = self.fitting(self.need(shapes.values()), shapes).cache()
+        core = bitmap_counts(fits.select("pid", F.posexplode("m").alias("pos", "v"), "bw", "vbw"), ["pid", "pos"], "v", F.max("bw").alias("bw"), F.max("vbw").alias("vbw"))
+        least, weights = {}, {}
+        for r in core.collect():
+            least[r["pid"]] = min(r["n"], least.get(r["pid"], r["n"]))
+            weights[r["pid"]] = (r["bw"], r["vbw"])
+        frequent = {k: shapes[k] for k, n in least.items() if n >= min_sup and shapes[k].groups}
+        if frequent:
+            for r in self.leaf_images(fits, frequent).collect():
+                least[r["pid"]] = min(r["n"], least[r["pid"]])
+        fits.unpersist()
+        return {k: (n, *weights[k]) for k, n in least.items()}
+
+    def fitting(self, cores: DataFrame, shapes: dict[int, Shape]) -> DataFrame:
+        """(pid, m, bw, vbw, held) of the core rows on which a pattern's leaves find distinct vertices, with the weights of
+        the best choice; held has for each group the vertices that it may not take."""
+        parts = [self.fitted(cores, own, bool(rivals)) for rivals in (0, 1) if (own := {k: s for k, s in shapes.items() if bool(s.rivals()) == bool(rivals)})]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def fitted(self, cores: DataFrame, shapes: dict[int, Shape], rivals: bool) -> DataFrame:
+        """fitting() of patterns that all have, or all don't have, groups that compete."""
+        rows = [
+            (k, self.number(s.core), [{"u": u, "lb": lb, "el": el, "r": r, "least": s.least(i), "others": s.others(i)} for i, (u, lb, el, r) in enumerate(s.groups)], [{"members": x, "need": n} for x, n in s.rivals()])
+            for k, s in shapes.items()
+        ]
+        wanted = _table(self.spark, rows, "pid int, cid int, groups array<struct<u:int,lb:int,el:int,r:int,least:int,others:array<int>>>, rivals array<struct<members:array<int>,need:int>>")
+        found = F.transform("groups", lambda x: F.struct(*[x[c].alias(c) for c in ("r", "least", "others")], _around(x["u"], x["lb"], x["el"]).alias("near")))
+        rows = once(cores.join(wanted, "cid"), found=found).where(F.forall("found", lambda x: F.coalesce(x["near"]["n"] >= x["least"], F.lit(False))))
+        own = lambda x: F.transform(x["others"], lambda i: F.get("m", i))
+        # of each group the candidates by edge and by end, without core vertices of the row
+        open_ = lambda x, list_: F.filter(x["near"][list_], lambda y: ~F.array_contains(x["own"], y["v"]))
+        if any(o for s in shapes.values() for k in range(len(s.groups)) for o in [s.others(k)]):
+            rows = once(rows.withColumnRenamed("found", "seen"), found=F.transform("seen", lambda x: F.struct(x["r"].alias("r"), own(x).alias("own"), x["near"].alias("near"))))
+            rows = once(rows, free=F.transform("found", lambda x: F.struct(x["r"].alias("r"), x["own"].alias("own"), open_(x, "top").alias("top"), open_(x, "topv").alias("topv"))))
+            rows = rows.where(F.forall("free", lambda x: F.size(x["top"]) >= x["r"]))
+        else:
+            none = F.array().cast("array<long>")
+            rows = once(rows, free=F.transform("found", lambda x: F.struct(x["r"].alias("r"), none.alias("own"), x["near"]["top"].alias("top"), x["near"]["topv"].alias("topv"))))
+        # the smallest weight of the best choice of leaves: of each group the r-th
+        best = lambda list_: F.coalesce(F.array_min(F.transform("free", lambda x: F.get(x[list_], x["r"] - 1)["w"])), F.lit(float("inf")))
+        rows = once(rows, low=best("top"), lowv=best("topv"))
+        held = F.transform("free", lambda x: x["own"])
+        if rivals:
+            many = lambda s, list_, least=None: F.size(F.array_distinct(F.flatten(F.transform(s["members"], lambda i: F.transform(F.get("free", i)[list_] if least is None else F.filter(F.get("free", i)[list_], lambda y: y["w"] >= least), lambda y: y["v"])))))
+            rows = once(rows, spare=F.transform("rivals", lambda s: many(s, "top") - s["need"])).where(F.forall("spare", lambda n: n >= 0))
+            # where groups compete, the largest weight at which all sets still have as many candidates as they need
+            whole = lambda list_, t: F.forall("rivals", lambda s: many(s, list_, t) >= s["need"])
+            tried = lambda list_, most: F.when(whole(list_, F.col(most)), F.col(most)).otherwise(highest(list_, most))
+            highest = lambda list_, most: F.array_max(F.filter(F.array_distinct(F.flatten(F.transform("free", lambda x: F.transform(x[list_], lambda y: y["w"])))), lambda t: (t < F.col(most)) & whole(list_, t)))
+            tight = F.filter("rivals", lambda s, k: F.get("spare", k) == 0)
+            rows = once(rows.withColumnsRenamed({"low": "each", "lowv": "eachv"}), low=tried("top", "each"), lowv=tried("topv", "eachv"), tight=tight)
+            taken = lambda i: F.flatten(F.transform(F.filter("tight", lambda s: ~F.array_contains(s["members"], i)), lambda s: F.flatten(F.transform(s["members"], lambda k: F.transform(F.get("free", k)["top"], lambda y: y["v"])))))
+            held = F.transform("free", lambda x, i: F.array_union(x["own"], taken(i)))
+        return rows.select("pid", "m", F.least("bw", "low").alias("bw"), F.least("vbw", "lowv").alias("vbw"), held.alias("held"))
+
+    def leaf_images(self, fits: DataFrame, shapes: dict[int, Shape]) -> DataFrame:
+        """(pid, pos, n): how many vertices the leaves of each group are mapped to. Rows are gathered by the vertex that the
+        leaves hang on: a neighbour is an image unless all rows of that vertex hold it back."""
+        rows = [(k, LEAVES + i, u, lb, el, bool(s.others(i) or s.rivals())) for k, s in shapes.items() for i, (u, lb, el, _) in enumerate(s.groups)]
+        wanted = _table(self.spark, rows, "pid int, pos int, u int, ld int, el int, held_back boolean")
+        at = fits.select("pid", "m", "held").join(wanted, "pid").select("pid", "pos", "ld", "el", F.get("m", "u").alias("src"), F.when(F.col("held_back"), F.get("held", F.col("pos") - LEAVES)).alias("held"))
+        keys = ["pid", "pos", "src"]
+        hung = at.groupBy(*keys, "ld", "el").agg(F.count("*").alias("rows"))
+        images = hung.join(self.adj.select("src", "ld", "el", "dst"), ["src", "ld", "el"])
+        if any(r[-1] for r in rows):
+            held = at.where(F.size("held") > 0).select(*keys, F.explode("held").alias("dst")).groupBy(*keys, "dst").agg(F.count("*").alias("times"))
+            images = images.join(held, [*keys, "dst"], "left").where("times is null or times < rows")
+        return bitmap_counts(images, ["pid", "pos"], "dst")

@@ -156,6 +156,12 @@ def canonical_code(p: Pattern) -> str:
     return " ".join(map(str, labels)) + "|" + ";".join(f"{u} {v} {el}" for u, v, el in edges)
 
 
+def canonical_order(p: Pattern) -> list[int]:
+    """The positions in the order in which the least way writes them."""
+    ranks = {x: k for k, x in enumerate(sorted(set(p.labels)))}
+    return min(_orders(p, [ranks[x] for x in p.labels]), key=lambda o: _written(p, o))
+
+
 def brute_force_code(p: Pattern) -> str:
     """The same partition into classes by trying every order; for checks on small patterns."""
     labels, edges = min(_written(p, list(o)) for o in permutations(range(p.n_vertices)))

@@ -16,12 +16,22 @@ from pyspark.sql import functions as F
 from lattica.sources.graph import Graph
 
 
+def bitmap_counts(rows: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
+    """(keys, n, more): distinct whole numbers of each key, counted in bitmaps of 32,768 of them. A task sends a bitmap for
+    each key and range of numbers that it has, not a row for each number, and nothing is dealt by number. more: maxima of
+    other columns by name, as max(x) AS x."""
+    x = F.col(value)
+    part = rows.groupBy(*keys, F.bitmap_bucket_number(x).alias("_bucket")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(x))).alias("_n"), *more)
+    names = [c for c in part.columns if c not in (*keys, "_bucket", "_n")]
+    return part.groupBy(*keys).agg(F.sum("_n").alias("n"), *[F.max(c).alias(c) for c in names])
+
+
 def image_support(rows: DataFrame, keys: list[str], positions: list[str], alias: str = "mni") -> DataFrame:
-    """(keys, mni): least count of distinct images. The long form keeps partial distinct counts per key and position,
-    where several distinct counts at once would expand every row."""
+    """(keys, mni): least count of distinct images. The long form keeps partial counts per key and position, where several
+    distinct counts at once would expand every row."""
     at = F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), F.col(c).alias("v")) for k, c in enumerate(positions)]))
-    images = rows.select(*keys, at.alias("i")).select(*keys, "i.pos", "i.v").distinct()
-    return images.groupBy(*keys, "pos").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.min("n").alias(alias))
+    images = rows.select(*keys, at.alias("i")).select(*keys, "i.pos", "i.v")
+    return bitmap_counts(images, [*keys, "pos"], "v").groupBy(*keys).agg(F.min("n").alias(alias))
 
 
 def measured(rows: DataFrame, keys: list[str], positions: list[str], weights: list[str], min_sup: int = 1) -> DataFrame:
@@ -136,18 +146,39 @@ def triangles(g: Graph, min_sup: int = 1) -> DataFrame:
 
 
 def four_cycles(g: Graph, min_sup: int = 1) -> DataFrame:
-    """(l0, l1, l2, l3, mni, max_w) of cycles v0 - v1 - v2 - v3, for graphs of one edge label: two two-paths with the
-    same ends. Labels are read from the corner and in the direction that give the least row."""
-    p, q = _adj(g, "p", "src", "dst", "ls", "ld", "w"), _adj(g, "q", "src", "dst", "ld", "w")
-    half = p.join(q, (F.col("p_src") == F.col("q_src")) & (F.col("p_dst") != F.col("q_dst"))).select(F.col("p_dst").alias("x"), F.col("q_dst").alias("y"), F.col("p_src").alias("m"), F.col("p_ls").alias("lm"), F.col("p_ld").alias("lx"), F.col("q_ld").alias("ly"), F.least("p_w", "q_w").alias("w"))
-    s, t = half.alias("s"), half.select("x", "y", "m", "lm", "w").alias("t")
-    rows = s.join(t, (F.col("s.x") == F.col("t.x")) & (F.col("s.y") == F.col("t.y")) & (F.col("s.m") != F.col("t.m")))
-    rows = rows.select(F.col("s.lx").alias("l0"), F.col("s.lm").alias("l1"), F.col("s.ly").alias("l2"), F.col("t.lm").alias("l3"), F.col("s.x").alias("v0"), F.col("s.m").alias("v1"), F.col("s.y").alias("v2"), F.col("t.m").alias("v3"), F.col("s.w").alias("w1"), F.col("t.w").alias("w2"))
-    ring = ["l0", "l1", "l2", "l3"]
-    turns = [ring[k:] + ring[:k] for k in range(4)] + [(ring[k:] + ring[:k])[::-1] for k in range(4)]
-    least = F.least(*[F.struct(*[F.col(c).alias(f"x{i}") for i, c in enumerate(turn)]) for turn in turns])
-    own = F.struct(*[F.col(c).alias(f"x{i}") for i, c in enumerate(ring)])
-    return measured(rows.where(own == least), ring, ["v0", "v1", "v2", "v3"], ["w1", "w2"], min_sup)
+    """(l0, l1, l2, l3, mni, max_w) of cycles v0 - v1 - v2 - v3, for graphs of one edge label, labels read from the corner and
+    in the direction that give the least row.
+
+    A cycle is found once, at its corner h of largest degree: two-paths h - m - o whose m and o are of less degree than h,
+    which a hub has no more of than its small neighbours have neighbours. The two-paths between two corners are counted by
+    the label of their middle and never paired: the middles of two labels, or of one label that has two, close cycles.
+    """
+    degree = g.adj.groupBy("src").agg(F.count("*").alias("n"))
+    ranked = g.adj.join(degree, "src").join(degree.toDF("dst", "nd"), "dst").withColumn("up", F.struct("n", "src") < F.struct(F.col("nd").alias("n"), F.col("dst").alias("src")))
+    up = ranked.where("up").select(F.col("src").alias("m"), F.col("ls").alias("lm"), F.col("dst").alias("h"), F.col("ld").alias("lh"), F.col("nd").alias("nh"), F.col("w").alias("wh"))
+    other = ranked.select(F.col("src").alias("m"), F.col("dst").alias("o"), F.col("ld").alias("lo"), F.col("nd").alias("no"), F.col("w").alias("wo"))
+    wedge = up.join(other, "m").where(F.struct(F.col("no").alias("n"), F.col("o").alias("v")) < F.struct(F.col("nh").alias("n"), F.col("h").alias("v")))
+    wedge = wedge.select("h", "lh", "o", "lo", "m", "lm", F.least("wh", "wo").alias("w"))
+    # the best and the second best two-path of each middle label
+    first = wedge.groupBy("h", "lh", "o", "lo", "lm").agg(F.count("*").alias("n"), F.max(F.struct("w", "m")).alias("top"))
+    second = wedge.join(first.select("h", "o", "lm", F.col("top.m").alias("best")), ["h", "o", "lm"]).where("m <> best").groupBy("h", "o", "lm").agg(F.max("w").alias("w2"))
+    sides = first.join(second, ["h", "o", "lm"], "left").select("h", "lh", "o", "lo", "lm", "n", F.col("top.w").alias("w1"), "w2")
+    x, y = sides.withColumnRenamed("lm", "l1").withColumnRenamed("n", "n1"), sides.select("h", "o", F.col("lm").alias("l3"), F.col("w1").alias("wy"))
+    found = x.join(y, ["h", "o"]).where("l1 < l3 or (l1 = l3 and n1 >= 2)")
+    found = found.select("h", "o", "lh", "l1", "lo", "l3", F.when(F.col("l1") == F.col("l3"), F.col("w2")).otherwise(F.least("w1", "wy")).alias("w"))
+    ring, corner = ["l0", "l1", "l2", "l3"], ["lh", "l1", "lo", "l3"]
+    ways = [[(k + i) % 4 for i in range(4)] for k in range(4)] + [[(k - i) % 4 for i in range(4)] for k in range(4)]
+    read = lambda way: F.struct(*[F.col(corner[c]).alias(r) for c, r in zip(way, ring)])
+    least = F.least(*[read(way) for way in ways])
+    turns = F.array_compact(F.array(*[F.when(read(way) == least, F.array(*[F.lit(c) for c in way])) for way in ways]))
+    rows = found.select("h", "o", F.col("l1").alias("m1"), F.col("l3").alias("m3"), "w", least.alias("ring"), turns.alias("turns"))
+    best = rows.groupBy("ring").agg(F.max("w").alias("max_w"))
+    at = rows.select("h", "o", "m1", "m3", "ring", F.explode(F.array_distinct("turns")).alias("turn")).select("h", "o", "m1", "m3", "ring", F.posexplode("turn").alias("pos", "who"))
+    ends = at.where("who in (0, 2)").select("ring", "pos", F.when(F.col("who") == 0, F.col("h")).otherwise(F.col("o")).alias("v"))
+    middles = at.where("who in (1, 3)").select("ring", "pos", "h", "o", F.when(F.col("who") == 1, F.col("m1")).otherwise(F.col("m3")).alias("lm")).distinct()
+    middles = middles.join(wedge.select("h", "o", "lm", F.col("m").alias("v")), ["h", "o", "lm"]).select("ring", "pos", "v")
+    support = bitmap_counts(ends.unionByName(middles), ["ring", "pos"], "v").groupBy("ring").agg(F.min("n").alias("mni")).where(F.col("mni") >= min_sup)
+    return support.join(best, "ring").select(*[F.col(f"ring.{c}").alias(c) for c in ring], "mni", "max_w")
 
 
 def three_stars(g: Graph, min_sup: int = 1) -> DataFrame:

@@ -397,7 +397,7 @@ def mine_edge_labels(spark, sf_dir):
 
 @query("upper_median", "SELECT o_orderpriority, list_sort(list(o_totalprice))[floor(count(*) / 2)::BIGINT + 1] AS median FROM orders GROUP BY 1")
 def upper_median(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").agg(index.upper_median(F.col("o_totalprice")).alias("median"))
+    return index.upper_median(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderpriority"], "o_totalprice")
 
 
 _RESULTS = """r AS (SELECT 'd' || c_nationkey % 7 AS dataset, 'a' || c_custkey % 4 AS algorithm, (c_nationkey % 3)::INTEGER AS min_sup, 1.0::DOUBLE AS min_weight, 0::BIGINT AS budget,

@@ -6,19 +6,18 @@ import logging
 import threading
 import time
 import uuid
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
-import numpy as np
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import weight_text
-from lattica.operators import index, match, search
-from lattica.operators.pattern import Growth, Pattern, grow
+from lattica.operators import index, match
+from lattica.operators.pattern import Pattern, grow
 from lattica.plans.strategies import Measured, Strategy, Unweighted
-from lattica.sources.graph import Graph
+from lattica.sources.graph import Graph, on_tables
 
 log = logging.getLogger(__name__)
 
@@ -27,25 +26,16 @@ RESULT = "code string, n_vertices int, n_edges int, labels array<int>, edges arr
 
 @dataclass(frozen=True)
 class Options:
-    """Each leaves the result as it is, but for max_edges, budget and limit_s.
-
-    apriori: refuse candidates with an infrequent connected part of one edge less. send: directed edges up to which the
-    graph is sent to the tasks as arrays, 0 for never; a larger one is mined by occurrence tables. rows: occurrences
-    that are enumerated for a candidate of a sent graph, beyond which its vertices are searched one at a time.
-    table_rows: of a graph that isn't sent, occurrence rows that a level may build before its largest candidates are
-    searched on the arrays, if the graph is under search.LARGEST, else they are built all the same and spill. budget: steps of a
-    search, 0 for no bound. reductions: of a sent graph's domains. limit_s: after so many seconds the running job is
-    cancelled, and the result says that it timed out. slow_s: levels, and candidates of a sent graph, that take longer are
-    logged.
+    """Each leaves the result as it is, but for max_edges and limit_s.
+
+    apriori: refuse candidates with an infrequent connected part of one edge less. reduce: list only core occurrences around
+    which some candidate's leaves may be found. limit_s: after so many seconds the running job is cancelled, and the result
+    says that it timed out. slow_s: levels that take longer are logged.
     """
 
     max_edges: int | None = None
     apriori: bool = True
-    send: int = search.LARGEST
-    rows: int = 2_000_000
-    table_rows: int = 20_000_000
-    budget: int = 0
-    reductions: search.Reductions = search.Reductions()
+    reduce: bool = True
     limit_s: float | None = None
     slow_s: float | None = None
 
@@ -58,7 +48,7 @@ class Counters:
     pruned_by_strategy: int = 0
     pruned_by_structure: int = 0
     pruned_by_weight: int = 0
-    searches_ended: int = 0
+    rows_listed: int = 0
     levels: int = 0
     seconds: float = 0.0
 
@@ -109,114 +99,29 @@ class Deadline:
         return self.over and kind is not None and issubclass(kind, (PySparkException, Py4JError))
 
 
-class _Tables:
-    """Measures by occurrence tables, for graphs of any size."""
-
-    def __init__(self, g: Graph, options: Options):
-        self.g, self.options, self.table, self.tabled, self.sent = g, options, None, set(), None
-
-    def level(self, level: dict[int, Pattern], growths: dict[int, tuple[int, Growth]], min_sup: int) -> tuple[dict[int, tuple], int]:
-        if self.table is None and not growths:
-            following, tabled = match.seed(self.g, level), set(level)
-        else:
-            by_table = {k: v for k, v in growths.items() if v[0] in self.tabled}
-            sizes = match.expected(self.g, self.table, by_table) if by_table else {}
-            total, over = 0, []
-            for k in sorted(by_table, key=lambda k: sizes.get(k, 0)):
-                total += sizes.get(k, 0)
-                if total > self.options.table_rows:
-                    over.append(k)
-            if over and self.small() is not None:
-                for k in over:
-                    by_table.pop(k)
-            following, tabled = match.grown(self.g, self.table, by_table) if by_table else None, set(by_table)
-        measures: dict[int, tuple] = {}
-        if following is not None:
-            following = following.cache()
-            measures = match.measure(following)
-        self.close()
-        self.table, self.tabled = following, tabled
-        rest = {k: p for k, p in level.items() if k not in tabled}
-        found, ended = self.small().measure(rest, min_sup, self.options.rows, self.options.budget, self.options.reductions) if rest else ({}, 0)
-        return measures | {k: (s.mni, s.bottleneck, s.vertex_bottleneck) for k, s in found.items()}, ended
-
-    def small(self) -> search.Sent | None:
-        if self.sent is None:
-            arrays = search.arrays(self.g)
-            self.sent = search.Sent(self.g.adj.sparkSession, arrays) if arrays is not None else None
-        return self.sent
-
-    def close(self) -> None:
-        if self.table is not None:
-            self.table.unpersist()
-
-
-class _Arrays:
-    """Measures on a graph that was sent to the tasks, one job for a level."""
-
-    #: Bytes of parents' images that are kept for the next level; beyond, its domains start from labels alone.
-    KEPT = 64 << 20
-
-    def __init__(self, sent: search.Sent, options: Options):
-        self.sent, self.options, self.images = sent, options, {}
-
-    def level(self, level: dict[int, Pattern], growths: dict[int, tuple[int, Growth]], min_sup: int) -> tuple[dict[int, tuple], int]:
-        o = self.options
-        parents = {k: self.images[growths[k][0]] for k in level if k in growths and growths[k][0] in self.images}
-        found, ended = self.sent.measure(level, min_sup, o.rows, o.budget, o.reductions, parents)
-        for k, s in found.items():
-            if o.slow_s is not None and s.seconds > o.slow_s:
-                log.warning("candidate %s took %.1f s", level[k].code, s.seconds)
-        # images that a budget cut short are no bound of the child's
-        keep = o.reductions.inherit and not ended and sum(x.nbytes for s in found.values() for x in s.images) <= self.KEPT
-        self.images = {k: s.images for k, s in found.items() if s.mni >= min_sup} if keep else {}
-        return {k: (s.mni, s.bottleneck, s.vertex_bottleneck) for k, s in found.items()}, ended
-
-    def close(self) -> None:
-        self.images = {}
-
-
-def mine(g: Graph, min_sup: int, strategy: Strategy | None = None, options: Options = Options(), sent: search.Sent | None = None) -> Mined:
+def mine(g: Graph, min_sup: int, strategy: Strategy | None = None, options: Options = Options()) -> Mined:
     """All connected patterns of one edge or more with support of at least min_sup that the strategy accepts.
 
-    Per level, candidates of all frontier patterns are pruned on the driver and measured together. The graph's adjacency
-    is cached while mining, unless the caller has cached it. sent: the graph, if the caller has sent it already; then
-    several runs share it.
+    Per level, candidates of all frontier patterns are pruned on the driver and measured together on the graph's tables,
+    which are written to the shared folder first; runs on one graph share them inside on_tables().
     """
     strategy = strategy or Unweighted()
     began = time.monotonic()
-    spark = g.adj.sparkSession
-    counters, result = Counters(), []
-    cached = g.adj.storageLevel.useMemory or g.adj.storageLevel.useDisk
-    adj, own, measures = g.adj if cached or sent is not None else g.adj.cache(), None, None
-    g = replace(g, adj=adj)
-    with Deadline(spark, options.limit_s) as deadline:
-        if sent is None and options.send:
-            found = search.arrays(g, min(options.send, search.LARGEST))
-            sent = own = search.Sent(spark, found) if found is not None else None
-        strategy.prepare(g, min_sup, sent)
-        measures = _Arrays(sent, options) if sent is not None else _Tables(g, options)
-        _levels(g, min_sup, strategy, options, measures, counters, result, deadline)
-    if measures is not None:
-        measures.close()
-    for x in {id(x): x for x in (own, getattr(measures, "sent", None) if sent is None else None) if x is not None}.values():
-        x.close()
-    if not cached and adj is not None:
-        adj.unpersist()
+    counters, result, found = Counters(), [], []
+    with Deadline(g.adj.sparkSession, options.limit_s) as deadline, on_tables(g) as own:
+        strategy.prepare(own, min_sup)
+        _levels(own, min_sup, strategy, options, found, counters, result, deadline)
+    for occurrences in found:
+        occurrences.close()
     counters.frequent = len(result)
     counters.seconds = time.monotonic() - began
     result.sort(key=lambda x: (x[0].n_edges, x[0].code))
     return Mined(result, counters, deadline.over, {p.code for p, _ in result})
 
 
-def _levels(g: Graph, min_sup: int, strategy: Strategy, options: Options, measures: _Tables | _Arrays, counters: Counters, result: list, deadline: Deadline) -> None:
-    if isinstance(measures, _Arrays):
-        arrays = measures.sent.g
-        labels = {int(x) for x, n in zip(*np.unique(arrays.label, return_counts=True)) if n >= min_sup}
-        triples = set(arrays.triples())
-    else:
-        labels = {r["label"] for r in index.frequent_labels(g, min_sup).collect()}
-        triples = {tuple(r) for r in index.edge_triples(g).collect()}
+def _levels(g: Graph, min_sup: int, strategy: Strategy, options: Options, found: list[match.Occurrences], counters: Counters, result: list, deadline: Deadline) -> None:
+    labels = {r["label"] for r in index.frequent_labels(g, min_sup).collect()}
+    triples = {tuple(r) for r in index.edge_triples(g).collect()}
     edge_labels = {t[2] for t in triples}
     seen, frequent = set(), set()
 
@@ -234,36 +139,30 @@ def _levels(g: Graph, min_sup: int, strategy: Strategy, options: Options, measur
         return True
 
     first = [Pattern.single_edge(*t) for t in sorted(triples) if t[0] in labels and t[1] in labels]
-    level: dict[int, Pattern] = {k: p for k, p in enumerate(p for p in first if considered(p))}
-    growths: dict[int, tuple[int, Growth]] = {}
+    level = [p for p in first if considered(p)]
+    found.append(match.Occurrences(g, labels, options.reduce))
     while level:
         counters.levels += 1
         at = time.monotonic()
-        measured, ended = measures.level(level, growths, min_sup)
-        counters.searches_ended += ended
+        measured = found[0].measure(dict(enumerate(level)), min_sup)
+        counters.rows_listed = found[0].rows
         if options.slow_s is not None and time.monotonic() - at > options.slow_s:
             log.warning("level %d: %d candidates took %.1f s", counters.levels, len(level), time.monotonic() - at)
-        frontier: dict[int, Pattern] = {}
-        for k, p in level.items():
+        frontier: list[Pattern] = []
+        for k, p in enumerate(level):
             m = Measured(*measured.get(k, (0, None, None)))
             if m.mni < min_sup:
                 continue
             frequent.add(p.code)
             if strategy.extended(p, m):
-                frontier[k] = p
+                frontier.append(p)
             if strategy.accepted(p, m):
                 result.append((p, m))
         if options.max_edges and counters.levels >= options.max_edges:
             return
         if frontier and deadline.passed():
             return
-        growths = {}
-        for k, p in frontier.items():
-            for x in grow(p, labels, edge_labels, triples):
-                if considered(x.child):
-                    # numbers go on over levels, so that a child's is never its parent's
-                    growths[len(seen)] = (k, x)
-        level = {k: x.child for k, (_, x) in growths.items()}
+        level = [x.child for p in frontier for x in grow(p, labels, edge_labels, triples) if considered(x.child)]
     deadline.over = False
 
 

@@ -6,8 +6,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 from lattica.operators import index, support
-from lattica.operators.pattern import Pattern, grow
-from lattica.operators.search import Sent
+from lattica.operators.pattern import Pattern
 from lattica.sources.graph import Graph
 
 
@@ -23,8 +22,8 @@ class Measured:
 class Strategy(Protocol):
     name: str
 
-    def prepare(self, g: Graph, min_sup: int, sent: Sent | None = None) -> None:
-        """What the strategy needs of the graph, which is also given as arrays if it was sent to the tasks."""
+    def prepare(self, g: Graph, min_sup: int) -> None:
+        """What the strategy needs of the graph."""
 
     def pruned(self, p: Pattern) -> str | None:
         """The counter of the filter that refuses a candidate before its support is known."""
@@ -38,7 +37,7 @@ class Strategy(Protocol):
 class Unweighted:
     name: str = "none"
 
-    def prepare(self, g: Graph, min_sup: int, sent: Sent | None = None) -> None:
+    def prepare(self, g: Graph, min_sup: int) -> None:
         pass
 
     def pruned(self, p: Pattern) -> str | None:
@@ -72,14 +71,12 @@ class EdgeBottleneck:
     def name(self) -> str:
         return self.filter
 
-    def prepare(self, g: Graph, min_sup: int, sent: Sent | None = None) -> None:
+    def prepare(self, g: Graph, min_sup: int) -> None:
         """The table of two-edge patterns doesn't depend on the threshold, so a sweep can share it."""
         if self.prepared:
             return
         if self.filter == "lookup":
-            self.table = lookup_table(g, min_sup, sent)
-        elif sent is not None:
-            self.best = sent.g.triples()
+            self.table = lookup_table(g, min_sup)
         else:
             self.best = {(r["la"], r["lb"], r["el"]): r["max_w"] for r in index.triple_max_weight(g).collect()}
 
@@ -112,11 +109,7 @@ class VertexBottleneck:
     name: str = "vertex"
     weighty: set[tuple[int, int, int]] = field(default_factory=set, repr=False)
 
-    def prepare(self, g: Graph, min_sup: int, sent: Sent | None = None) -> None:
-        if sent is not None:
-            heavy = sent.g.weight >= self.least
-            self.weighty = set(sent.g.triples(heavy[sent.g.src] & heavy[sent.g.dst]))
-            return
+    def prepare(self, g: Graph, min_sup: int) -> None:
         self.weighty = {tuple(r) for r in index.weighty_triples(g, self.least).collect()}
 
     def pruned(self, p: Pattern) -> str | None:
@@ -129,17 +122,6 @@ class VertexBottleneck:
         return self.accepted(p, m) if self.cut else True
 
 
-def lookup_table(g: Graph, min_sup: int, sent: Sent | None = None) -> dict[str, float]:
+def lookup_table(g: Graph, min_sup: int) -> dict[str, float]:
     """code -> best weight of each frequent two-edge pattern; at most one entry per label combination."""
-    if sent is None:
-        frequent = support.two_paths(g, min_sup)
-        return {Pattern.of([r["a"], r["b"], r["c"]], [(0, 1, r["e1"]), (1, 2, r["e2"])]).code: r["max_w"] for r in frequent.collect()}
-    triples = set(sent.g.triples())
-    labels, edge_labels = {x for t in triples for x in t[:2]}, {t[2] for t in triples}
-    one = {k: Pattern.single_edge(*t) for k, t in enumerate(sorted(triples))}
-    measured, _ = sent.measure(one, min_sup)
-    good = {p.code: p for k, p in one.items() if measured[k].mni >= min_sup}
-    two = {x.child.code: x.child for p in good.values() for x in grow(p, labels, edge_labels, triples) if x.kind == "leaf" and all(q.code in good for q in x.child.smaller())}
-    numbered = dict(enumerate(two.values()))
-    measured, _ = sent.measure(numbered, min_sup)
-    return {p.code: measured[k].bottleneck for k, p in numbered.items() if measured[k].mni >= min_sup}
+    return {Pattern.of([r["a"], r["b"], r["c"]], [(0, 1, r["e1"]), (1, 2, r["e2"])]).code: r["max_w"] for r in support.two_paths(g, min_sup).collect()}

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import jaccard_percent, priority_label, quantile_label, shifted_trust
-from lattica.sources.graph import Graph, make_graph, numbered
+from lattica.sources.graph import Graph, make_graph
+from lattica.sources.ranks import numbered_by_range
 
-#: Ids, and first characters of texts, that are numbered in one task.
-RUN, PREFIX = 1 << 20, 12
+#: Users of a slot that are paired in one task; a slot of more is dealt to blocks.
+BLOCK = 1024
 
 
 def interaction_edges(rows: DataFrame, threshold: int, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -28,9 +29,7 @@ def degree_labels(edges: DataFrame, buckets: int = 5) -> DataFrame:
     """(id, label): activity classes of equal size, by rank of (degree, id)."""
     ends = edges.select(F.col("a").alias("id")).unionAll(edges.select("b"))
     degree = ends.groupBy("id").agg(F.count("*").alias("degree"))
-    # vertices of one degree are split by id into runs
-    part = F.struct("degree", F.floor(F.col("id") / RUN).alias("run"))
-    ranked = numbered(degree.withColumn("part", part), "part", ["degree", "id"], "rank").crossJoin(degree.agg(F.count("*").alias("n")))
+    ranked = numbered_by_range(degree, ["degree", "id"], "rank").crossJoin(degree.agg(F.count("*").alias("n")))
     return ranked.select("id", quantile_label(F.col("rank"), F.col("n"), buckets).alias("label"))
 
 
@@ -47,9 +46,8 @@ def place_labels(terms: DataFrame, category: str) -> DataFrame:
 
 
 def dense(keys: DataFrame) -> DataFrame:
-    """(key, id): dense ids in order of key, a text; texts with the same beginning are numbered together."""
-    own = keys.select("key").distinct().withColumn("part", F.substring("key", 1, PREFIX))
-    return numbered(own, "part", ["key"], "id").select("key", "id")
+    """(key, id): dense ids in order of key, a text."""
+    return numbered_by_range(keys.select("key").distinct(), ["key"], "id")
 
 
 def read_trust_csv(spark: SparkSession, path: str) -> Graph:
@@ -111,8 +109,20 @@ def trade_graph(spark: SparkSession, sf_dir: str, least_lines: int = 2) -> Graph
 def event_graph(spark: SparkSession, sf_dir: str, least_shared: int = 4) -> Graph:
     """Users that share an event type within an hour; weight: the number of shared (type, hour) slots."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", F.date_trunc("hour", "ts").alias("h")).distinct()
-    x, y = e.alias("x"), e.alias("y")
-    # a slot's pairs are the graph's own edges, so their number is that of the result before its threshold
-    pairs = x.join(y, (F.col("x.event_type") == F.col("y.event_type")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.user_id") < F.col("y.user_id")))
-    edges = pairs.groupBy(F.col("x.user_id").alias("a"), F.col("y.user_id").alias("b")).agg(F.count("*").cast("double").alias("w")).where(F.col("w") >= least_shared).select("a", "b", F.lit(0).alias("el"), "w")
+    shared = slot_pairs(e, ["event_type", "h"], "user_id").groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
+    edges = shared.where(F.col("w") >= least_shared).select("a", "b", F.lit(0).alias("el"), "w")
     return make_graph(e.select(F.col("user_id").alias("id"), (F.col("user_id") % 5).cast("int").alias("label")).distinct(), edges)
+
+
+def slot_pairs(rows: DataFrame, slot: list[str], user: str, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: the pairs of users of each slot, once for each slot; rows (slot, user) are distinct.
+
+    A slot's pairs are the graph's own edges before a threshold. The users of a large slot are dealt to blocks by hash, and
+    the join is by pairs of blocks, so that no task has more than about `block` users of it on either side.
+    """
+    blocks = rows.groupBy(*slot).agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    own = rows.join(blocks, slot).select(*slot, F.col(user).alias("u"), F.pmod(F.xxhash64(user), F.col("k")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    own = own.select(*slot, "u", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    x = own.where("own = lo").select(*slot, "lo", "hi", F.col("u").alias("x"))
+    y = own.where("own = hi").select(*slot, "lo", "hi", F.col("u").alias("y"))
+    return x.join(y, [*slot, "lo", "hi"]).where("x < y or (lo < hi and x <> y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.sources.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -20,6 +24,7 @@ class Graph:
     vertices: DataFrame
     edges: DataFrame
     adj: DataFrame
+    written: bool = False
 
     def cached(self) -> Graph:
         return Graph(self.vertices.cache(), self.edges.cache(), self.adj.cache())
@@ -29,6 +34,24 @@ class Graph:
             df.unpersist()
 
 
+@contextmanager
+def on_tables(g: Graph) -> Iterator[Graph]:
+    """The graph as tables of the shared folder, which are deleted at the end; one that is written already comes as it is.
+
+    What is planned on it again and again then starts from a scan, whatever the graph was derived from.
+    """
+    if g.written:
+        yield g
+        return
+    scratch = Scratch(g.adj.sparkSession, "graph")
+    try:
+        adj = scratch.put(g.adj)
+        edges = adj.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "el", "w")
+        yield Graph(scratch.put(g.vertices), edges, adj, True)
+    finally:
+        scratch.close()
+
+
 def both_directions(edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "el", "w")
     return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "el", "w").unionByName(back)

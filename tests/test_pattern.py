@@ -3,7 +3,6 @@ from itertools import permutations
 
 import pytest
 
-from lattica.operators import voting
 from lattica.operators.pattern import Growth, Pattern, brute_force_code, grow
 
 PATH = Pattern.of([1, 2, 1], [(0, 1, 0), (1, 2, 0)])
@@ -72,14 +71,3 @@ def test_growth_needs_present_triples():
     assert [(g.kind, g.u, g.label) for g in got] == [("leaf", 0, 2), ("leaf", 1, 1)]
     chords = [g for g in grow(PATH, [1, 2], [0], {(1, 1, 0), (1, 2, 0)}) if g.kind == "chord"]
     assert chords == [Growth(PATH.with_chord(0, 2), "chord", 0, 2, 1, 0)]
-
-
-def test_voting():
-    d, g, w = [100, 5, 100, 100], [1, 1, 4, 1], [90, 90, 90, 10]
-    assert voting.BY_DOMAIN.pivot(d, g, w) == 1 and voting.BY_DEGREE.pivot(d, g, w) == 2 and voting.BY_WEIGHT.pivot(d, g, w) == 3
-    assert voting.BALANCED.pivot([3, 3], [1, 1], [2, 2]) == 0
-    assert voting.BY_WEIGHT.scores([1, 1], [1, 1], [float("inf")] * 2) == [0, 0]
-    assert voting.BALANCED.order([9, 1, 9], [1, 1, 1], [5, 5, 5]) == [1, 0, 2]
-    assert voting.next_to(PATH, [2, 0, 1], 0) == [0, 1, 2]
-    with pytest.raises(ValueError):
-        voting.Voter(-1, 0, 0)

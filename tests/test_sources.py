@@ -1,6 +1,8 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.functions import scalars
 from lattica.operators import index
@@ -121,3 +123,29 @@ def test_index(spark):
     assert [tuple(r) for r in index.weighty_triples(g, 5.0).collect()] == [(1, 2, 0)]
     assert [r.w for r in index.weight_grid(g, [0.0, 0.5, 1.0]).orderBy("q").collect()] == [4.0, 4.0, 6.0]
     assert [r.w for r in index.distinct_weights(g).collect()] == [6.0, 4.0]
+
+
+@pytest.mark.parametrize("key", [lambda k: f"one common beginning {k:04d}", lambda k: f"{k * 7919 % 1000:03d}"])
+def test_text_keys_are_numbered_by_ranges(spark, key):
+    keys = sorted(key(k) for k in range(1000))
+    got = derive.dense(spark.createDataFrame([(k,) for k in keys[::-1]], "key string").repartition(5))
+    assert {r.key: r.id for r in got.collect()} == {k: n for n, k in enumerate(keys)}
+    assert derive.dense(spark.createDataFrame([], "key string")).collect() == []
+
+
+def test_picked_places(spark):
+    from lattica.sources.ranks import picked
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([1, 1, 1, 2, 5, rng.randrange(900)])) for _ in range(2000)]
+    got = picked(spark.createDataFrame(rows, "k string, x int"), ["k"], "x", F.array(F.lit(0), F.floor(F.col("_n") / 2), F.col("_n") - 1))
+    for k in "ab":
+        own = sorted(x for c, x in rows if c == k)
+        assert {r["rank"]: r["x"] for r in got.where(F.col("k") == k).collect()} == {n: own[n] for n in (0, len(own) // 2, len(own) - 1)}
+
+
+def test_a_large_slot_is_paired_by_blocks(spark):
+    rows = [("hot", u) for u in range(60)] + [("cold", u) for u in range(55, 65)]
+    got = derive.slot_pairs(spark.createDataFrame(rows, "slot string, u long"), ["slot"], "u", block=8)
+    want = sorted((a, b) for s in ("hot", "cold") for a in (u for c, u in rows if c == s) for b in (u for c, u in rows if c == s) if a < b)
+    assert sorted(map(tuple, got.collect())) == want
