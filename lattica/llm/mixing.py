@@ -116,15 +116,18 @@ def curriculum(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     return out.repartitionByRange(partitions(docs.sparkSession), "_mix_time", "_mix_key").sortWithinPartitions("_mix_time", "_mix_key").select("doc.*")
 
 
-def in_training_order(docs: DataFrame) -> DataFrame:
-    """The rows with two more columns, train_file and train_row, which sort them as they were written: the number in
-    the name of a row's file and its place in it. Rows that come from no files of numbered parts have nulls there."""
+def in_training_order(docs: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows (the given columns of them, or all) with two more columns, train_file and train_row, which sort them as they
+    were written: the number in the name of a row's file and its place in it. Columns of docs with these names give way. Rows
+    must come from files of numbered parts; else this fails, since their order is unknown. Any other names of columns do."""
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in ("train_file", "train_row")]
     try:
-        found = docs.select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("train_row"))
-    except AnalysisException:
-        return docs.withColumns({"train_file": F.lit(None).cast("long"), "train_row": F.lit(None).cast("long")})
-    number = F.regexp_extract("_name", r"^part-(\d+)", 1)
-    return found.withColumn("train_file", F.when(number != "", number.cast("long"))).drop("_name").select(*docs.columns, "train_file", "train_row")
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), *[docs.metadataColumn("_metadata")[field].alias(name) for field, name in (("file_name", "name"), ("row_index", "place"))])
+    except AnalysisException as unknown:
+        raise ValueError("rows don't come from files, so that their order is unknown") from unknown
+    number = F.regexp_extract("name", r"^part-(\d+)", 1)
+    known = F.when(number != "", number.cast("long")).otherwise(F.raise_error(F.concat(F.lit("not a numbered part: "), "name")).cast("long"))
+    return packed.select("doc.*", known.alias("train_file"), F.col("place").alias("train_row"))
 
 
 #: Training positions are reported as whole parts of the run, so many to the whole.

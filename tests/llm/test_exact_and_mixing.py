@@ -125,7 +125,19 @@ def test_slopes_make_positions_and_order(spark, tmp_path):
             copies[key] += 1
         assert times == sorted(times)
     assert seen[(-0.5, 0.0, 0.5)] != seen[(0.5, 0.5, -0.5)]
-    assert mixing.in_training_order(docs.coalesce(1)).select("train_file").distinct().collect()[0][0] is None
+    with pytest.raises(ValueError):
+        mixing.in_training_order(docs.coalesce(1))
+
+
+def test_training_order_under_clashing_names(spark, tmp_path):
+    names = ["doc_id", "text", "train_row", "train_file", "_name", "_metadata", "name", "place", "doc"]
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(k, f"w {k}", *"abcdefg") for k in range(20)], f"{names[0]} long, text string, " + ", ".join(f"`{c}` string" for c in names[2:])).repartition(3).write.parquet(path)
+    got = mixing.in_training_order(spark.read.parquet(path))
+    assert got.columns == [c for c in names if not c.startswith("train_")] + ["train_file", "train_row"]
+    rows = got.collect()
+    assert len({(r.train_file, r.train_row) for r in rows}) == 20 and {r["_metadata"] for r in rows} == {"d"}
+    assert mixing.in_training_order(spark.read.parquet(path), ("doc_id",)).columns == ["doc_id", "train_file", "train_row"]
 
 
 def test_op6_equals_its_sql(spark, tmp_path):
