@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of ids, spans and decoded text, and with train_file and train_row, by
     which the rows sort into the training order that the mixing wrote them in."""
-    return pieces.encoding_digests(mixing.in_training_order(docs), with_ids=True, carried=("train_file", "train_row"))
+    return pieces.encoding_digests(mixing.in_training_order(docs, ("doc_id", "text")), with_ids=True, carried=("train_file", "train_row"))
 
 
 STAGES = [
