@@ -2,10 +2,11 @@
 
 Every 100-byte window is dealt to a shard by its least 24-byte hash, which two equal windows share. A run of windows
 with one such hash is a segment, and its bytes a snippet. Snippets whose hash no other segment has are left out, unless
-they hold a window twice; all others are sorted, shard by shard, with lattica.llm.induced, and the order of their
-suffixes with the common-prefix values alone says which windows repeat. Hashes only deal work out.
+they hold a window twice; all others are sorted, shard by shard, with lattica.llm.induced. Hashes only deal work out.
 
-A shard's snippets with the same bytes stand in the sorted string once, with all their places. A hash with more bytes
+A shard's snippets with the same bytes stand in the sorted string once, with all their places: which windows of the first
+place repeat comes from the order of suffixes and the common-prefix values, the later places are marked whole, since their
+bytes are equal. Most removals are of that second kind. A hash with more bytes
 of snippets than HOT is split: its snippets are dealt at random to parts that are sorted by themselves, and the windows
 that stay in each part are dealt anew by the least hashes of longer strings, in the end of whole windows, until no
 hash has more than HOT. So a task sorts about SHARD + HOT bytes at most, whatever one passage's share of the corpus.

@@ -3,7 +3,7 @@
 Two label models share the method. Quality: labellers judge a text's form. Toxicity: one labeller knows words of abuse,
 the others are lexicons of word beginnings, each of another length, drawn from a bounded labelled sample in all
 languages. For each, EM over the votes on all documents gives posterior labels, and a hashed linear scorer is trained
-on the posteriors of a bounded sample. The scorers alone give the verdict.
+on the posteriors of a bounded sample. The scorers give the verdict; words of abuse have a feature of their own there.
 """
 
 from __future__ import annotations
