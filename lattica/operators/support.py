@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.sources.graph import Graph
+from lattica.sources.scratch import Scratch
 
 
 def bitmap_counts(rows: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
@@ -104,7 +105,7 @@ def two_paths(g: Graph, min_sup: int = 1, profile: DataFrame | None = None) -> D
 
 def three_paths(g: Graph, min_sup: int = 1) -> DataFrame:
     """Paths of four vertices: (l0, l1, l2, l3, mni, max_w), for graphs of one edge label. Both end pairs must be
-    frequent two-paths; the label table of those is an aggregate of the label set and is read twice, so it is cached.
+    frequent two-paths; the label table of those is an aggregate of the label set and is read twice, so it is written.
 
     Occurrences are listed here, one row each after both pairs are known to be frequent. Reading them off profiles, as
     for two-paths, has a row per edge and pair of end labels, which was slower on graphs of about as many labels as
@@ -112,7 +113,7 @@ def three_paths(g: Graph, min_sup: int = 1) -> DataFrame:
     """
     p, q, r = _adj(g, "p", "src", "dst", "ls", "ld", "w"), _adj(g, "q", "src", "dst", "ld", "w"), _adj(g, "r", "src", "dst", "ld", "w")
     known = two_paths(g, min_sup).select("a", "b", "c")
-    known = known.union(known.select("c", "b", "a")).distinct().cache()
+    known = Scratch(g.adj.sparkSession, "paths").put(known.union(known.select("c", "b", "a")).distinct())
     rows = p.join(q, (F.col("p_src") == F.col("q_src")) & (F.col("p_dst") != F.col("q_dst")))
     rows = rows.join(known.toDF("p_ld", "p_ls", "q_ld"), ["p_ld", "p_ls", "q_ld"], "left_semi")
     rows = rows.join(r, (F.col("q_dst") == F.col("r_src")) & (F.col("r_dst") != F.col("p_src")) & (F.col("r_dst") != F.col("p_dst")))
