@@ -73,12 +73,21 @@ def read_feature_graph(spark: SparkSession, edges: str, features: str, target: s
     pairs = spark.read.option("header", True).csv(edges)
     a, b = pairs.columns[:2]
     pairs = pairs.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    maps = spark.read.text(features, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<int>>")).alias("id", "f"))
+    maps = read_lists(spark, features)
     classes = spark.read.option("header", True).csv(target)
     v = classes.select(F.col(classes.columns[0]).cast("long").alias("id"), F.col(classes.columns[-1]).cast("int").alias("label"))
     return make_graph(v, similarity_edges(pairs, maps.select(F.col("id").cast("long").alias("id"), "f")))
 
 
+def read_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(id, f) of one JSON object "id": [whole numbers], ... of any size: the text is read in splits of its files, in pieces that
+    end with a list."""
+    pieces = spark.read.option("lineSep", "]").text(path)
+    found = pieces.select(F.regexp_extract("value", r'"([^"]*)"\s*:\s*\[[^\[]*$', 1).alias("id"), F.regexp_extract("value", r"\[([^\[]*)$", 1).alias("list"), F.contains("value", F.lit("[")).alias("whole"))
+    numbers = F.transform(F.filter(F.split("list", ","), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != ""), lambda x: F.regexp_replace(x, r"\s", "").cast("int"))
+    return found.where("whole").select("id", numbers.alias("f"))
+
+
 def read_protein_network(spark: SparkSession, edges: str, terms: str, category: str = "Subcellular localization (COMPARTMENTS)") -> Graph:
     """edges: lines "protein protein score"; terms: TSV with a header: protein, category, id, term."""
     p = spark.read.text(edges).select(F.split(F.trim("value"), r"\s+").alias("p")).select(F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), F.col("p")[2].cast("double").alias("w"))

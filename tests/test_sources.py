@@ -149,3 +149,25 @@ def test_a_large_slot_is_paired_by_blocks(spark):
     got = derive.slot_pairs(spark.createDataFrame(rows, "slot string, u long"), ["slot"], "u", block=8)
     want = sorted((a, b) for s in ("hot", "cold") for a in (u for c, u in rows if c == s) for b in (u for c, u in rows if c == s) if a < b)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_lists_are_read_in_splits(spark, tmp_path):
+    given = {str(k): [k * j % 97 for j in range(k % 9)] for k in range(400)}
+    (tmp_path / "one.json").write_text(json.dumps(given))
+    (tmp_path / "wide.json").write_text(json.dumps(given, indent=2))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(before, ("700b", "0")):
+            spark.conf.set(k, v)
+        for name in ("one.json", "wide.json"):
+            got = derive.read_lists(spark, str(tmp_path / name))
+            assert got.rdd.getNumPartitions() > 3
+            assert {r.id: r.f for r in got.collect()} == given
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_peaks_of_executors(spark):
+    spark.range(1000).selectExpr("sum(id)").collect()
+    assert compare.peak_memory_mb(spark) > 0
