@@ -152,14 +152,17 @@ def four_cycles(g: Graph, min_sup: int = 1) -> DataFrame:
 
     A cycle is found once, at its corner h of largest degree: two-paths h - m - o whose m and o are of less degree than h,
     which a hub has no more of than its small neighbours have neighbours. The two-paths between two corners are counted by
-    the label of their middle and never paired: the middles of two labels, or of one label that has two, close cycles.
+    the label of their middle and never paired: the middles of two labels, or of one label that has two, close cycles. What is
+    read several times is written.
     """
-    degree = g.adj.groupBy("src").agg(F.count("*").alias("n"))
-    ranked = g.adj.join(degree, "src").join(degree.toDF("dst", "nd"), "dst").withColumn("up", F.struct("n", "src") < F.struct(F.col("nd").alias("n"), F.col("dst").alias("src")))
+    scratch = Scratch(g.adj.sparkSession, "cycles")
+    adj = scratch.put(g.adj.select("src", "dst", "ls", "ld", "w"))
+    degree = adj.groupBy("src").agg(F.count("*").alias("n"))
+    ranked = adj.join(degree, "src").join(degree.toDF("dst", "nd"), "dst").withColumn("up", F.struct("n", "src") < F.struct(F.col("nd").alias("n"), F.col("dst").alias("src")))
     up = ranked.where("up").select(F.col("src").alias("m"), F.col("ls").alias("lm"), F.col("dst").alias("h"), F.col("ld").alias("lh"), F.col("nd").alias("nh"), F.col("w").alias("wh"))
     other = ranked.select(F.col("src").alias("m"), F.col("dst").alias("o"), F.col("ld").alias("lo"), F.col("nd").alias("no"), F.col("w").alias("wo"))
     wedge = up.join(other, "m").where(F.struct(F.col("no").alias("n"), F.col("o").alias("v")) < F.struct(F.col("nh").alias("n"), F.col("h").alias("v")))
-    wedge = wedge.select("h", "lh", "o", "lo", "m", "lm", F.least("wh", "wo").alias("w"))
+    wedge = scratch.put(wedge.select("h", "lh", "o", "lo", "m", "lm", F.least("wh", "wo").alias("w")))
     # the best and the second best two-path of each middle label
     first = wedge.groupBy("h", "lh", "o", "lo", "lm").agg(F.count("*").alias("n"), F.max(F.struct("w", "m")).alias("top"))
     second = wedge.join(first.select("h", "o", "lm", F.col("top.m").alias("best")), ["h", "o", "lm"]).where("m <> best").groupBy("h", "o", "lm").agg(F.max("w").alias("w2"))
@@ -172,7 +175,7 @@ def four_cycles(g: Graph, min_sup: int = 1) -> DataFrame:
     read = lambda way: F.struct(*[F.col(corner[c]).alias(r) for c, r in zip(way, ring)])
     least = F.least(*[read(way) for way in ways])
     turns = F.array_compact(F.array(*[F.when(read(way) == least, F.array(*[F.lit(c) for c in way])) for way in ways]))
-    rows = found.select("h", "o", F.col("l1").alias("m1"), F.col("l3").alias("m3"), "w", least.alias("ring"), turns.alias("turns"))
+    rows = scratch.put(found.select("h", "o", F.col("l1").alias("m1"), F.col("l3").alias("m3"), "w", least.alias("ring"), turns.alias("turns")))
     best = rows.groupBy("ring").agg(F.max("w").alias("max_w"))
     at = rows.select("h", "o", "m1", "m3", "ring", F.explode(F.array_distinct("turns")).alias("turn")).select("h", "o", "m1", "m3", "ring", F.posexplode("turn").alias("pos", "who"))
     ends = at.where("who in (0, 2)").select("ring", "pos", F.when(F.col("who") == 0, F.col("h")).otherwise(F.col("o")).alias("v"))
