@@ -31,7 +31,13 @@ LEAVES = 1000
 #: Neighbours of each label that a profile lists at first, doubled for patterns of more positions.
 LISTED = 6
 
-CORE = "cid int, m array<long>, bw double, vbw double"
+#: So many patterns of one core are tried on a row at once; more go to further copies of the row.
+BATCH = 32
+
+ASKED = (
+    "offers array<struct<u:int,lb:int,el:int,others:array<int>>>, "
+    "wants array<struct<pid:int,groups:array<struct<i:int,r:int,least:int>>,rivals:array<struct<members:array<int>,need:int>>>>"
+)
 
 
 @dataclass(frozen=True)
@@ -144,6 +150,11 @@ def _around(position: Column, label: Column, el: Column) -> Column:
     return F.try_element_at(F.get("near", position), F.struct(label.alias("ld"), el.alias("el")))
 
 
+def _placed(old: str, new: str) -> Column:
+    """The parent's values in the order of the child's positions, with the new one's where it belongs."""
+    return F.transform("places", lambda i: F.when(i < 0, F.col(new)).otherwise(F.get(old, i)))
+
+
 class Occurrences:
     """Core tables of a graph, made when a pattern first needs them, and measures of patterns on them.
 
@@ -238,19 +249,42 @@ class Occurrences:
         open_ = once(parents.join(steps, "cid").where(hold("before")), sizes=sizes).where(F.forall("sizes", lambda x: x["n"].isNotNull())).drop("before")
         first = F.array_min("sizes")["i"]
         open_ = once(open_.withColumnRenamed("ext", "given"), ext=F.concat(F.slice("given", first + 1, 1), F.filter("given", lambda x, i: i != first))).drop("sizes", "given")
+        most = max(len(s.edges) for _, s in cores.values())
+        parts = []
+        if any(len(s.edges) == 1 for _, s in cores.values()):
+            parts.append(self.hung(open_.where(F.size("ext") == 1)))
+        if most > 1:
+            parts.append(self.closed(open_.where(F.size("ext") > 1), most, max(p.n_vertices for p, _ in cores.values())))
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return rows.where(hold("after")).select(F.col("child").alias("cid"), "m", "near", "bw", "vbw")
+
+    def neighbours(self, rows: DataFrame) -> DataFrame:
+        """rows with a neighbour dst along the first edge of ext that is no vertex of the row yet."""
         leg = F.get("ext", F.lit(0))
-        rows = open_.withColumn("src", F.get("m", leg["u"])).withColumn("el", leg["el"]).withColumnRenamed("lb", "ld").join(self.adj, ["src", "ld", "el"])
-        rows = rows.where(~F.array_contains("m", F.col("dst"))).withColumn("bw", F.least("bw", "w")).drop("src", "ld", "el", "w")
-        # the edges that close cycles, one after the other
-        for k in range(1, max(len(s.edges) for _, s in cores.values())):
+        rows = rows.withColumn("src", F.get("m", leg["u"])).withColumn("el", leg["el"]).withColumnRenamed("lb", "ld").join(self.adj, ["src", "ld", "el"])
+        return rows.where(~F.array_contains("m", F.col("dst"))).withColumn("bw", F.least("bw", "w")).drop("src", "ld", "el", "w")
+
+    def hung(self, rows: DataFrame) -> DataFrame:
+        """Rows grown by a vertex that hangs on one edge; all that fit stay, and keep the profiles of the parent."""
+        rows = self.neighbours(rows).join(self.around.select(F.col("v").alias("dst"), "weight", F.col("near").alias("own")), "dst")
+        rows = once(rows.withColumnsRenamed({"m": "old", "near": "older"}), m=_placed("old", "dst"), near=_placed("older", "own"))
+        return rows.select("child", "after", "m", "near", "bw", F.least("vbw", "weight").alias("vbw"))
+
+    def closed(self, rows: DataFrame, most: int, size: int) -> DataFrame:
+        """Rows grown by a vertex that closes cycles. Most of what the first edge offers fails at the others, so rows go without
+        profiles until all edges are checked, one after the other; those that are left fetch them for each of their positions."""
+        rows = self.neighbours(rows.drop("near"))
+        for k in range(1, most):
             more, done = rows.where(F.size("ext") > k), rows.where(F.size("ext") <= k)
             leg = F.get("ext", F.lit(k))
             more = more.withColumn("src", F.get("m", leg["u"])).withColumn("el", leg["el"]).join(self.adj.drop("ld"), ["src", "dst", "el"])
-            rows = done.unionByName(more.withColumn("bw", F.least("bw", "w")).drop("src", "el", "w"))
-        rows = rows.join(self.around.select(F.col("v").alias("dst"), "weight", F.col("near").alias("own")), "dst")
-        placed = lambda old, new: F.transform("places", lambda i: F.when(i < 0, F.col(new)).otherwise(F.get(old, i)))
-        rows = once(rows.withColumnsRenamed({"m": "old", "near": "older"}), m=placed("old", "dst"), near=placed("older", "own"))
-        return rows.where(hold("after")).select(F.col("child").alias("cid"), "m", "near", "bw", F.least("vbw", "weight").alias("vbw"))
+            more = more.withColumn("bw", F.least("bw", "w")).drop("src", "el", "w")
+            rows = more if k == 1 else done.unionByName(more)
+        rows = once(rows.withColumnRenamed("m", "old"), m=_placed("old", "dst")).select("child", "after", "m", "bw", "vbw")
+        for k in range(size):
+            own = self.around.select(F.col("v").alias("at"), "weight", F.col("near").alias(f"near{k}"))
+            rows = rows.withColumn("at", F.get("m", F.lit(k))).join(own, "at").withColumn("vbw", F.least("vbw", "weight")).drop("at", "weight")
+        return rows.select("child", "after", "m", F.array(*[f"near{k}" for k in range(size)]).alias("near"), "bw", "vbw")
 
     def measure(self, patterns: dict[int, Pattern], min_sup: int = 1) -> dict[int, tuple[int, float, float]]:
         """(support, weight, vertex weight) of each pattern that has an occurrence; of one whose core has fewer images than
@@ -279,47 +313,64 @@ class Occurrences:
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def fitted(self, cores: DataFrame, shapes: dict[int, Shape], rivals: bool) -> DataFrame:
-        """fitting() of patterns that all have, or all don't have, groups that compete."""
-        rows = [
-            (k, self.number(s.core), [{"u": u, "lb": lb, "el": el, "r": r, "least": s.least(i), "others": s.others(i)} for i, (u, lb, el, r) in enumerate(s.groups)], [{"members": x, "need": n} for x, n in s.rivals()])
-            for k, s in shapes.items()
-        ]
-        wanted = _table(self.spark, rows, "pid int, cid int, groups array<struct<u:int,lb:int,el:int,r:int,least:int,others:array<int>>>, rivals array<struct<members:array<int>,need:int>>")
-        found = F.transform("groups", lambda x: F.struct(*[x[c].alias(c) for c in ("r", "least", "others")], _around(x["u"], x["lb"], x["el"]).alias("near")))
-        rows = once(cores.join(wanted, "cid"), found=found).where(F.forall("found", lambda x: F.coalesce(x["near"]["n"] >= x["least"], F.lit(False))))
-        own = lambda x: F.transform(x["others"], lambda i: F.get("m", i))
-        # of each group the candidates by edge and by end, without core vertices of the row
-        open_ = lambda x, list_: F.filter(x["near"][list_], lambda y: ~F.array_contains(x["own"], y["v"]))
-        if any(o for s in shapes.values() for k in range(len(s.groups)) for o in [s.others(k)]):
-            rows = once(rows.withColumnRenamed("found", "seen"), found=F.transform("seen", lambda x: F.struct(x["r"].alias("r"), own(x).alias("own"), x["near"].alias("near"))))
-            rows = once(rows, free=F.transform("found", lambda x: F.struct(x["r"].alias("r"), x["own"].alias("own"), open_(x, "top").alias("top"), open_(x, "topv").alias("topv"))))
-            rows = rows.where(F.forall("free", lambda x: F.size(x["top"]) >= x["r"]))
-        else:
-            none = F.array().cast("array<long>")
-            rows = once(rows, free=F.transform("found", lambda x: F.struct(x["r"].alias("r"), none.alias("own"), x["near"]["top"].alias("top"), x["near"]["topv"].alias("topv"))))
-        # the smallest weight of the best choice of leaves: of each group the r-th
-        best = lambda list_: F.coalesce(F.array_min(F.transform("free", lambda x: F.get(x[list_], x["r"] - 1)["w"])), F.lit(float("inf")))
-        rows = once(rows, low=best("top"), lowv=best("topv"))
-        held = F.transform("free", lambda x: x["own"])
-        if rivals:
-            many = lambda s, list_, least=None: F.size(F.array_distinct(F.flatten(F.transform(s["members"], lambda i: F.transform(F.get("free", i)[list_] if least is None else F.filter(F.get("free", i)[list_], lambda y: y["w"] >= least), lambda y: y["v"])))))
-            rows = once(rows, spare=F.transform("rivals", lambda s: many(s, "top") - s["need"])).where(F.forall("spare", lambda n: n >= 0))
-            # where groups compete, the largest weight at which all sets still have as many candidates as they need
-            whole = lambda list_, t: F.forall("rivals", lambda s: many(s, list_, t) >= s["need"])
-            tried = lambda list_, most: F.when(whole(list_, F.col(most)), F.col(most)).otherwise(highest(list_, most))
-            highest = lambda list_, most: F.array_max(F.filter(F.array_distinct(F.flatten(F.transform("free", lambda x: F.transform(x[list_], lambda y: y["w"])))), lambda t: (t < F.col(most)) & whole(list_, t)))
-            tight = F.filter("rivals", lambda s, k: F.get("spare", k) == 0)
-            rows = once(rows.withColumnsRenamed({"low": "each", "lowv": "eachv"}), low=tried("top", "each"), lowv=tried("topv", "eachv"), tight=tight)
-            taken = lambda i: F.flatten(F.transform(F.filter("tight", lambda s: ~F.array_contains(s["members"], i)), lambda s: F.flatten(F.transform(s["members"], lambda k: F.transform(F.get("free", k)["top"], lambda y: y["v"])))))
-            held = F.transform("free", lambda x, i: F.array_union(x["own"], taken(i)))
+        """fitting() of patterns that all have, or all don't have, groups that compete. What a core row offers to a group of
+        leaves is the same for all patterns, so it is made once for a batch of them, and they are tried inside the row.
+
+        Without competition held is null: a group then leaves alone the core vertices of its label, and nothing else."""
+        by_core: dict[int, list[int]] = {}
+        for k, s in shapes.items():
+            by_core.setdefault(self.number(s.core), []).append(k)
+        rows = [(cid, *self.batch(shapes, own[i : i + BATCH])) for cid, own in by_core.items() for i in range(0, len(own), BATCH)]
+        wanted = _table(self.spark, rows, f"cid int, {ASKED}")
+        # of each label at each position the candidates by edge and by end, without core vertices of the row
+        seen = F.transform("offers", lambda x: F.struct(F.transform(x["others"], lambda i: F.get("m", i)).alias("own"), _around(x["u"], x["lb"], x["el"]).alias("near")))
+        rest = lambda x, list_: F.when(F.size(x["own"]) == 0, x["near"][list_]).otherwise(F.filter(x["near"][list_], lambda y: ~F.array_contains(x["own"], y["v"])))
+        rows = once(cores.join(wanted, "cid"), seen=seen).drop("near", "offers", "cid")
+        rows = once(rows, open=F.transform("seen", lambda x: F.struct(x["near"]["n"].alias("n"), x["own"].alias("own"), rest(x, "top").alias("top"), rest(x, "topv").alias("topv")))).drop("seen")
+        offer = lambda x: F.get("open", x["i"])
+        enough = lambda x: F.coalesce((offer(x)["n"] >= x["least"]) & (F.size(offer(x)["top"]) >= x["r"]), F.lit(False))
+        fit = F.filter("wants", lambda c: F.forall(c["groups"], enough))
+        if not rivals:
+            # the smallest weight of the best choice of leaves: of each group the r-th
+            best = lambda c, list_: F.coalesce(F.array_min(F.transform(c["groups"], lambda x: F.get(offer(x)[list_], x["r"] - 1)["w"])), F.lit(float("inf")))
+            rows = rows.select("m", "bw", "vbw", F.inline(F.transform(fit, lambda c: F.struct(c["pid"].alias("pid"), best(c, "top").alias("low"), best(c, "topv").alias("lowv")))))
+            return rows.select("pid", "m", F.least("bw", "low").alias("bw"), F.least("vbw", "lowv").alias("vbw"), F.lit(None).cast("array<array<long>>").alias("held"))
+        free = lambda c: F.transform(c["groups"], lambda x: F.struct(x["r"].alias("r"), *[offer(x)[a].alias(a) for a in ("own", "top", "topv")]))
+        rows = rows.select("m", "bw", "vbw", F.inline(F.transform(fit, lambda c: F.struct(c["pid"].alias("pid"), free(c).alias("free"), c["rivals"].alias("rivals")))))
+        many = lambda s, list_, least=None: F.size(F.array_distinct(F.flatten(F.transform(s["members"], lambda i: F.transform(F.get("free", i)[list_] if least is None else F.filter(F.get("free", i)[list_], lambda y: y["w"] >= least), lambda y: y["v"])))))
+        rows = once(rows, spare=F.transform("rivals", lambda s: many(s, "top") - s["need"])).where(F.forall("spare", lambda n: n >= 0))
+        best = lambda list_: F.array_min(F.transform("free", lambda x: F.get(x[list_], x["r"] - 1)["w"]))
+        rows = once(rows, each=best("top"), eachv=best("topv"))
+        # where groups compete, the largest weight at which all sets still have as many candidates as they need
+        whole = lambda list_, t: F.forall("rivals", lambda s: many(s, list_, t) >= s["need"])
+        highest = lambda list_, most: F.array_max(F.filter(F.array_distinct(F.flatten(F.transform("free", lambda x: F.transform(x[list_], lambda y: y["w"])))), lambda t: (t < F.col(most)) & whole(list_, t)))
+        tried = lambda list_, most: F.when(whole(list_, F.col(most)), F.col(most)).otherwise(highest(list_, most))
+        tight = F.filter("rivals", lambda s, k: F.get("spare", k) == 0)
+        rows = once(rows, low=tried("top", "each"), lowv=tried("topv", "eachv"), tight=tight)
+        taken = lambda i: F.flatten(F.transform(F.filter("tight", lambda s: ~F.array_contains(s["members"], i)), lambda s: F.flatten(F.transform(s["members"], lambda k: F.transform(F.get("free", k)["top"], lambda y: y["v"])))))
+        held = F.transform("free", lambda x, i: F.array_union(x["own"], taken(i)))
         return rows.select("pid", "m", F.least("bw", "low").alias("bw"), F.least("vbw", "lowv").alias("vbw"), held.alias("held"))
 
+    def batch(self, shapes: dict[int, Shape], ids: list[int]) -> tuple[list[dict], list[dict]]:
+        """What patterns with one core ask of its rows: the offers (label and edge label at a position) that any of them uses, and
+        the patterns, which name offers by place."""
+        offers: dict[tuple[int, int, int], tuple[int, dict]] = {}
+        wants = []
+        for k in ids:
+            s, groups = shapes[k], []
+            for i, (u, lb, el, r) in enumerate(s.groups):
+                offer = offers.setdefault((u, lb, el), (len(offers), {"u": u, "lb": lb, "el": el, "others": s.others(i)}))
+                groups.append({"i": offer[0], "r": r, "least": s.least(i)})
+            wants.append({"pid": k, "groups": groups, "rivals": [{"members": x, "need": n} for x, n in s.rivals()]})
+        return [x for _, x in offers.values()], wants
+
     def leaf_images(self, fits: DataFrame, shapes: dict[int, Shape]) -> DataFrame:
         """(pid, pos, n): how many vertices the leaves of each group are mapped to. Rows are gathered by the vertex that the
         leaves hang on: a neighbour is an image unless all rows of that vertex hold it back."""
-        rows = [(k, LEAVES + i, u, lb, el, bool(s.others(i) or s.rivals())) for k, s in shapes.items() for i, (u, lb, el, _) in enumerate(s.groups)]
-        wanted = _table(self.spark, rows, "pid int, pos int, u int, ld int, el int, held_back boolean")
-        at = fits.select("pid", "m", "held").join(wanted, "pid").select("pid", "pos", "ld", "el", F.get("m", "u").alias("src"), F.when(F.col("held_back"), F.get("held", F.col("pos") - LEAVES)).alias("held"))
+        rows = [(k, LEAVES + i, u, lb, el, s.others(i), bool(s.others(i) or s.rivals())) for k, s in shapes.items() for i, (u, lb, el, _) in enumerate(s.groups)]
+        wanted = _table(self.spark, rows, "pid int, pos int, u int, ld int, el int, others array<int>, held_back boolean")
+        held = F.coalesce(F.get("held", F.col("pos") - LEAVES), F.transform("others", lambda i: F.get("m", i)))
+        at = fits.select("pid", "m", "held").join(wanted, "pid").select("pid", "pos", "ld", "el", F.get("m", "u").alias("src"), F.when(F.col("held_back"), held).alias("held"))
         keys = ["pid", "pos", "src"]
         hung = at.groupBy(*keys, "ld", "el").agg(F.count("*").alias("rows"))
         images = hung.join(self.adj.select("src", "ld", "el", "dst"), ["src", "ld", "el"])

@@ -125,6 +125,22 @@ def test_measures_equal_all_maps(spark, seed):
         assert (got[k][:2] == want[:2] and abs(got[k][2] - want[2]) < 1e-9) if want[0] else k not in got, p
 
 
+def test_patterns_of_one_core_go_in_batches(spark, monkeypatch):
+    """A core row is tried with a batch of patterns at a time; the size of batches changes nothing."""
+    labels, edges = {v: v % 3 for v in range(9)}, [(a, b, 0, 1 + (a * b) % 7) for a in range(9) for b in range(a + 1, 9) if (a + 2 * b) % 4]
+    patterns = {k: Pattern.of([0, 1, x, y], [(0, 1, 0), (0, 2, 0), (1, 3, 0)]) for k, (x, y) in enumerate((x, y) for x in range(3) for y in range(3))}
+    got = []
+    for size in (32, 2):
+        monkeypatch.setattr(match, "BATCH", size)
+        occurrences = match.Occurrences(graph(spark, labels, edges), {0, 1, 2})
+        got.append(occurrences.measure(patterns))
+        occurrences.close()
+    assert got[0] == got[1]
+    for k, p in patterns.items():
+        want = plain(labels, edges, p)
+        assert got[0][k][:2] == want[:2] and abs(got[0][k][2] - want[2]) < 1e-9
+
+
 def test_leaves_and_hubs_list_nothing(spark):
     """A hub of 300 leaves: stars and paths around it take a row per core, not per choice of leaves; 4-cycles and triangles
     through a hub are found from the side of few neighbours."""
