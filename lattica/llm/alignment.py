@@ -21,12 +21,18 @@ from pyspark.sql import functions as F
 from lattica.llm.common import Scratch, map_rows, table
 from lattica.llm.pieces import SPACE_MARK, coder_of as piece_coder
 from lattica.llm.pieces import default_model, read_model
-from lattica.llm.ragged import AT_ONCE, Ragged, Remembered, parts
+from lattica.llm.ragged import Ragged, Remembered, parts
 
 #: A text splits before a space between two characters that are none: both tokenizers always cut there.
 BORDER = re.compile(r"(?<=\S)(?= \S)")
 #: New stretches are given to the libraries so many at a time.
 JOINED = 4000
+#: Characters of a block of documents: what a task works on at once, beside what it remembers.
+AT_ONCE = 1 << 20
+#: Stretches that a task remembers.
+STRETCHES = 250_000
+#: Rows of blocks are long, so what a task holds before it writes is looked at after each, and row groups are small.
+LONG_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Links carry both ids in one number.
 HIGH = 32
 
@@ -112,7 +118,7 @@ class Aligner:
         n = self.b.normaliser
         self.splits = plain_a and self.b.by_chunk and not n.map.units and not n.squeeze and n.prefix and n.mark == SPACE_MARK.encode()
         self.stats, self.links, self.texts = Ragged("<i8"), Ragged("<i8"), []
-        self.memory = Remembered(self.learn, self.keep)
+        self.memory = Remembered(self.learn, self.keep, STRETCHES)
 
     def keep(self, rows: np.ndarray) -> None:
         self.stats, self.links, self.texts = self.stats.only(rows), self.links.only(rows), [self.texts[k] for k in rows.tolist()]
@@ -120,7 +126,7 @@ class Aligner:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of space + text under A, and of text under B, which adds the space itself."""
         a = self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids
-        b = self.b.ids(f" {text}".replace(" ", SPACE_MARK)) if self.splits else self.b.library.encode(text)
+        b = self.b.ids(f" {text}".replace(" ", SPACE_MARK), False) if self.splits else self.b.library.encode(text)
         return np.array(a, np.int64), np.array(b, np.int64)
 
     def agree(self, a: np.ndarray, b: np.ndarray, raw: bytes) -> bool:
@@ -129,19 +135,16 @@ class Aligner:
         return all(x == raw for x in joined) and self.a_widths[a].all() and self.b_widths[b].all()
 
     def learn(self, keys: list[str]) -> None:
-        """keys: stretches without their first space. Those that a border surely separates are encoded together."""
-        free = [k for k in keys if k and not k[0].isspace() and not k[-1].isspace()] if self.splits else []
-        done: dict[str, tuple] = {}
-        for k in range(0, len(free), JOINED):
-            some = free[k : k + JOINED]
-            done.update(zip(some, self.stretches(some) or [self.stretches([x])[0] for x in some]))
-        for k in keys:
-            if k not in done:
-                done[k] = self.stretches([k])[0]
-        got = [done[k] for k in keys]
-        self.stats.extend(np.array([x[0] for x in got], np.int64).ravel(), np.full(len(got), 4, np.int64))
-        self.links.extend(np.concatenate([x[1] for x in got]), np.array([len(x[1]) for x in got], np.int64))
-        self.texts += [x[2] for x in got]
+        """keys: stretches without their first space. Those that a border surely separates are encoded together, so many at a
+        time, and kept before the next are, so that no more than these are held as objects of their own."""
+        for k in range(0, len(keys), JOINED):
+            some = keys[k : k + JOINED]
+            free = [x for x in some if x and not x[0].isspace() and not x[-1].isspace()] if self.splits else []
+            done = dict(zip(free, self.stretches(free) or [self.stretches([x])[0] for x in free])) if free else {}
+            got = [done[x] if x in done else self.stretches([x])[0] for x in some]
+            self.stats.extend(np.array([x[0] for x in got], np.int64).ravel(), np.full(len(got), 4, np.int64))
+            self.links.extend(np.concatenate([x[1] for x in got]), np.array([len(x[1]) for x in got], np.int64))
+            self.texts += [x[2] for x in got]
 
     def stretches(self, keys: list[str]) -> list[tuple] | None:
         """((tokens of A, of B, groups, failed), links, groups as text) of each stretch. A lone one whose tokens don't have
@@ -289,7 +292,7 @@ def aligned_counts(docs: DataFrame, scratch: Scratch, a_path: str | None = None,
     it, so that a pair that all documents have is one row per block on either side of the join. Nothing is broadcast; a task
     holds a block, which is a run of documents of about `size` characters or one longer document, and its pairs.
     """
-    made = scratch.put(blocks(docs, a_path or default_bytes(), b_path or default_model(), id_col, text_col, size))
+    made = scratch.put(blocks(docs, a_path or default_bytes(), b_path or default_model(), id_col, text_col, size), **LONG_ROWS)
     asked = made.select(F.col("block").alias("asker"), F.posexplode("pair").alias("at", "pair"))
     known = asked.join(pair_counts(made, scratch), "pair").select("asker", "at", "total", "best")
 

@@ -46,10 +46,10 @@ class Scratch:
         base = base or f"{tempfile.gettempdir()}/scratch-tables"
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}", 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, **options) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

@@ -156,11 +156,12 @@ class PieceCoder:
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.seen: dict[str, bytes] = {}
 
-    def ids(self, normal: str) -> np.ndarray:
-        """Of normalised text. Byte-pair merges never cross a chunk's border, so each chunk is segmented once."""
+    def ids(self, normal: str, remember: bool = True) -> np.ndarray:
+        """Of normalised text. Byte-pair merges never cross a chunk's border, so each chunk is segmented once; a caller that
+        remembers results of its own has chunks remembered for this text alone."""
         if not self.by_chunk:
             return np.array(self.plain.encode(normal), np.uint32)
-        seen = self.seen
+        seen = self.seen if remember else {}
         chunks = CHUNK.findall(normal)
         new = list({c for c in chunks if c not in seen})
         if new:

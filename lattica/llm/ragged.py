@@ -48,7 +48,8 @@ class Ragged:
 
 class Remembered:
     """The row of each chunk in some Ragged tables, which learn(chunks) extends by a row for each and keep(rows) cuts down to
-    these rows. When it is full, chunks stay that were asked for again since they came."""
+    these rows. When it is full, chunks stay that were asked for again since they came, half of what fits at most, those
+    that have stayed longest first."""
 
     def __init__(self, learn: Callable[[list[str]], None], keep: Callable[[np.ndarray], None], most: int = REMEMBERED, chars: int = REMEMBERED_CHARS):
         self.learn, self.keep, self.most, self.chars = learn, keep, most, chars
@@ -79,8 +80,7 @@ class Remembered:
 
     def cut(self) -> None:
         stays = np.flatnonzero(self.again[: len(self.rows)])
-        if 2 * len(stays) > self.most:
-            stays = stays[:0]
+        stays = stays[: self.most // 2]
         chunks = list(self.rows)
         self.rows = {chunks[k]: n for n, k in enumerate(stays.tolist())}
         self.held = sum(map(len, self.rows))

@@ -115,3 +115,30 @@ def test_alignments(spark, plain):
 
 def test_empty_table(spark):
     assert alignment.aligned_counts(spark.createDataFrame([], SCHEMA), Scratch(spark, "alignment")).collect() == []
+
+
+def test_worker_memory_is_bounded():
+    """What is remembered of stretches has a limit, and nothing else of them is kept, nor by the piece model's coder."""
+    aligner = alignment.Aligner(alignment.default_bytes(), alignment.default_model())
+    assert aligner.memory.most == alignment.STRETCHES
+    aligner.memory.most, before = 60, len(aligner.b.seen)
+    fresh = alignment.Aligner(alignment.default_bytes(), alignment.default_model())
+    import pyarrow as pa
+
+    for k in range(30):
+        texts = pa.array([" ".join(f"w{k}x{i}" for i in range(20)) + " same words"])
+        rows, n = aligner.rows(texts)
+        assert n.tolist() == [22] and len(aligner.memory.rows) <= 60
+        assert len(aligner.texts) == aligner.stats.n == aligner.links.n == len(aligner.memory.rows)
+        assert [aligner.texts[x] for x in rows] == [fresh.texts[x] for x in fresh.rows(texts)[0]]
+    assert len(aligner.b.seen) == before
+
+
+def test_blocks_are_written_in_small_row_groups(spark, tmp_path):
+    """A block is a long row: a task writes it out before it holds a hundred of them."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(40000)), 1, "p", 2) for k in range(24)], SCHEMA).coalesce(1)
+    made = Scratch(spark, "alignment").put(alignment.blocks(docs, alignment.default_bytes(), alignment.default_model(), "doc_id", "text", 1), **alignment.LONG_ROWS | {"parquet.block.size": 1 << 20})
+    files = [pq.ParquetFile(f.split(":", 1)[-1].replace("///", "/")) for f in made.inputFiles()]
+    assert sum(f.metadata.num_rows for f in files) == 24 and sum(f.num_row_groups for f in files) > 1
