@@ -151,6 +151,21 @@ def test_a_large_slot_is_paired_by_blocks(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("tile", [7, 1000])
+def test_large_slots_are_counted_in_tiles(spark, monkeypatch, tile):
+    rng = random.Random(8)
+    rows = sorted({(rng.choice("xyz"), rng.randrange(9), u) for u in range(60) for _ in range(12)})
+    given = spark.createDataFrame([*rows, ("x", None, 5), (None, 3, 6), ("x", 3, None)], "slot string, h int, u long")
+    of = {u: {r[:2] for r in rows if r[2] == u} for u in range(60)}
+    want = sorted((a, b, len(of[a] & of[b])) for a in of for b in of if a < b and len(of[a] & of[b]) >= 4)
+    monkeypatch.setattr(derive, "COUNTED", 50)
+    with monkeypatch.context() as m:
+        m.setattr(derive, "slot_pairs", lambda *_: pytest.fail("pairs are listed"))
+        assert sorted(map(tuple, derive.shared_slots(given, ["slot", "h"], "u", 4, tile).collect())) == want
+    assert sorted(map(tuple, derive.shared_slots(given, ["slot", "h"], "u", 4, 1).collect())) == want
+    assert derive.shared_slots(given.limit(0), ["slot", "h"], "u", 4).collect() == []
+
+
 def test_lists_are_read_in_splits(spark, tmp_path):
     given = {str(k): [k * j % 97 for j in range(k % 9)] for k in range(400)}
     (tmp_path / "one.json").write_text(json.dumps(given))
