@@ -3,10 +3,12 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from lattica.operators import support
-from lattica.plans import catalogue
+from lattica.operators import match, support
+from lattica.plans import catalogue, compare
 from lattica.plans.mine import Options, mine
+from lattica.plans.strategies import EdgeBottleneck
 from lattica.sources import derive
+from lattica.sources.graph import make_graph
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +58,22 @@ def test_edge_labels_of_a_crowd(spark, crowd, monkeypatch):
     whole = derive.event_graph(spark, crowd)
     assert seen[0] < whole.edges.count() / 2 and found
     odd = (whole.edges["w"] % 2).cast("int")
-    from lattica.sources.graph import make_graph
-
     m = original(make_graph(whole.vertices.select("id", "label"), whole.edges.withColumn("el", odd)), 6, options=Options(max_edges=2))
     assert found == rounded([(catalogue.labelled_text(p), p.n_edges, x.mni, x.bottleneck) for p, x in m.patterns])
+
+
+def test_sweep_measures_a_pattern_once(spark, crowd, monkeypatch):
+    """tau_sweep's three thresholds share measures; the counts are those of runs that don't."""
+    seen, kept = [], []
+    original = match.Occurrences.measure
+    monkeypatch.setattr(match.Occurrences, "measure", lambda self, patterns, *a: seen.extend(p.code for p in patterns.values()) or original(self, patterns, *a))
+    inner = compare.sweep
+    monkeypatch.setattr(compare, "sweep", lambda g, *a: kept.append(g.twins.upto) or inner(g, *a))
+    monkeypatch.setattr(catalogue, "EVENT_SUPPORT", 5)
+    rows = catalogue.tau_sweep(spark, crowd).collect()
+    assert kept == [3] and len(seen) == len(set(seen))
+    monkeypatch.undo()
+    whole = derive.event_graph(spark, crowd)
+    for q, least, freq in rows:
+        assert freq == len(mine(whole, 5, EdgeBottleneck(least), Options(max_edges=2)).patterns)
+    assert rows[0]["freq"] > 0
