@@ -65,8 +65,8 @@ def test_edge_labels_of_a_crowd(spark, crowd, monkeypatch):
 def test_sweep_measures_a_pattern_once(spark, crowd, monkeypatch):
     """tau_sweep's three thresholds share measures; the counts are those of runs that don't."""
     seen, kept = [], []
-    original = match.Occurrences.measure
-    monkeypatch.setattr(match.Occurrences, "measure", lambda self, patterns, *a: seen.extend(p.code for p in patterns.values()) or original(self, patterns, *a))
+    original = match.Measures.measure
+    monkeypatch.setattr(match.Measures, "measure", lambda self, patterns, *a: seen.extend(p.code for p in patterns.values()) or original(self, patterns, *a))
     inner = compare.sweep
     monkeypatch.setattr(compare, "sweep", lambda g, *a: kept.append(g.twins.upto) or inner(g, *a))
     monkeypatch.setattr(catalogue, "EVENT_SUPPORT", 5)
@@ -77,3 +77,18 @@ def test_sweep_measures_a_pattern_once(spark, crowd, monkeypatch):
     for q, least, freq in rows:
         assert freq == len(mine(whole, 5, EdgeBottleneck(least), Options(max_edges=2)).patterns)
     assert rows[0]["freq"] > 0
+
+
+def test_strategies_share_measures(spark, crowd, monkeypatch):
+    """strategy_compare measures a pattern once; the numbers are those of runs of their own."""
+    seen = []
+    original = match.Measures.measure
+    monkeypatch.setattr(match.Measures, "measure", lambda self, patterns, *a: seen.extend(p.code for p in patterns.values()) or original(self, patterns, *a))
+    monkeypatch.setattr(catalogue, "EVENT_SUPPORT", 8)
+    freq = {r["algorithm"]: r["freq"] for r in catalogue.strategy_compare(spark, crowd).collect()}
+    assert len(seen) == len(set(seen)) > 0
+    monkeypatch.undo()
+    whole = mine(derive.event_graph(spark, crowd), 8, options=Options(max_edges=3)).patterns
+    assert freq["none"] == len(whole)
+    assert freq["edge"] == freq["lookup"] == sum(m.bottleneck >= 5 for _, m in whole)
+    assert freq["vertex"] == sum(m.vertex_bottleneck >= 5 for _, m in whole)
