@@ -1,11 +1,15 @@
 import random
-from itertools import combinations
+from dataclasses import replace
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import dense, support
+from lattica.operators import dense, match, support
+from lattica.operators.pattern import Pattern
+from lattica.plans import catalogue
 from lattica.plans.mine import Options, mine
+from lattica.plans.strategies import VertexBottleneck
 from lattica.sources.graph import graph_by_label
 
 
@@ -43,3 +47,36 @@ def test_mining_by_parts_equals_listing(spark, busy, monkeypatch):
         small.setattr(dense, "SMALL", 1 << 40)
         want = measured(mine(busy, 4, options=Options(max_edges=3)))
     assert measured(mine(busy, 4, options=Options(max_edges=3))) == want != []
+
+
+def test_rows_with_plenty_are_tried_once_for_their_labels(spark, monkeypatch):
+    """Where no label is scarce around a row, what fits follows from the labels; supports equal those of listing."""
+    rows = [(a, b, 0, 1.0) for a, b in combinations(range(40), 2) if a > 3 or b % 5 == 0]
+    edges = spark.createDataFrame(rows, "a long, b long, el int, w double")
+    g = graph_by_label(spark.range(40), edges, lambda x: F.pmod(x, F.lit(2)).cast("int")).cached()
+    shapes = [[(0, 1, 0)], [(0, 1, 0), (1, 2, 0)], [(0, 1, 0), (1, 2, 0), (2, 3, 0)], [(0, 1, 0), (0, 2, 0), (0, 3, 0)]]
+    patterns = dict(enumerate({p.code: p for e in shapes for own in product((0, 1), repeat=len(e) + 1) for p in [Pattern.of(own, e)]}.values()))
+    listing, supports = match.Occurrences(g, (0, 1)), match.Supports(g, (0, 1))
+    want = {k: n for k, (n, _, _) in listing.measure(patterns).items()}
+    sizes, inner = [], match.Supports.tried
+    monkeypatch.setattr(match.Supports, "tried", lambda self, cores, shapes: sizes.append(cores.count()) or inner(self, cores, shapes))
+    assert {k: n for k, (n, _, _) in supports.measure(patterns).items()} == want != {}
+    assert 0 < sum(sizes) < len(rows) / 2
+    listing.close()
+    supports.close()
+
+
+def test_weights_that_no_one_asks_for_are_not_measured(busy, monkeypatch):
+    """mine_edge_weight and mine_edge_weight_per_edge have no vertex weights in their result, mine_vertex_weight needs them."""
+    assert Options().vertex_weights
+    with pytest.raises(ValueError):
+        mine(busy, 4, VertexBottleneck(1.0), Options(max_edges=1, vertex_weights=False))
+    asked, by = [], []
+    monkeypatch.setattr(match.Measures, "best", lambda self, patterns, name, *_: by.append(name) or {k: 20.0 for k in patterns})
+    monkeypatch.setattr(catalogue, "mine", lambda g, n, strategy, options: asked.append(options) or mine(busy, 4, strategy, replace(options, max_edges=1)))
+    monkeypatch.setattr(catalogue.derive, "event_graph", lambda *_, **__: busy)
+    for name, want in (("mine_edge_weight_per_edge", {"w"}), ("mine_vertex_weight", {"w", "ends"})):
+        by.clear()
+        assert catalogue.QUERIES[name](busy.adj.sparkSession, "").count() > 0
+        assert set(by) == want
+    assert all(x.max_edges == 3 for x in asked)
