@@ -71,7 +71,8 @@ def test_weights_that_no_one_asks_for_are_not_measured(busy, monkeypatch):
     assert Options().vertex_weights
     with pytest.raises(ValueError):
         mine(busy, 4, VertexBottleneck(1.0), Options(max_edges=1, vertex_weights=False))
-    asked, by = [], []
+    asked, by, cleared = [], [], []
+    monkeypatch.setattr(match.Measures, "collect", lambda self: cleared.append(1))
     monkeypatch.setattr(match.Measures, "best", lambda self, patterns, name, *_: by.append(name) or {k: 20.0 for k in patterns})
     monkeypatch.setattr(catalogue, "mine", lambda g, n, strategy, options: asked.append(options) or mine(busy, 4, strategy, replace(options, max_edges=1)))
     monkeypatch.setattr(catalogue.derive, "event_graph", lambda *_, **__: busy)
@@ -79,4 +80,4 @@ def test_weights_that_no_one_asks_for_are_not_measured(busy, monkeypatch):
         by.clear()
         assert catalogue.QUERIES[name](busy.adj.sparkSession, "").count() > 0
         assert set(by) == want
-    assert all(x.max_edges == 3 for x in asked)
+    assert all(x.max_edges == 3 for x in asked) and len(cleared) == len(asked) == 2
