@@ -1,9 +1,11 @@
 import random
 from datetime import datetime, timedelta
+from itertools import product
 
 import pytest
 
-from lattica.operators import match, support
+from lattica.operators import dense, match, support
+from lattica.operators.pattern import Pattern
 from lattica.plans import catalogue, compare
 from lattica.plans.mine import Options, mine
 from lattica.plans.strategies import EdgeBottleneck
@@ -92,3 +94,22 @@ def test_strategies_share_measures(spark, crowd, monkeypatch):
     assert freq["none"] == len(whole)
     assert freq["edge"] == freq["lookup"] == sum(m.bottleneck >= 5 for _, m in whole)
     assert freq["vertex"] == sum(m.vertex_bottleneck >= 5 for _, m in whole)
+
+
+def test_rows_have_twins_in_turn(spark, crowd, monkeypatch):
+    """Of a class of twins a core row has the first, or the first two, and so on; supports are those of the whole graph, listed or
+    by lists of patterns, and it is these rows that make a graph large."""
+    whole, few = derive.event_graph(spark, crowd), derive.event_graph(spark, crowd, upto=4).cached()
+    later = {r["v"]: set(r["before"]) for r in few.twins.members().where("v <> first").collect()}
+    shapes = ([(0, 1, 0), (1, 2, 0), (2, 3, 0)], [(0, 1, 0), (0, 2, 0), (1, 2, 0)])
+    patterns = dict(enumerate({p.code: p for e in shapes for own in product(range(2), repeat=len({x for y in e for x in y[:2]})) for p in [Pattern.of(own, e)]}.values()))
+    listing, supports, every = match.Occurrences(few, range(5), False), match.Supports(few, range(5), False), match.Occurrences(whole, range(5))
+    want = {k: n for k, (n, _, _) in every.measure(patterns).items()}
+    assert {k: n for k, (n, _, _) in listing.measure(patterns).items()} == {k: n for k, (n, _, _) in supports.measure(patterns).items()} == want != {}
+    rows = [r["m"] for _, table in listing.tables for r in table.collect()]
+    assert later and {len(m) for m in rows} == {1, 2, 3} and all(later.get(v, set()) <= set(m) for m in rows for v in m)
+    for x in (listing, supports, every):
+        x.close()
+    for most, large in ((0, False), (1, True)):
+        monkeypatch.setattr(dense, "SMALL", dense.rows_to_list(few) - most)
+        assert match.Measures(few, range(5)).large is large and match.Measures(whole, range(5)).large
