@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import dense, match
+from lattica.operators import dense, match, support
 from lattica.plans.mine import Options, mine
 from lattica.plans.strategies import EdgeBottleneck
 from lattica.sources.graph import graph_by_label
@@ -33,3 +33,9 @@ def test_supports_that_bounds_settle_leave_the_whole_graph_alone(packed, monkeyp
     monkeypatch.setattr(match.Supports, "list_at_least", lambda self, n: asked.append(self.g.adj.count()) or inner(self, n))
     assert run() == want != []
     assert asked and max(asked) < packed.adj.count()
+
+
+def test_cycles_that_bounds_settle_make_no_tiles(packed, monkeypatch):
+    want = {tuple(r) for r in support.listed_cycles(packed, 3).collect()}
+    monkeypatch.setattr(dense, "cycle_corners", lambda *_: pytest.fail("tiles are made"))
+    assert {tuple(r) for r in support.four_cycles(packed, 3).collect()} == want != set()
