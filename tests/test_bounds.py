@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import dense, match, support
+from lattica.plans import compare, strategies
 from lattica.plans.mine import Options, mine
 from lattica.plans.strategies import EdgeBottleneck
 from lattica.sources.graph import graph_by_label
@@ -35,6 +36,16 @@ def test_supports_that_bounds_settle_leave_the_whole_graph_alone(packed, monkeyp
     assert asked and max(asked) < packed.adj.count()
 
 
+def test_two_edge_patterns_of_large_graphs_are_measured_once(packed, monkeypatch):
+    run = lambda: compare.sweep(packed, 6, (0.0, 0.5, 1.0), Options(max_edges=2)).collect()
+    want = listed(monkeypatch, run)
+    asked, inner = [], match.Measures.measure
+    monkeypatch.setattr(match.Measures, "measure", lambda self, patterns, n=1: asked.extend(p.code for p in patterns.values()) or inner(self, patterns, n))
+    monkeypatch.setattr(strategies.support, "two_paths", lambda *_: pytest.fail("all two-paths are looked at"))
+    assert run() == want
+    assert len(asked) == len(set(asked)) > 0
+
+
 def test_cycles_that_bounds_settle_make_no_tiles(packed, monkeypatch):
     want = {tuple(r) for r in support.listed_cycles(packed, 3).collect()}
     monkeypatch.setattr(dense, "cycle_corners", lambda *_: pytest.fail("tiles are made"))
